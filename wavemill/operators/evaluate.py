@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.functions.scalars import safe_ratio
+from wavemill.operators.events import relabel_hierarchy
 
 
 def hit() -> Column:
@@ -98,3 +99,23 @@ def class_accuracy_sentinel(predictions: DataFrame, n_classes: int) -> DataFrame
         .otherwise(F.col("tp") / F.col("actual_cases"))
         .alias("accuracy"),
     )
+
+
+def two_stage_decision(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """0 where the first stage says idle, otherwise the class of the second stage."""
+    return (
+        first.withColumnRenamed("predicted", "_first")
+        .join(second.select(*keys, F.col("predicted").alias("_second")), keys)
+        .withColumn("predicted", F.when(F.col("_first") == 0, F.lit(0)).otherwise(F.col("_second")))
+        .drop("_first", "_second")
+    )
+
+
+def two_stage_membership(epochs: DataFrame) -> DataFrame:
+    """Which stages train on an epoch, keyed by epoch and not by position."""
+    return relabel_hierarchy(epochs).select(
+        "epoch_id",
+        "stage1",
+        "stage2",
+        F.when(F.col("stage2").isNotNull(), "both").otherwise("first").alias("stages"),
+    )

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["report_queries", "evaluation_queries", "signal_queries"]
+MODULES = ["report_queries", "evaluation_queries", "signal_queries", "model_queries"]
 
 
 def load_all() -> None:
