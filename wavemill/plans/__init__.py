@@ -2,7 +2,13 @@
 
 import importlib
 
-MODULES = ["report_queries", "evaluation_queries", "signal_queries", "model_queries"]
+MODULES = [
+    "report_queries",
+    "evaluation_queries",
+    "signal_queries",
+    "model_queries",
+    "sweep_queries",
+]
 
 
 def load_all() -> None:
