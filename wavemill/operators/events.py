@@ -235,26 +235,29 @@ def throttle_scan(rows: DataFrame, key: str = "key") -> DataFrame:
     read in order.  Rows are hashed by key, sorted inside the partition and read as a
     stream of batches; memory holds one batch and the last command.
     """
-    columns = [key, "ts", "event_id", "command", "playing_s"]
-
     def scan(batches):
         current, busy, last = None, None, None
         for pdf in batches:
             keep = []
-            starts = pdf["ts"].astype("int64") // 1000
-            lengths = (pdf["playing_s"] * 1e6).round().astype("int64")
-            for k, t, c, d in zip(pdf[key], starts, pdf["command"], lengths):
+            for k, t, c, d in zip(pdf[key], pdf["_t"], pdf["command"], pdf["_d"]):
                 if k != current:
                     current, busy, last = k, None, None
                 play = (busy is None or t >= busy) and c != last
                 if play:
                     busy, last = t + d, c
                 keep.append(play)
-            yield pdf[keep]
+            yield pdf.loc[keep]
 
-    source = rows.select(*columns)
+    source = rows.select(
+        key,
+        "event_id",
+        "command",
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("_t"),
+        F.rint(F.col("playing_s") * 1e6).cast("long").alias("_d"),
+    )
     return (
         source.repartition(key)
-        .sortWithinPartitions(key, "ts", "event_id")
+        .sortWithinPartitions(key, "_t", "event_id")
         .mapInPandas(scan, source.schema)
+        .select(key, "event_id", "command", (F.col("_d") / 1e6).alias("playing_s"))
     )

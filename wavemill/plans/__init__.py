@@ -8,6 +8,7 @@ MODULES = [
     "signal_queries",
     "model_queries",
     "sweep_queries",
+    "stream_queries",
 ]
 
 
