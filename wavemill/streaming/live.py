@@ -128,7 +128,7 @@ def stream_score(scans: DataFrame, model: BlockModel, size: int, carry: int = 0)
             before = new[max(0, start - carry) : start]
             rows.append((key[0], block, model.label(before, new[start : start + size])))
             block, start = block + 1, start + size
-        keep = max(0, start - carry)
+        keep = min(max(0, start - carry), len(new))
         state.update((block, first + keep, new.shape[1], new[keep:].reshape(-1).tolist()))
         yield pd.DataFrame(rows, columns=["recording_id", "block_id", "label"])
 
