@@ -106,7 +106,7 @@ def test_cp_equals_plain_als(spark):
     got = tensor.cp_reconstruct(df, factors, ["recording_id"]).orderBy("epoch_id").toPandas()
     got = np.stack(got["data"].to_list()).reshape(x.shape)
     flat = x.reshape(60, -1)
-    b, f = solve.cp_start((flat.T @ flat).reshape(5, 7, 5, 7), 3)
+    b, f = solve.cp_start_from_gram(flat.T @ flat, 5, 3)
     assert np.allclose(got, plain_als(x, b, f, 8), atol=1e-8)
     assert np.isclose(np.linalg.norm(x - got) / np.linalg.norm(x), errors[-1], atol=1e-6)
 

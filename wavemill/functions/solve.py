@@ -55,39 +55,67 @@ def leading_directions(gram: np.ndarray, k: int) -> np.ndarray:
 
 
 def khatri_rao(b: np.ndarray, f: np.ndarray) -> np.ndarray:
-    return np.einsum("cr,fr->cfr", b, f).reshape(len(b) * len(f), -1)
+    """Column-wise product of two factors, for one problem or a stack of them."""
+    cube = b[..., :, None, :] * f[..., None, :, :]
+    return cube.reshape(*b.shape[:-2], -1, b.shape[-1])
 
 
-def cp_start(gram4: np.ndarray, rank: int, seed: int = 0):
-    """Start factors: leading directions of both short unfoldings, filled up at random."""
+def cp_start(left: np.ndarray, right: np.ndarray, rank: int, seed: int = 0):
+    """Start factors: leading directions of both short unfoldings, filled up at random.
+
+    ``left`` and ``right`` are the Gram matrices of the unfoldings.
+    """
     rng = np.random.RandomState(seed)
     out = []
-    for unfolding in (np.einsum("afbf->ab", gram4), np.einsum("cacb->ab", gram4)):
+    for unfolding in (left, right):
         lead = leading_directions(unfolding, rank).T
         fill = rng.random_sample((len(unfolding), rank - lead.shape[1]))
         out.append(np.hstack([lead, fill]))
     return out
 
 
-def cp_fit(times_gram, norm2: float, b: np.ndarray, f: np.ndarray, sweeps: int, tol: float):
-    """CP-ALS of epochs x channels x bins, without touching the epochs.
+def cp_start_from_gram(gram: np.ndarray, channels: int, rank: int):
+    cube = gram.reshape(channels, len(gram) // channels, channels, -1)
+    return cp_start(np.einsum("afbf->ab", cube), np.einsum("cacb->ab", cube), rank)
+
+
+def gram_of(a: np.ndarray) -> np.ndarray:
+    return a.swapaxes(-1, -2) @ a
+
+
+def inverse(m: np.ndarray) -> np.ndarray:
+    return np.linalg.pinv(m, hermitian=True)
+
+
+def cp_fit(times_gram, norm2: np.ndarray, b: np.ndarray, f: np.ndarray, sweeps: int, tol: float):
+    """CP-ALS of stacked tensors, epochs x channels x bins, without touching the epochs.
 
     The long factor is A = X q, so both short updates need X only through
-    ``times_gram(v) = X'X v``.  Returns (q, b, f, error after each sweep);
-    an epoch x reconstructs to ``x @ q @ khatri_rao(b, f).T``.
+    ``times_gram(v) = X'X v``.  All arguments have a leading problem axis; a problem
+    that has converged stays as it is while the others go on.  Returns
+    (q, b, f, errors per sweep); an epoch x reconstructs to ``x @ q @ khatri_rao(b, f).T``.
     """
-    errors: list[float] = []
+    n, channels, rank = b.shape
+    scale = np.where(norm2 > 0, norm2, 1.0)
+    q = np.zeros((n, channels * f.shape[1], rank))
+    errors: list[np.ndarray] = []
+    going = np.ones(n, dtype=bool)
     for _ in range(sweeps):
-        q = khatri_rao(b, f) @ np.linalg.pinv((b.T @ b) * (f.T @ f))
-        product = times_gram(q)
-        long2 = q.T @ product
-        cube = product.reshape(len(b), len(f), -1)
-        b = np.einsum("cfr,fr->cr", cube, f) @ np.linalg.pinv(long2 * (f.T @ f))
-        unscaled = np.einsum("cfr,cr->fr", cube, b)
-        f = unscaled @ np.linalg.pinv(long2 * (b.T @ b))
-        fitted2 = (long2 * (b.T @ b) * (f.T @ f)).sum()
-        rest = max(norm2 - 2 * (unscaled * f).sum() + fitted2, 0.0)
-        errors.append(float(np.sqrt(rest / norm2)) if norm2 > 0 else 0.0)
-        if len(errors) > 1 and abs(errors[-2] - errors[-1]) < tol:
-            break
-    return q, b, f, errors
+        new_q = khatri_rao(b, f) @ inverse(gram_of(b) * gram_of(f))
+        product = times_gram(new_q)
+        long2 = new_q.swapaxes(1, 2) @ product
+        cube = product.reshape(n, channels, -1, rank)
+        new_b = (cube * f[:, None]).sum(axis=2) @ inverse(long2 * gram_of(f))
+        unscaled = (cube * new_b[:, :, None]).sum(axis=1)
+        new_f = unscaled @ inverse(long2 * gram_of(new_b))
+        fitted2 = (long2 * gram_of(new_b) * gram_of(new_f)).sum(axis=(1, 2))
+        rest = np.maximum(norm2 - 2 * (unscaled * new_f).sum(axis=(1, 2)) + fitted2, 0.0)
+        keep = ~going[:, None, None]
+        q, b, f = (np.where(keep, old, new) for old, new in ((q, new_q), (b, new_b), (f, new_f)))
+        now = np.sqrt(rest / scale)
+        errors.append(now if not errors else np.where(going, now, errors[-1]))
+        if len(errors) > 1:
+            going = going & (np.abs(errors[-2] - errors[-1]) >= tol)
+            if not going.any():
+                break
+    return q, b, f, np.array(errors)

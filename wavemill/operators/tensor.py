@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wavemill.functions import solve
 from wavemill.operators.signal import fixed_lists
-from wavemill.operators.spatial import replaced, same_width, schema_with
+from wavemill.operators.spatial import replaced, same_width, schema_with, vector_sum
 
 RANK = 10
 SWEEPS = 100
@@ -68,8 +68,6 @@ def tensor_gram(epochs: DataFrame, keys: list[str]) -> DataFrame:
     partial = epochs.select(*keys, "n_channels", "data").mapInPandas(
         run, f"{schema}, n_channels int, i int, row array<double>"
     )
-    from wavemill.operators.spatial import vector_sum
-
     return partial.groupBy(*keys, "n_channels", "i").agg(vector_sum("row").alias("row"))
 
 
@@ -89,17 +87,19 @@ def cp_factors(
         channels = int(pdf["n_channels"].iloc[0])
         bins = len(gram) // channels
         if start is None:
-            b, f = solve.cp_start(gram.reshape(channels, bins, channels, bins), rank)
+            b, f = solve.cp_start_from_gram(gram, channels, rank)
         else:
             b, f = np.full((channels, rank), start), np.full((bins, rank), start)
-        q, b, f, errors = solve.cp_fit(lambda v: gram @ v, float(np.trace(gram)), b, f, sweeps, tol)
+        q, b, f, errors = solve.cp_fit(
+            lambda v: gram @ v, np.array([np.trace(gram)]), b[None], f[None], sweeps, tol
+        )
         return pd.DataFrame(
             [
                 {
                     **{k: pdf[k].iloc[0] for k in keys},
-                    "q": q.reshape(-1).tolist(),
-                    "parts": solve.khatri_rao(b, f).T.reshape(-1).tolist(),
-                    "errors": errors,
+                    "q": q[0].reshape(-1).tolist(),
+                    "parts": solve.khatri_rao(b[0], f[0]).T.reshape(-1).tolist(),
+                    "errors": errors[:, 0].tolist(),
                 }
             ]
         )

@@ -41,63 +41,92 @@ def fit_and_score(train_x, train_y, test_x, test_y) -> tuple[int, int]:
     return int((predicted == test_y).sum()), len(test_y)
 
 
-def csp_split(data, labels, train, test, times, channels):
+def attempt(split, *args):
+    """(hits, cases, None), or the reason why a split cannot be scored."""
+    try:
+        return (*split(*args), None)
+    except (ValueError, np.linalg.LinAlgError) as e:
+        return None, None, str(e)
+
+
+def csp_splits(data, labels, tests, times, channels):
     gram = data.reshape(len(data), channels, channels)
-    classes = np.unique(labels[train])
-    if len(classes) != 2:
-        raise ValueError(f"{len(classes)} classes in the train epochs, 2 needed")
-    a, b = (
-        gram[train & (labels == c)].sum(0) / times[train & (labels == c)].sum() for c in classes
-    )
-    w, _ = solve.joint_diagonal(a, b, min(N_COMPONENTS, channels))
-    power = np.einsum("kc,ncd,kd->nk", w, gram, w, optimize=True)
-    x = np.log(np.maximum(power, np.finfo(float).tiny) / times[:, None])
-    return fit_and_score(x[train], labels[train], x[test], labels[test])
 
+    def one(test):
+        train = ~test
+        classes = np.unique(labels[train])
+        if len(classes) != 2:
+            raise ValueError(f"{len(classes)} classes in the train epochs, 2 needed")
+        a, b = (
+            gram[train & (labels == c)].sum(0) / times[train & (labels == c)].sum()
+            for c in classes
+        )
+        w, _ = solve.joint_diagonal(a, b, min(N_COMPONENTS, channels))
+        power = ((w @ gram) * w).sum(axis=2)
+        x = np.log(np.maximum(power, np.finfo(float).tiny) / times[:, None])
+        return fit_and_score(x[train], labels[train], x[test], labels[test])
 
-def reconstruction(x, channels):
-    """Low-rank reconstruction of a stack of epochs, as the flat matrix."""
-    bins = x.shape[1] // channels
-    if len(x) < x.shape[1]:
-        times_gram = lambda v: x.T @ (x @ v)
-    else:
-        gram = x.T @ x
-        times_gram = lambda v: gram @ v
-    cube = x.reshape(len(x), channels, bins)
-    rng = np.random.RandomState(0)
-    start = []
-    for unfolding in (np.einsum("naf,nbf->ab", cube, cube), np.einsum("nca,ncb->ab", cube, cube)):
-        lead = solve.leading_directions(unfolding, tensor.RANK).T
-        start.append(np.hstack([lead, rng.random_sample((len(unfolding), tensor.RANK - lead.shape[1]))]))
-    q, b, f, _ = solve.cp_fit(times_gram, float((x * x).sum()), *start, tensor.SWEEPS, tensor.TOL)
-    return x @ q @ solve.khatri_rao(b, f).T
+    return [attempt(one, test) for test in tests]
 
 
-def parafac_split(data, labels, train, test, times, channels):
-    train_x = reconstruction(data[train], channels)
-    test_x = reconstruction(data[test], channels)
-    basis = solve.leading_directions(train_x.T @ train_x, N_SVD).T
-    return fit_and_score(train_x @ basis, labels[train], test_x @ basis, labels[test])
+def reconstructions(x, channels):
+    """Low-rank reconstruction of stacked tensors (problems x epochs x cells)."""
+    n, epochs, cells = x.shape
+    if epochs < cells:
+        times_gram = lambda v: x.swapaxes(1, 2) @ (x @ v)
+    else:
+        gram = x.swapaxes(1, 2) @ x
+        times_gram = lambda v: gram @ v
+    cube = x.reshape(n, epochs, channels, -1)
+    left = np.einsum("neaf,nebf->nab", cube, cube, optimize=True)
+    right = np.einsum("neca,necb->nab", cube, cube, optimize=True)
+    b, f = map(np.stack, zip(*(solve.cp_start(l, r, tensor.RANK) for l, r in zip(left, right))))
+    q, b, f, _ = solve.cp_fit(times_gram, (x * x).sum(axis=(1, 2)), b, f, tensor.SWEEPS, tensor.TOL)
+    return x @ q @ solve.khatri_rao(b, f).swapaxes(1, 2)
+
+
+def parafac_splits(data, labels, tests, times, channels):
+    """Splits with equally many test epochs are decomposed together."""
+    out = [None] * len(tests)
+    sizes = tests.sum(axis=1)
+    for size in np.unique(sizes):
+        members = np.flatnonzero(sizes == size)
+        if not 0 < size < len(data):
+            for m in members:
+                out[m] = (None, None, "no train or no test epochs")
+            continue
+        train_x = reconstructions(np.stack([data[~tests[m]] for m in members]), channels)
+        test_x = reconstructions(np.stack([data[tests[m]] for m in members]), channels)
+        for m, a, b in zip(members, train_x, test_x):
+            basis = solve.leading_directions(a.T @ a, N_SVD).T
+            out[m] = attempt(
+                fit_and_score, a @ basis, labels[~tests[m]], b @ basis, labels[tests[m]]
+            )
+    return out
 
 
-def compact_scores(cells: DataFrame, n_splits: int, one_split) -> DataFrame:
+def compact_scores(cells: DataFrame, n_splits: int, all_splits) -> DataFrame:
     """Score all splits of a (recording, band) group; a failing split reports its error."""
+    names = [c.split()[0] for c in SCORE_SCHEMA.split(", ")]
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         data = np.stack(pdf["data"].to_list())
-        labels, times = pdf["class_id"].to_numpy(), pdf["n_times"].to_numpy()
-        tested = [set(t) for t in pdf["test_in"]]
-        rows = []
-        for split in range(n_splits):
-            test = np.array([split in t for t in tested])
-            row = [pdf["recording_id"].iloc[0], pdf["band_id"].iloc[0], split, None, None, None, None]
-            try:
-                hits, cases = one_split(data, labels, ~test, test, times, int(pdf["n_channels"].iloc[0]))
-                row[3:6] = hits, cases, hits / cases
-            except (ValueError, ZeroDivisionError, np.linalg.LinAlgError) as e:
-                row[6] = str(e) or type(e).__name__
-            rows.append(row)
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in SCORE_SCHEMA.split(", ")])
+        tests = np.zeros((n_splits, len(pdf)), dtype=bool)
+        for epoch, tested in enumerate(pdf["test_in"]):
+            tests[list(tested), epoch] = True
+        scores = all_splits(
+            data,
+            pdf["class_id"].to_numpy(),
+            tests,
+            pdf["n_times"].to_numpy(),
+            int(pdf["n_channels"].iloc[0]),
+        )
+        key = [pdf["recording_id"].iloc[0], pdf["band_id"].iloc[0]]
+        rows = [
+            (*key, split, hits, cases, hits / cases if cases else None, error)
+            for split, (hits, cases, error) in enumerate(scores)
+        ]
+        return pd.DataFrame(rows, columns=names)
 
     return cells.groupBy(*CELL).applyInPandas(score, SCORE_SCHEMA)
 
@@ -157,12 +186,11 @@ def parafac_large(cells: DataFrame, n_splits: int) -> DataFrame:
         for test, group in pdf.groupby("test"):
             group = group.sort_values("i")
             gram = np.stack(group["row"].to_list())
-            c = int(group["n_channels"].iloc[0])
-            b, f = solve.cp_start(gram.reshape(c, len(gram) // c, c, len(gram) // c), tensor.RANK)
+            b, f = solve.cp_start_from_gram(gram, int(group["n_channels"].iloc[0]), tensor.RANK)
             q, b, f, _ = solve.cp_fit(
-                lambda v: gram @ v, float(np.trace(gram)), b, f, tensor.SWEEPS, tensor.TOL
+                lambda v: gram @ v, np.array([np.trace(gram)]), b[None], f[None], tensor.SWEEPS, tensor.TOL
             )
-            to_fit = q @ solve.khatri_rao(b, f).T
+            to_fit = q[0] @ solve.khatri_rao(b[0], f[0]).T
             if basis is None:
                 basis = solve.leading_directions(to_fit.T @ gram @ to_fit, N_SVD).T
             row = {k: group[k].iloc[0] for k in [*SPLIT, "test"]}
@@ -183,8 +211,8 @@ def parafac_large(cells: DataFrame, n_splits: int) -> DataFrame:
 
 # Feature methods by name: what is kept of a filtered epoch, and both ways to score it.
 METHODS = {
-    "csp": ("gram", csp_split, csp_large),
-    "parafac": ("spectrum", parafac_split, parafac_large),
+    "csp": ("gram", csp_splits, csp_large),
+    "parafac": ("spectrum", parafac_splits, parafac_large),
 }
 
 
@@ -213,7 +241,7 @@ def score_blocks(
 
     ``blocks`` has recording_id, epoch_id, class_id, data, n_channels [, lead].
     """
-    kept, one_split, large = METHODS[method]
+    kept, all_splits, large = METHODS[method]
     if split_rows is None:
         split_rows = splits.shuffle_split(blocks, n_splits)
     ready = with_tests(blocks, split_rows)
@@ -221,7 +249,7 @@ def score_blocks(
     ready = ready.join(sizes, "recording_id")
     small = ready.filter(F.col("_epochs") <= limit).drop("_epochs")
     big = ready.filter(F.col("_epochs") > limit).drop("_epochs")
-    scores = compact_scores(bk.band_epochs(small, bands, kept, **filtering), n_splits, one_split)
+    scores = compact_scores(bk.band_epochs(small, bands, kept, **filtering), n_splits, all_splits)
     if sizes.filter(F.col("_epochs") > limit).isEmpty():
         return scores
     return scores.unionByName(large(bk.band_epochs(big, bands, kept, **filtering), n_splits))
