@@ -125,9 +125,9 @@ def test_tensor_gram_in_small_pieces(spark, monkeypatch):
 def test_truncated_svd(spark):
     rng = np.random.RandomState(5)
     x = rng.randn(50, 6)
-    df = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(x)], "k int, i int, features array<double>")
+    df = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(x)], "k int, epoch_id int, features array<double>")
     basis = linear.svd_basis(linear.feature_gram(df, ["k"]), ["k"], 3)
-    got = linear.svd_project(df, basis, ["k"]).orderBy("i").toPandas()
+    got = linear.svd_project(df, basis, ["k"]).orderBy("epoch_id").toPandas()
     _, _, vt = np.linalg.svd(x, full_matrices=False)
     assert np.allclose(np.abs(np.stack(got["features"].to_list())), np.abs(x @ vt[:3].T), atol=1e-8)
 

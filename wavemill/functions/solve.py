@@ -84,7 +84,12 @@ def gram_of(a: np.ndarray) -> np.ndarray:
 
 
 def inverse(m: np.ndarray) -> np.ndarray:
-    return np.linalg.pinv(m, hermitian=True)
+    """Pseudo-inverse of symmetric matrices, stacked."""
+    values, vectors = np.linalg.eigh(m)
+    size = np.abs(values)
+    usable = size > 1e-15 * size.max(axis=-1, keepdims=True)
+    scale = np.divide(1.0, values, out=np.zeros_like(values), where=usable)
+    return (vectors * scale[..., None, :]) @ vectors.swapaxes(-1, -2)
 
 
 def cp_fit(times_gram, norm2: np.ndarray, b: np.ndarray, f: np.ndarray, sweeps: int, tol: float):

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.functions import solve
 from wavemill.functions.scalars import dot
-from wavemill.operators.spatial import vector_sum
+from wavemill.operators.apply import matrix, one_width, with_model
+from wavemill.operators.signal import fixed_lists
+from wavemill.operators.spatial import schema_with, vector_sum
 
 
 def outer_product(column: str):
@@ -95,8 +98,15 @@ def svd_basis(grams: DataFrame, keys: list[str], n_components: int = 10) -> Data
 
 
 def svd_project(features: DataFrame, basis: DataFrame, keys: list[str]) -> DataFrame:
-    return (
-        features.join(basis, keys)
-        .withColumn("features", F.transform("basis", lambda v: dot(F.col("features"), v)))
-        .drop("basis")
-    )
+    """Coordinates of the feature rows in the basis of their key."""
+
+    def run(rows: pa.Table, models: pa.Table) -> pa.Table:
+        vectors = np.array(models.column("basis")[0].as_py())
+        at = rows.schema.get_field_index("features")
+        out = [
+            piece.set_column(at, "features", fixed_lists(matrix(piece, "features") @ vectors.T))
+            for piece in one_width(rows, "features")
+        ]
+        return pa.concat_tables(out)
+
+    return with_model(features, basis, keys, run, schema_with(features))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.functions import solve
+from wavemill.operators.apply import matrix, one_width, with_model
 from wavemill.operators.ordered import join_on
 from wavemill.operators.signal import fixed_lists, same_shape
 
@@ -161,42 +162,37 @@ def csp_filters(
 
 
 def csp_log_power(grams: DataFrame, filters: DataFrame, keys: list[str]) -> DataFrame:
-    """Log mean power of each filtered component, from the Gram matrix."""
-    usable = filters.filter(F.col("filters").isNotNull()).select(*keys, *extra(filters, keys), "filters")
-    joined = grams.join(usable, keys)
+    """Log mean power of each filtered component, from the Gram matrix.
 
-    def run(batches):
-        for batch in batches:
-            for part, gram in same_shape(batch):
-                channels = gram.shape[1]
-                gram = gram.reshape(len(part), channels, channels)
-                for piece, at, w in same_width(part, "filters"):
-                    w = w.reshape(len(w), -1, channels)
-                    times = piece.column("n_times").to_numpy()
-                    power = np.einsum("nkc,ncd,nkd->nk", w, gram[at], w, optimize=True)
-                    logs = np.log(np.maximum(power, np.finfo(float).tiny) / times[:, None])
-                    yield replaced(
-                        piece.drop_columns(["filters", "data"]), features=fixed_lists(logs)
-                    )
-
-    return joined.mapInArrow(
-        run, schema_with(joined, "features array<double>", without=("filters", "data"))
+    With filters for several splits per key, each row comes out once per split.
+    """
+    more = [c for c in ("split_id",) if c in filters.columns and c not in keys]
+    usable = filters.filter(F.col("filters").isNotNull()).select(*keys, *more, "filters")
+    types = dict(filters.dtypes)
+    columns = [c for c in grams.columns if c != "data"]
+    schema = ", ".join(
+        [schema_with(grams, without=("data",)), *[f"{c} {types[c]}" for c in more], "features array<double>"]
     )
 
-
-def extra(df: DataFrame, keys: list[str]) -> list[str]:
-    """Split column of a model table that is not part of the join key."""
-    return [c for c in ("split_id",) if c in df.columns and c not in keys]
-
-
-def same_width(batch: pa.RecordBatch, column: str):
-    """Pieces of a batch whose list column has one length, with row numbers and matrix."""
-    counts = np.diff(batch.column(column).offsets.to_numpy())
-    for width in np.unique(counts):
-        at = np.flatnonzero(counts == width)
-        piece = batch.take(pa.array(at))
-        values = piece.column(column).flatten().to_numpy()
-        yield piece, at, values.reshape(len(at), width)
+    def run(rows: pa.Table, models: pa.Table) -> pa.Table:
+        out = []
+        for piece in one_width(rows, "data"):
+            flat = matrix(piece, "data")
+            channels = int(np.sqrt(flat.shape[1]))
+            gram = flat.reshape(-1, channels, channels)
+            times = piece.column("n_times").to_numpy()
+            for m in range(models.num_rows):
+                w = np.reshape(models.column("filters")[m].values.to_numpy(), (-1, channels))
+                power = ((w @ gram) * w).sum(axis=2)
+                logs = np.log(np.maximum(power, np.finfo(float).tiny) / times[:, None])
+                part = piece.select(columns)
+                for c in more:
+                    value = models.column(c)[m]
+                    part = part.append_column(c, pa.repeat(value, len(part)))
+                out.append(part.append_column("features", fixed_lists(logs)))
+        return pa.concat_tables(out)
+
+    return with_model(grams, usable, keys, run, schema)
 
 
 def concat_features(features: DataFrame, keys: list[str], band: str = "band_id") -> DataFrame:

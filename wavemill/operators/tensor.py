@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.functions import solve
+from wavemill.operators.apply import matrix, with_model
 from wavemill.operators.signal import fixed_lists
-from wavemill.operators.spatial import replaced, same_width, schema_with, vector_sum
+from wavemill.operators.spatial import schema_with, vector_sum
 
 RANK = 10
 SWEEPS = 100
@@ -112,26 +114,12 @@ def cp_factors(
 
 def cp_reconstruct(epochs: DataFrame, factors: DataFrame, keys: list[str]) -> DataFrame:
     """Each epoch replaced by its low-rank reconstruction: two small products per row."""
-    joined = epochs.join(factors.select(*keys, "q", "parts"), keys)
 
-    def run(batches):
-        for batch in batches:
-            for piece, _, x in same_width(batch, "data"):
-                width = x.shape[1]
-                # Rows that share a tensor share one product.
-                q_rows = piece.column("q")
-                groups = pd.factorize(pd.Series(map(hash_of, q_rows)))[0]
-                out = np.empty_like(x)
-                for g in np.unique(groups):
-                    at = groups == g
-                    first = int(np.argmax(at))
-                    q = q_rows[first].values.to_numpy().reshape(width, -1)
-                    parts = piece.column("parts")[first].values.to_numpy().reshape(-1, width)
-                    out[at] = x[at] @ q @ parts
-                yield replaced(piece.drop_columns(["q", "parts"]), data=fixed_lists(out))
-
-    return joined.mapInArrow(run, schema_with(joined, without=("q", "parts")))
-
-
-def hash_of(scalar) -> bytes:
-    return scalar.values.to_numpy().tobytes()
+    def run(rows: pa.Table, models: pa.Table) -> pa.Table:
+        x = matrix(rows, "data")
+        q = models.column("q")[0].values.to_numpy().reshape(x.shape[1], -1)
+        parts = models.column("parts")[0].values.to_numpy().reshape(-1, x.shape[1])
+        at = rows.schema.get_field_index("data")
+        return rows.set_column(at, "data", fixed_lists(x @ q @ parts))
+
+    return with_model(epochs, factors.select(*keys, "q", "parts"), keys, run, schema_with(epochs))

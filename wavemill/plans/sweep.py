@@ -17,6 +17,7 @@ from wavemill.functions import solve, taps
 from wavemill.operators import blocks as bk
 from wavemill.operators import channels, evaluate, grid, linear, signal, spatial, splits, tensor
 from wavemill.operators.events import sub_event_offsets, sub_events
+from wavemill.session import spread
 
 CELL = ["recording_id", "band_id"]
 SPLIT = [*CELL, "split_id"]
@@ -128,7 +129,7 @@ def compact_scores(cells: DataFrame, n_splits: int, all_splits) -> DataFrame:
         ]
         return pd.DataFrame(rows, columns=names)
 
-    return cells.groupBy(*CELL).applyInPandas(score, SCORE_SCHEMA)
+    return spread(cells, *CELL).groupBy(*CELL).applyInPandas(score, SCORE_SCHEMA)
 
 
 # --- large groups ----------------------------------------------------------
@@ -244,15 +245,18 @@ def score_blocks(
     kept, all_splits, large = METHODS[method]
     if split_rows is None:
         split_rows = splits.shuffle_split(blocks, n_splits)
-    ready = with_tests(blocks, split_rows)
-    sizes = blocks.groupBy("recording_id").agg(F.count(F.lit(1)).alias("_epochs"))
-    ready = ready.join(sizes, "recording_id")
-    small = ready.filter(F.col("_epochs") <= limit).drop("_epochs")
-    big = ready.filter(F.col("_epochs") > limit).drop("_epochs")
-    scores = compact_scores(bk.band_epochs(small, bands, kept, **filtering), n_splits, all_splits)
-    if sizes.filter(F.col("_epochs") > limit).isEmpty():
-        return scores
-    return scores.unionByName(large(bk.band_epochs(big, bands, kept, **filtering), n_splits))
+    ready = with_tests(spread(blocks, "recording_id", "epoch_id"), split_rows)
+    # Few recordings can be this large, so the list stays short.
+    large_ids = (
+        blocks.groupBy("recording_id").count().filter(F.col("count") > limit).select("recording_id")
+    )
+    if large_ids.isEmpty():
+        return compact_scores(bk.band_epochs(ready, bands, kept, **filtering), n_splits, all_splits)
+    small = ready.join(large_ids, "recording_id", "left_anti")
+    big = ready.join(large_ids, "recording_id", "left_semi")
+    return compact_scores(
+        bk.band_epochs(small, bands, kept, **filtering), n_splits, all_splits
+    ).unionByName(large(bk.band_epochs(big, bands, kept, **filtering), n_splits))
 
 
 def result_rows(scores: DataFrame, cells: DataFrame, method: str) -> DataFrame:

@@ -45,3 +45,14 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint, so that lost executors do no harm."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over all cores ahead of a step that costs far more than its input bytes.
+
+    Adaptive execution merges partitions by size, which would leave such a step to a
+    few tasks; an explicit partition count is left alone.
+    """
+    spark = df.sparkSession
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(shuffles, spark.sparkContext.defaultParallelism), *keys)
