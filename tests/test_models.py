@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wavemill.functions import solve
 from wavemill.operators import blocks, linear, spatial, splits, tensor
-from wavemill.plans import staged, sweep
+from wavemill.plans import running, staged, sweep
 
 RATE = 250
 EPOCH_SCHEMA = (
@@ -259,6 +259,21 @@ def test_two_stages(spark):
     assert np.mean([r.predicted == r.actual for r in rows]) > 0.8
 
 
+def test_two_stage_windows(spark):
+    df = epochs_frame(spark, 60, 4, 400, 6.0, classes=3).withColumn("class_id", F.col("class_id") - 1)
+    got = staged.two_stage_scores(df, [(0, 8.0, 12.0)], window=(250, 25), n_splits=1).collect()
+    assert [sorted(r.window_id for r in got), {r.cases for r in got}] == [list(range(6)), {12}]
+    assert np.mean([r.accuracy for r in got]) > 0.7
+
+
+def test_running_scores(spark):
+    df = epochs_frame(spark, 40, 3, 501, 5.0)
+    got = running.running_scores(df, [(3, 8.0, 12.0)], n_splits=2).orderBy("split_id", "window_id").collect()
+    assert len(got) == 22 and {r.cases for r in got} == {8}
+    assert [r.center_s for r in got[:2]] == [1.5, 1.6]
+    assert np.mean([r.accuracy for r in got]) > 0.9
+
+
 def test_mirror_pad_of_blocks():
     x = np.arange(6.0).reshape(1, 6) ** 2
     y = blocks.mirror_pad(x, 7, 2)

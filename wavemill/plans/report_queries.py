@@ -9,8 +9,9 @@ from wavemill.functions import scalars
 from wavemill.operators import channels, events, grid, report
 from wavemill.plans.sqltext import half_even, with_ctes
 from wavemill.registry import query
-from wavemill.sources import views
+from wavemill.sources import tabular, views
 from wavemill.sources.tables import table
+from wavemill.streaming.sinks import new_folder
 
 DROPPED = "2024-01-08"
 
@@ -86,6 +87,23 @@ query(
 FROM best GROUP BY ALL""",
 )(lambda spark, sf: report.mean_by_family(best(spark, sf)))
 
+
+
+def csv_round_trip(spark, sf):
+    """Best-cell report written as CSV with a running index and read back."""
+    folder = new_folder(spark, "report")
+    tabular.write_csv(best(spark, sf), folder, ["participant", "task", "classifier"])
+    schema = "row_index bigint, participant string, task string, classifier string, accuracy double"
+    return tabular.read_csv(spark, folder, schema, with_index=False)
+
+
+query(
+    "csv_round_trip",
+    REPORT_CTES
+    + """SELECT row_number() OVER (ORDER BY participant, task, classifier) - 1 AS row_index,
+  participant, task, classifier, accuracy FROM best""",
+)(csv_round_trip)
+
 query(
     "accuracy_curve",
     with_ctes(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wavemill.operators import grid
-from wavemill.plans import staged, sweep
+from wavemill.plans import running, staged, sweep
 from wavemill.registry import query
 from wavemill.sources import views
 
@@ -28,10 +28,21 @@ def swept(spark, sf, method, widths):
 
 query("sweep_results")(lambda spark, sf: swept(spark, sf, "csp", [1, 2, 3, 4, 5, 6, 7]))
 query("sweep_results_tensor")(lambda spark, sf: swept(spark, sf, "parafac", [3, 7]))
-query("two_stage_scores")(
-    lambda spark, sf: staged.two_stage_scores(
+
+
+def two_stages(spark, sf, window=None):
+    return staged.two_stage_scores(
         recordings(spark, sf).withColumn("class_id", (F.col("epoch_id") % 3).cast("int")),
         [(0, 8.0, 12.0)],
+        window,
         rate=RATE,
     )
+
+
+query("two_stage_scores")(two_stages)
+query("two_stage_window_scores")(lambda spark, sf: two_stages(spark, sf, (4, 2)))
+query("running_scores")(
+    lambda spark, sf: running.running_scores(
+        recordings(spark, sf), [(0, 8.0, 12.0), (1, 14.0, 20.0)], rate=RATE, length=4, step=2
+    )
 )
