@@ -1,10 +1,12 @@
 """Ordered operators: the block way gives what a plain window gives."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wavemill.operators import ordered
+from wavemill.operators import ordered, throttle
 
 
 @pytest.fixture(scope="module")
@@ -43,3 +45,33 @@ def test_previous_and_total(rows, block):
         ordered.previous_value(placed, ["k"], "n", "id", "p", block), ["k"], "n", "t", "s", block
     )
     assert collect(got, "k", "id", "p", "s") == collect(want, "k", "id", "p", "s")
+
+
+def play_in_order(pdf):
+    """Reference: one pass over a key."""
+    out, busy, last = [], None, None
+    for e, t, c, d in zip(pdf["event_id"], pdf["t"], pdf["command"], pdf["playing_s"]):
+        if (busy is None or t >= busy) and c != last:
+            busy, last = t + d, c
+            out.append(e)
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 13, 100, 10**6])
+def test_throttle(spark, block):
+    """Blocks played at the same time equal one pass; times tie and some commands take none."""
+    rng = np.random.RandomState(7)
+    n = 900
+    pdf = pd.DataFrame(
+        {
+            "key": np.where(rng.rand(n) < 0.6, 0, rng.randint(1, 5, n)),
+            "event_id": np.arange(n),
+            "t": np.sort(rng.randint(0, 500, n)),
+            "command": rng.choice(["a", "b", "c"], n, p=[0.7, 0.2, 0.1]),
+            "playing_s": rng.choice([0.0, 1.0, 4.0, 30.0], n),
+        }
+    )
+    df = spark.createDataFrame(pdf).withColumn("ts", F.timestamp_seconds("t"))
+    got = throttle.throttle(df, block).select("event_id").collect()
+    want = [e for _, group in pdf.groupby("key") for e in play_in_order(group)]
+    assert sorted(r.event_id for r in got) == sorted(want)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wavemill import constants as C
 from wavemill.functions import taps
-from wavemill.operators import blocks, events
+from wavemill.operators import blocks, events, throttle
 from wavemill.streaming import commands, live, scans, sinks
 
 
@@ -35,7 +35,7 @@ def command_rows(spark):
     "stream_rule, batch_rule",
     [
         (commands.stream_change_only, events.change_only),
-        (commands.stream_throttle, events.throttle_scan),
+        (commands.stream_throttle, throttle.throttle),
     ],
 )
 def test_commands(spark, command_rows, tmp_path, stream_rule, batch_rule):

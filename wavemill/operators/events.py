@@ -226,38 +226,3 @@ def block_envelope(samples: DataFrame, size: int, group: Column, margin: float =
         .withColumn("axis_low", F.col("low") - margin * (F.col("high") - F.col("low")))
         .withColumn("axis_high", F.col("high") + margin * (F.col("high") - F.col("low")))
     )
-
-
-def throttle_scan(rows: DataFrame, key: str = "key") -> DataFrame:
-    """Commands that get played: none starts while one is playing, and none repeats the last.
-
-    Whether a command starts depends on the one that started before it, so a key is
-    read in order.  Rows are hashed by key, sorted inside the partition and read as a
-    stream of batches; memory holds one batch and the last command.
-    """
-    def scan(batches):
-        current, busy, last = None, None, None
-        for pdf in batches:
-            keep = []
-            for k, t, c, d in zip(pdf[key], pdf["_t"], pdf["command"], pdf["_d"]):
-                if k != current:
-                    current, busy, last = k, None, None
-                play = (busy is None or t >= busy) and c != last
-                if play:
-                    busy, last = t + d, c
-                keep.append(play)
-            yield pdf.loc[keep]
-
-    source = rows.select(
-        key,
-        "event_id",
-        "command",
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("_t"),
-        F.rint(F.col("playing_s") * 1e6).cast("long").alias("_d"),
-    )
-    return (
-        source.repartition(key)
-        .sortWithinPartitions(key, "_t", "event_id")
-        .mapInPandas(scan, source.schema)
-        .select(key, "event_id", "command", (F.col("_d") / 1e6).alias("playing_s"))
-    )

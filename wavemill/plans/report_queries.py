@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wavemill import constants as C
 from wavemill.functions import scalars
-from wavemill.operators import channels, events, grid, report
+from wavemill.operators import channels, events, grid, report, throttle
 from wavemill.plans.sqltext import half_even, with_ctes
 from wavemill.registry import query
 from wavemill.sources import tabular, views
@@ -476,7 +476,7 @@ walk AS (
   FROM walk w JOIN c ON c.key = w.key AND c.rn = w.rn + 1)
 SELECT key, event_id FROM walk WHERE play""",
 )(
-    lambda spark, sf: events.throttle_scan(views.commands(spark, sf)).select("key", "event_id")
+    lambda spark, sf: throttle.throttle(views.commands(spark, sf)).select("key", "event_id")
 )
 
 query(

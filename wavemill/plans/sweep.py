@@ -145,18 +145,9 @@ def summed_scores(features: DataFrame) -> DataFrame:
     )
 
 
-def split_roles(cells: DataFrame) -> DataFrame:
-    """(recording, epoch, split, role) rows out of the ``test_in`` arrays."""
-    return (
-        cells.select("recording_id", "epoch_id", "test_in")
-        .distinct()
-        .select("recording_id", "epoch_id", F.explode("test_in").alias("split_id"), F.lit("test").alias("role"))
-    )
-
-
-def csp_large(cells: DataFrame, n_splits: int) -> DataFrame:
+def csp_large(cells: DataFrame, roles: DataFrame, n_splits: int) -> DataFrame:
     cells = cells.persist()
-    covariance = spatial.class_covariance(cells, split_roles(cells), n_splits, CELL)
+    covariance = spatial.class_covariance(cells, roles, n_splits, CELL)
     filters = spatial.csp_filters(covariance, SPLIT, N_COMPONENTS).persist()
     features = spatial.csp_log_power(cells, filters, CELL).withColumn(
         "test", F.array_contains("test_in", F.col("split_id"))
@@ -168,7 +159,7 @@ def csp_large(cells: DataFrame, n_splits: int) -> DataFrame:
     return summed_scores(features).unionByName(failed)
 
 
-def parafac_large(cells: DataFrame, n_splits: int) -> DataFrame:
+def parafac_large(cells: DataFrame, roles: DataFrame, n_splits: int) -> DataFrame:
     """Tensor method on sums: one Gram matrix per cell, split and role.
 
     The chain epoch -> reconstruction -> truncated SVD is linear in the epoch, so
@@ -256,7 +247,7 @@ def score_blocks(
     big = ready.join(large_ids, "recording_id", "left_semi")
     return compact_scores(
         bk.band_epochs(small, bands, kept, **filtering), n_splits, all_splits
-    ).unionByName(large(bk.band_epochs(big, bands, kept, **filtering), n_splits))
+    ).unionByName(large(bk.band_epochs(big, bands, kept, **filtering), split_rows, n_splits))
 
 
 def result_rows(scores: DataFrame, cells: DataFrame, method: str) -> DataFrame:
