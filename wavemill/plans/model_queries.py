@@ -78,15 +78,16 @@ query(
 )
 
 # Two channels of 32 times: the filters have a closed form.
-TWO_SQL = """m AS (
-  SELECT split_id,
+def two_channel_sql(keys: str) -> str:
+    return f"""m AS (
+  SELECT {keys},
     max(value) FILTER (class_id = 0 AND i = 0 AND j = 0) AS a11,
     max(value) FILTER (class_id = 0 AND i = 0 AND j = 1) AS a12,
     max(value) FILTER (class_id = 0 AND i = 1 AND j = 1) AS a22,
     sum(value) FILTER (i = 0 AND j = 0) AS s11,
     sum(value) FILTER (i = 0 AND j = 1) AS s12,
     sum(value) FILTER (i = 1 AND j = 1) AS s22
-  FROM cov GROUP BY split_id),
+  FROM cov GROUP BY {keys}),
 q AS (
   SELECT *, s11 * s22 - s12 * s12 AS a, a11 * s22 + a22 * s11 - 2 * a12 * s12 AS b,
          a11 * a22 - a12 * a12 AS c FROM m),
@@ -98,7 +99,7 @@ scaled AS (
   SELECT *, v0 / sqrt(v0 * v0 * s11 + 2 * v0 * v1 * s12 + v1 * v1 * s22) AS u0,
          v1 / sqrt(v0 * v0 * s11 + 2 * v0 * v1 * s12 + v1 * v1 * s22) AS u1 FROM raw),
 filters AS (
-  SELECT split_id, CAST(row_number() OVER (PARTITION BY split_id ORDER BY abs(share - 0.5) DESC) - 1
+  SELECT {keys}, CAST(row_number() OVER (PARTITION BY {keys} ORDER BY abs(share - 0.5) DESC) - 1
                         AS INTEGER) AS component, share,
          u0 * sign(CASE WHEN abs(u0) >= abs(u1) THEN u0 ELSE u1 END) AS w0,
          u1 * sign(CASE WHEN abs(u0) >= abs(u1) THEN u0 ELSE u1 END) AS w1
@@ -111,7 +112,7 @@ def two_channel_filters(spark, sf):
 
 query(
     "csp_filters",
-    with_ctes(views.epochs_sql(32), SPLITS_SQL, covariance_sql(32), TWO_SQL)
+    with_ctes(views.epochs_sql(32), SPLITS_SQL, covariance_sql(32), two_channel_sql("split_id"))
     + """SELECT split_id, component, round(share, 6) AS share, round(w0, 5) AS w0, round(w1, 5) AS w1
 FROM filters""",
 )(
@@ -225,24 +226,32 @@ query(
     )
 )
 
-MODEL_SQL = """within AS (
-  SELECT split_id, sum(n) AS n, (sum(q00) - sum(s0 * s0 / n)) / (sum(n) - 2) AS c00,
+def discriminant_sql(keys: str) -> str:
+    """Linear scores of two features from ``stats``, in closed form."""
+    return f"""within AS (
+  SELECT {keys}, sum(n) AS n, (sum(q00) - sum(s0 * s0 / n)) / (sum(n) - 2) AS c00,
          (sum(q01) - sum(s0 * s1 / n)) / (sum(n) - 2) AS c01,
          (sum(q11) - sum(s1 * s1 / n)) / (sum(n) - 2) AS c11
-  FROM stats GROUP BY split_id),
+  FROM stats GROUP BY {keys}),
 model AS (
-  SELECT s.split_id, s.class_id, ln(s.n / w.n) AS prior, s0 / s.n AS m0, s1 / s.n AS m1,
+  SELECT {keys}, s.class_id, ln(s.n / w.n) AS prior, s0 / s.n AS m0, s1 / s.n AS m1,
          c11 / (c00 * c11 - c01 * c01) AS i00, -c01 / (c00 * c11 - c01 * c01) AS i01,
          c00 / (c00 * c11 - c01 * c01) AS i11
-  FROM stats s JOIN within w USING (split_id)),
+  FROM stats s JOIN within w USING ({keys})),
 lines AS (
-  SELECT split_id, class_id, i00 * m0 + i01 * m1 AS b0, i01 * m0 + i11 * m1 AS b1,
+  SELECT {keys}, class_id, i00 * m0 + i01 * m1 AS b0, i01 * m0 + i11 * m1 AS b1,
          prior - 0.5 * (m0 * (i00 * m0 + i01 * m1) + m1 * (i01 * m0 + i11 * m1)) AS b
-  FROM model),
+  FROM model)"""
+
+
+MODEL_SQL = (
+    discriminant_sql("split_id")
+    + """,
 predicted AS (
   SELECT split_id, epoch_id, f.class_id AS actual, arg_max(l.class_id, b0 * f0 + b1 * f1 + b) AS predicted
   FROM features f JOIN splits s USING (epoch_id) JOIN lines l USING (split_id)
   WHERE role = 'test' GROUP BY split_id, epoch_id, f.class_id)"""
+)
 
 
 def predictions(spark, sf):

@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from wavemill.operators import grid
 from wavemill.plans import running, staged, sweep
+from wavemill.plans.model_queries import discriminant_sql, two_channel_sql
+from wavemill.plans.signal_queries import taps_sql
+from wavemill.plans.sqltext import with_ctes
 from wavemill.registry import query
 from wavemill.sources import views
 
@@ -20,12 +23,84 @@ def recordings(spark, sf):
     )
 
 
-def swept(spark, sf, method, widths):
+def swept(spark, sf, method, widths, channels=8):
     bands = grid.bands(widths=widths)
-    scores = sweep.score_blocks(recordings(spark, sf), bands, method, rate=RATE)
-    return sweep.result_rows(scores, sweep.grid_cells(spark, bands, 8), method)
+    blocks = recordings(spark, sf).withColumn("n_channels", F.lit(channels))
+    scores = sweep.score_blocks(blocks, bands, method, rate=RATE)
+    return sweep.result_rows(scores, sweep.grid_cells(spark, bands, channels), method)
 
 
+# The same sweep on two channels of 32 times has a closed form at every step, so that SQL
+# can follow it whole: mirrored filter, covariances, filters, log powers, discriminant.
+WIDTHS = [2, 5]
+TIMES = 32
+TWO_BANDS = grid.bands(widths=WIDTHS)
+CELL = "recording_id, band_id, split_id"
+SWEEP_SQL = with_ctes(
+    f"""x AS (
+  SELECT 'rec' || (vec_id % 5) AS recording_id, vec_id AS epoch_id, label % 2 AS class_id,
+         CAST(t AS INTEGER) AS t, CAST(embedding[t + 1] AS DOUBLE) AS x0,
+         CAST(embedding[t + {TIMES + 1}] AS DOUBLE) AS x1
+  FROM embeddings, range(0, {TIMES}) r(t))""",
+    """ends AS (
+  SELECT epoch_id, arg_min(x0, t) AS a0, arg_min(x1, t) AS a1, arg_max(x0, t) AS z0,
+         arg_max(x1, t) AS z1 FROM x GROUP BY ALL)""",
+    f"""e AS (
+  SELECT epoch_id, t, x0, x1 FROM x
+  UNION ALL SELECT epoch_id, -t, 2 * a0 - x0, 2 * a1 - x1 FROM x JOIN ends USING (epoch_id) WHERE t > 0
+  UNION ALL SELECT epoch_id, {2 * TIMES - 2} - t, 2 * z0 - x0, 2 * z1 - x1
+    FROM x JOIN ends USING (epoch_id) WHERE t < {TIMES - 1})""",
+    "taps AS ("
+    + " UNION ALL ".join(
+        f"SELECT {b} AS band_id, * FROM ({taps_sql(lo, hi, 2, 2, RATE)})" for b, lo, hi in TWO_BANDS
+    )
+    + ")",
+    f"""grid AS (
+  SELECT f * {len(WIDTHS)} + i AS band_id, f + 2 AS low, w AS width
+  FROM range(0, 28) r(f), (VALUES {", ".join(f"({i}, {w})" for i, w in enumerate(WIDTHS))}) v(i, w))""",
+    f"""y AS (
+  SELECT epoch_id, band_id, o.t, sum(h * x0) AS y0, sum(h * x1) AS y1
+  FROM e, range(0, {TIMES}) o(t) JOIN taps ON k = o.t - e.t GROUP BY ALL)""",
+    """gram AS (
+  SELECT epoch_id, band_id, sum(y0 * y0) AS g00, sum(y0 * y1) AS g01, sum(y1 * y1) AS g11
+  FROM y GROUP BY ALL)""",
+    """ids AS (SELECT DISTINCT recording_id, epoch_id, class_id FROM x)""",
+    """splits AS (
+  SELECT recording_id, class_id, epoch_id, CAST(split_id AS INTEGER) AS split_id,
+         row_number() OVER (PARTITION BY recording_id, split_id
+             ORDER BY md5('42:' || split_id || ':' || epoch_id), epoch_id)
+         <= ceil(0.2::DOUBLE * count(*) OVER (PARTITION BY recording_id, split_id)) AS test
+  FROM ids, range(0, 10) r(split_id))""",
+    f"""sums AS (
+  SELECT {CELL}, class_id, sum(g00) / (count(*) * {TIMES}) AS g00, sum(g01) / (count(*) * {TIMES}) AS g01,
+         sum(g11) / (count(*) * {TIMES}) AS g11
+  FROM gram JOIN splits USING (epoch_id) WHERE NOT test GROUP BY ALL)""",
+    """cov AS (
+  SELECT * EXCLUDE (g00, g01, g11), 0 AS i, 0 AS j, g00 AS value FROM sums
+  UNION ALL SELECT * EXCLUDE (g00, g01, g11), 0, 1, g01 FROM sums
+  UNION ALL SELECT * EXCLUDE (g00, g01, g11), 1, 1, g11 FROM sums)""",
+    two_channel_sql(CELL),
+    f"""features AS (
+  SELECT {CELL}, epoch_id, class_id, test,
+         max(ln((w0 * w0 * g00 + 2 * w0 * w1 * g01 + w1 * w1 * g11) / {TIMES})) FILTER (component = 0) AS f0,
+         max(ln((w0 * w0 * g00 + 2 * w0 * w1 * g01 + w1 * w1 * g11) / {TIMES})) FILTER (component = 1) AS f1
+  FROM gram JOIN splits USING (epoch_id) JOIN filters USING ({CELL}) GROUP BY ALL)""",
+    f"""stats AS (
+  SELECT {CELL}, class_id, count(*) AS n, sum(f0) AS s0, sum(f1) AS s1, sum(f0 * f0) AS q00,
+         sum(f0 * f1) AS q01, sum(f1 * f1) AS q11 FROM features WHERE NOT test GROUP BY ALL)""",
+    discriminant_sql(CELL),
+    f"""predicted AS (
+  SELECT {CELL}, epoch_id, f.class_id AS actual, arg_max(l.class_id, b0 * f0 + b1 * f1 + b) AS predicted
+  FROM features f JOIN lines l USING ({CELL}) WHERE test GROUP BY ALL)""",
+)
+SWEEP_SQL += """SELECT recording_id, 'csp' AS classifier, split_id,
+  count(*) FILTER (predicted = actual)::DOUBLE / count(*) AS accuracy, (low + low + width) / 2.0 AS frequency,
+  width || 'Hz width 2 channels' AS configuration, CAST(low AS INTEGER) AS frequency_start,
+  CAST(low + width AS INTEGER) AS frequency_end, CAST(NULL AS VARCHAR) AS error
+FROM predicted JOIN grid USING (band_id) GROUP BY ALL"""
+
+query("sweep_two_channels", SWEEP_SQL)(lambda spark, sf: swept(spark, sf, "csp", WIDTHS, 2))
+
 query("sweep_results")(lambda spark, sf: swept(spark, sf, "csp", [1, 2, 3, 4, 5, 6, 7]))
 query("sweep_results_tensor")(lambda spark, sf: swept(spark, sf, "parafac", [3, 7]))
 
