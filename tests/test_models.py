@@ -239,7 +239,7 @@ def test_sweep_from_samples(spark):
         [(r, i, i * seconds * RATE, 1 + i % 2) for r in ("r", "flat") for i in range(trials)],
         "recording_id string, annotation_id bigint, onset_idx bigint, class_id int",
     )
-    out = sweep.sweep(samples, marks, start=9, stop=10, widths=[2], n_splits=4).cache()
+    out = sweep.sweep(blocks.to_chunks(samples), marks, start=9, stop=10, widths=[2], n_splits=4).cache()
     good = out.filter("recording_id = 'r'").collect()
     assert len(good) == 8 and {r.classifier for r in good} == {"csp", "parafac"}
     assert all(r.error is None and r.accuracy == 1.0 for r in good)

@@ -20,6 +20,8 @@ def con():
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, con, name):
     df = QUERIES[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     columns, got = spark_rows(df)
     want_columns, want = duck_rows(con, SQL[name])
     assert columns == want_columns

@@ -39,6 +39,13 @@ def to_chunks(samples: DataFrame, size: int = CHUNK) -> DataFrame:
     )
 
 
+def chunk_rows(chunks: DataFrame) -> DataFrame:
+    """Chunks as one row per sample."""
+    return chunks.select(
+        "recording_id", "channel", "start_idx", F.posexplode("values").alias("_pos", "value")
+    ).select("recording_id", "channel", (F.col("start_idx") + F.col("_pos")).alias("sample_idx"), "value")
+
+
 def epoch_blocks(
     chunks: DataFrame, events: DataFrame, first: int, last: int, halo: int, size: int = CHUNK
 ) -> DataFrame:

@@ -38,9 +38,10 @@ def class_range(predictions: DataFrame, n_classes: int) -> DataFrame:
 
 def confusion_matrix(predictions: DataFrame, n_classes: int) -> DataFrame:
     """Counts over all splits; rows are predictions, columns actual classes, gaps are 0."""
-    classes = class_range(predictions, n_classes)
-    grid = classes.select(F.col("class_id").alias("predicted")).crossJoin(
-        classes.select(F.col("class_id").alias("actual"))
+    cell = F.col("id").cast("int")
+    grid = predictions.sparkSession.range(n_classes * n_classes).select(
+        F.floor(cell / n_classes).cast("int").alias("predicted"),
+        (cell % n_classes).alias("actual"),
     )
     return grid.join(pair_counts(predictions), ["predicted", "actual"], "left").select(
         "predicted", "actual", F.coalesce("n", F.lit(0)).alias("n")

@@ -1,48 +1,53 @@
-"""Key tables of a sweep.  They are small by construction and carry the whole job as
-key columns, so that one Spark job covers every cell."""
+"""Key tables of a sweep.  The grid is a list of constants, so it is exploded from a
+literal: no join, and one Spark job covers every cell."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavemill import constants as C
 from wavemill.functions.scalars import configuration_label
 
 
-def configurations(
-    spark: SparkSession, channels: list[str] = C.SWEEP_CHANNELS, widths: list[int] = C.SWEEP_WIDTHS
-) -> DataFrame:
-    rows = [(i, list(channels), w) for i, w in enumerate(widths)]
-    return spark.createDataFrame(rows, "config_id int, channels array<string>, band_width int")
-
-
-def bands(start: int = C.SWEEP_START_HZ, stop: int = C.SWEEP_STOP_HZ, widths: list[int] = C.SWEEP_WIDTHS):
+def bands(
+    start: int = C.SWEEP_START_HZ, stop: int = C.SWEEP_STOP_HZ, widths: list[int] = C.SWEEP_WIDTHS
+) -> list[tuple[int, float, float]]:
     """(band_id, low, high) of every grid cell."""
     cells = [(f, w) for f in range(start, stop) for w in widths]
     return [(i, float(f), float(f + w)) for i, (f, w) in enumerate(cells)]
 
 
+def literals(values) -> F.Column:
+    return F.array(*[F.lit(v) for v in values])
+
+
 def sweep_grid(
-    configs: DataFrame, start: int = C.SWEEP_START_HZ, stop: int = C.SWEEP_STOP_HZ
+    recordings: DataFrame,
+    channels: list[str] = C.SWEEP_CHANNELS,
+    widths: list[int] = C.SWEEP_WIDTHS,
+    start: int = C.SWEEP_START_HZ,
+    stop: int = C.SWEEP_STOP_HZ,
 ) -> DataFrame:
-    """Start frequency x configuration, with band centre, end and label."""
-    width = F.col("band_width")
+    """Every recording with every start frequency and width, and the names of the cell."""
+    low, width = F.col("frequency_start"), F.col("band_width")
+    names = literals(channels) if channels else F.array().cast("array<string>")
     return (
-        configs.withColumn("frequency_start", F.explode(F.sequence(F.lit(start), F.lit(stop - 1))))
+        recordings.withColumn("frequency_start", F.explode(F.sequence(F.lit(start), F.lit(stop - 1))))
+        .withColumn("band_width", F.explode(literals(widths)))
         .select(
-            "config_id",
-            configuration_label(width, F.col("channels")).alias("configuration"),
-            ((F.col("frequency_start") * 2 + width) / 2.0).alias("frequency"),
+            *recordings.columns,
+            configuration_label(width, names).alias("configuration"),
+            ((low * 2 + width) / 2.0).alias("frequency"),
             "frequency_start",
-            (F.col("frequency_start") + width).alias("frequency_end"),
+            (low + width).alias("frequency_end"),
         )
     )
 
 
 def with_methods(recordings: DataFrame, methods: list[str]) -> DataFrame:
     """Recording x feature method."""
-    return recordings.withColumn("classifier", F.explode(F.array(*[F.lit(m) for m in methods])))
+    return recordings.withColumn("classifier", F.explode(literals(methods)))
 
 
 def trial_schedule(
@@ -57,7 +62,7 @@ def trial_schedule(
     """
     rows = sessions.select(
         "session_id", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial")
-    ).withColumn("label", F.explode(F.array(*[F.lit(x) for x in labels])))
+    ).withColumn("label", F.explode(literals(labels)))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), "session_id", "trial", "label"))
     w = Window.partitionBy("session_id").orderBy(key)
     return rows.withColumn("position", F.row_number().over(w))

@@ -294,16 +294,17 @@ query(
 
 query(
     "sweep_grid",
-    with_ctes(CONFIGS_SQL)
-    + f"""SELECT s.s_suppkey AS recording_id, m AS classifier, config_id, {LABEL_SQL} AS configuration,
-  (f + f + band_width) / 2.0 AS frequency, CAST(f AS INTEGER) AS frequency_start,
-  CAST(f + band_width AS INTEGER) AS frequency_end
-FROM supplier s, (VALUES ('csp'), ('parafac')) ms(m), range(2, 30) r(f), configs""",
+    """SELECT s_suppkey AS recording_id, m AS classifier, w || 'Hz width 11 channels' AS configuration,
+  (f + f + w) / 2.0 AS frequency, CAST(f AS INTEGER) AS frequency_start,
+  CAST(f + w AS INTEGER) AS frequency_end
+FROM supplier, (VALUES ('csp'), ('parafac')) ms(m), range(2, 30) r(f), range(1, 8) v(w)""",
 )(
-    lambda spark, sf: grid.with_methods(
-        table(spark, sf, "supplier").select(F.col("s_suppkey").alias("recording_id")),
-        ["csp", "parafac"],
-    ).crossJoin(F.broadcast(grid.sweep_grid(nation_configs(spark, sf))))
+    lambda spark, sf: grid.sweep_grid(
+        grid.with_methods(
+            table(spark, sf, "supplier").select(F.col("s_suppkey").alias("recording_id")),
+            ["csp", "parafac"],
+        )
+    )
 )
 
 query(
@@ -391,7 +392,7 @@ query(
 query(
     "filter_catalog_match",
     """WITH filters AS (SELECT p_brand AS device, p_size AS rate, p_partkey AS filter_index
-  FROM part WHERE p_size % 3 = 0),
+  FROM part WHERE p_type = 'ECONOMY'),
 devices AS (SELECT p_partkey AS channel, p_brand AS device, p_size AS rate FROM part)
 SELECT d.channel, d.device, d.rate, f.filter_index FROM devices d
 LEFT JOIN (SELECT device, rate, min(filter_index) AS filter_index FROM filters GROUP BY ALL) f
@@ -404,7 +405,7 @@ LEFT JOIN (SELECT device, rate, min(filter_index) AS filter_index FROM filters G
             F.col("p_size").alias("rate"),
         ),
         table(spark, sf, "part")
-        .filter(F.col("p_size") % 3 == 0)
+        .filter(F.col("p_type") == "ECONOMY")
         .select(
             F.col("p_brand").alias("device"),
             F.col("p_size").alias("rate"),

@@ -32,7 +32,7 @@ def running_scores(
     filtered = bk.band_epochs(epochs, bands, "samples", rate=rate, **filtering)
     filtered = filtered.drop("n_times").persist()
     roles = splits.shuffle_split(epochs, n_splits)
-    grams = spatial.epoch_gram(filtered)
+    grams = spatial.epoch_gram(filtered).persist()
     filters = spatial.csp_filters(
         spatial.class_covariance(grams, roles, n_splits, CELL), SPLIT
     ).persist()

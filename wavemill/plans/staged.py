@@ -34,7 +34,7 @@ def two_stage_predictions(
     roles = splits.shuffle_split(epochs, n_splits, seed=splits.STAGED_SEED)
     filtered = bk.band_epochs(epochs, bands, "samples", transition=transition, **filtering)
     filtered = filtered.drop("n_times").persist()
-    grams = spatial.epoch_gram(filtered)
+    grams = spatial.epoch_gram(filtered).persist()
 
     def staged(rows: DataFrame) -> DataFrame:
         return (

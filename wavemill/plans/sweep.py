@@ -266,7 +266,7 @@ def result_rows(scores: DataFrame, cells: DataFrame, method: str) -> DataFrame:
 
 
 def sweep(
-    samples: DataFrame,
+    chunks: DataFrame,
     annotations: DataFrame,
     selected: list[str] = C.SWEEP_CHANNELS,
     methods: list[str] = ["csp", "parafac"],
@@ -280,16 +280,16 @@ def sweep(
     validate: bool = True,
     limit: int = COMPACT_LIMIT,
 ) -> DataFrame:
-    """Sweep over all recordings of a sample table.
+    """Sweep over all recordings, kept as chunks (see :func:`blocks.to_chunks`).
 
     ``annotations`` has recording_id, annotation_id, onset_idx, class_id.  Selected
     channels without signal are left out per recording; a recording left without
     channels or epochs gets one row that says so.
     """
-    spark = samples.sparkSession
-    used = channels.select_channels(samples, selected)
+    spark = chunks.sparkSession
+    used = channels.select_channels(chunks, selected)
     if validate:
-        power = channels.channel_power(signal.broad_bandpass(used, rate=rate))
+        power = channels.channel_power(signal.broad_bandpass(bk.chunk_rows(used), rate=rate))
         valid = power.filter(F.col("power") > C.VALID_CHANNEL_THRESHOLD).drop("power")
         used = used.join(valid, ["recording_id", "channel"], "left_semi")
     per_trial = len(sub_event_offsets(rate))
@@ -301,7 +301,7 @@ def sweep(
     )
     halo = taps.hamming_length(2.0, rate) // 2
     first, last = int(tmin * rate), int(tmax * rate)
-    blocks = bk.epoch_blocks(bk.to_chunks(used), events, first, last, halo).drop(
+    blocks = bk.epoch_blocks(used, events, first, last, halo).drop(
         "onset_idx", "channels"
     )
     blocks = blocks.persist()
@@ -336,9 +336,3 @@ def grid_cells(spark, bands, n_channels: int) -> DataFrame:
         "band_id int, frequency double, configuration string, frequency_start int, frequency_end int",
     )
 
-
-def usable_results(results: DataFrame, recordings: DataFrame) -> DataFrame:
-    """Result table for the reports: failed cells left out, recording keys joined in."""
-    return results.filter(F.col("error").isNull()).join(
-        recordings.select("recording_id", "participant", "task", "date"), "recording_id"
-    )

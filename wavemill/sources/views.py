@@ -123,9 +123,12 @@ ANNOTATIONS_SQL = """annotations AS (
 
 
 def epochs(spark: SparkSession, sf_dir: str, channels: int = TENSOR_CHANNELS) -> DataFrame:
-    """One row per epoch: ``data`` is channel-major, ``channels`` x ``n_times``."""
+    """One row per epoch: ``data`` is channel-major, ``channels`` x ``n_times``.
+
+    All labels are under ten, so every epoch falls into one recording: the hottest key.
+    """
     return table(spark, sf_dir, "embeddings").select(
-        F.lit("rec0").alias("recording_id"),
+        F.concat(F.lit("rec"), F.floor(F.col("label") / 10).cast("string")).alias("recording_id"),
         F.col("vec_id").alias("epoch_id"),
         (F.col("label") % 2).cast("int").alias("class_id"),
         F.col("embedding").cast("array<double>").alias("data"),
