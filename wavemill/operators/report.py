@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.functions.scalars import round_half_even, task_family
@@ -88,15 +88,28 @@ def method_difference(
     )
 
 
+# Doubles of three decimals up to 1 are whole multiples of 2^-62.
+UNIT = float(2**62)
+
+
+def mean_of_rounded() -> Column:
+    """Rounded mean of accuracies that have three decimals.
+
+    Such means often end in a tie, which the last bit of the sum decides.  The doubles are
+    therefore added exactly, as integers, and the row order does not matter.
+    """
+    whole = (F.col("accuracy") * F.lit(UNIT)).cast("long").cast("decimal(20,0)")
+    total = F.sum(whole).cast("double") / F.lit(UNIT)
+    return round_half_even(total / F.count("accuracy")).alias("accuracy")
+
+
 def mean_over_participants(best: DataFrame) -> DataFrame:
-    return best.groupBy("task", "classifier").agg(
-        round_half_even(F.avg("accuracy")).alias("accuracy")
-    )
+    return best.groupBy("task", "classifier").agg(mean_of_rounded())
 
 
 def mean_by_family(best: DataFrame) -> DataFrame:
     return best.groupBy("participant", task_family(F.col("task")).alias("type")).agg(
-        round_half_even(F.avg("accuracy")).alias("accuracy")
+        mean_of_rounded()
     )
 
 

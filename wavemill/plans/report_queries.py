@@ -29,6 +29,8 @@ BEST_SQL = f"""ranked AS (
 best AS (
   SELECT participant, task, classifier, {half_even('avg(accuracy)')} AS accuracy
   FROM ranked WHERE rn <= 20 GROUP BY ALL)"""
+# Exact sum of three-decimal doubles, see report.mean_of_rounded.
+EXACT_MEAN = f"CAST(sum(CAST(accuracy * {2.0**62!r} AS BIGINT)) AS DOUBLE) / {2.0**62!r} / count(accuracy)"
 REPORT_CTES = with_ctes(views.RESULTS_SQL, KEPT_SQL, CELLS_SQL, BEST_SQL)
 
 
@@ -74,7 +76,7 @@ WHERE c.classifier = 'csp'""",
 query(
     "mean_over_participants",
     REPORT_CTES
-    + f"SELECT task, classifier, {half_even('avg(accuracy)')} AS accuracy FROM best GROUP BY ALL",
+    + f"SELECT task, classifier, {half_even(EXACT_MEAN)} AS accuracy FROM best GROUP BY ALL",
 )(lambda spark, sf: report.mean_over_participants(best(spark, sf)))
 
 query(
@@ -83,7 +85,7 @@ query(
     + f"""SELECT participant,
   CASE WHEN task[1:4] = 'imag' THEN 'imagery' WHEN task[1:4] = 'real' THEN 'real'
        ELSE 'observation' END AS type,
-  {half_even('avg(accuracy)')} AS accuracy
+  {half_even(EXACT_MEAN)} AS accuracy
 FROM best GROUP BY ALL""",
 )(lambda spark, sf: report.mean_by_family(best(spark, sf)))
 
