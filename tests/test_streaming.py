@@ -129,6 +129,23 @@ def test_stream_blocks_drop_the_incomplete_last(spark, tmp_path):
     assert [r.total for r in got] == [100.0 * b + 45 for b in range(9)]
 
 
+def test_consumer_ends_the_stream(spark, tmp_path):
+    src = str(tmp_path / "in")
+    df = spark.range(50).select(
+        F.lit("r").alias("recording_id"), F.lit("c").alias("channel"),
+        F.col("id").alias("sample_idx"), F.lit(0.0).alias("value"),
+    )
+    write_files(spark, [df.filter(F.floor(F.col("sample_idx") / 10) == i) for i in range(5)], src)
+    seen = []
+
+    def more(batch, batch_id):
+        seen.append(batch.count())
+        return len(seen) < 3
+
+    sinks.run_while(scans.read_files(spark, src, scans.SAMPLE_SCHEMA, 1), more, str(tmp_path / "out"))
+    assert seen == [10, 10, 10]
+
+
 def test_mirrored_block_is_filtered_alone():
     rng = np.random.RandomState(0)
     block = rng.randn(50, 3)

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from wavemill.operators.ordered import number_rows
 
 BLOCK = 100_000
-PLAYED = "key {0}, event_id bigint, command string, playing_s double"
 
 
 class Chain:
@@ -82,20 +81,54 @@ class Chain:
 
 def throttle(commands: DataFrame, block: int = BLOCK) -> DataFrame:
     """Commands that get played, from (key, ts, event_id, command, playing_s) rows."""
-    key_type = dict(commands.dtypes)["key"]
-    rows = number_rows(
-        commands.select(
-            "key",
-            F.unix_micros(F.col("ts").cast("timestamp")).alias("t"),
-            "event_id",
-            "command",
-            F.rint(F.col("playing_s") * 1e6).cast("long").alias("playing_us"),
-        ),
-        ["key"],
-        ["t", "event_id"],
-        "_idx",
-    ).withColumn("block_id", F.floor(F.col("_idx") / block))
+    rows = commands.select(
+        "key",
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("t"),
+        "event_id",
+        "command",
+        F.rint(F.col("playing_s") * 1e6).cast("long").alias("playing_us"),
+    )
+    # Keys of several blocks; there are at most rows / block of them.
     long_keys = rows.groupBy("key").count().filter(F.col("count") > block).select("key")
+    if long_keys.isEmpty():
+        return play_keys(rows)
+    short = rows.join(long_keys, "key", "left_anti")
+    return play_keys(short).unionByName(
+        play_blocks(rows.join(long_keys, "key", "left_semi"), block)
+    )
+
+
+def play_keys(rows: DataFrame) -> DataFrame:
+    """Short keys: hashed, sorted inside the partition and read as a stream of batches."""
+
+    def scan(batches):
+        current, busy, last = None, None, None
+        for pdf in batches:
+            keep = []
+            for k, t, c, d in zip(pdf["key"], pdf["t"], pdf["command"], pdf["playing_us"]):
+                if k != current:
+                    current, busy, last = k, None, None
+                play = (busy is None or t >= busy) and c != last
+                if play:
+                    busy, last = t + d, c
+                keep.append(play)
+            yield pdf.loc[keep]
+
+    return with_seconds(
+        rows.repartition("key").sortWithinPartitions("key", "t", "event_id").mapInPandas(scan, rows.schema)
+    )
+
+
+def with_seconds(rows: DataFrame) -> DataFrame:
+    return rows.select("key", "event_id", "command", (F.col("playing_us") / 1e6).alias("playing_s"))
+
+
+def play_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Long keys: tables per block, followed in order, then all blocks at once."""
+    key_type = dict(rows.dtypes)["key"]
+    rows = number_rows(rows, ["key"], ["t", "event_id"], "_idx").withColumn(
+        "block_id", F.floor(F.col("_idx") / block)
+    )
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_idx")
@@ -113,12 +146,7 @@ def throttle(commands: DataFrame, block: int = BLOCK) -> DataFrame:
         f"key {key_type}, block_id bigint, until bigint, command string, "
         "free_busy bigint, free_last string, repeat_busy bigint, repeat_last string"
     )
-    # Only keys of several blocks need tables.
-    tables = (
-        rows.join(long_keys, "key", "left_semi")
-        .groupBy("key", "block_id")
-        .applyInPandas(summarise, runs_schema)
-    )
+    tables = rows.groupBy("key", "block_id").applyInPandas(summarise, runs_schema)
 
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
         busy, last, out = None, None, []
@@ -137,17 +165,19 @@ def throttle(commands: DataFrame, block: int = BLOCK) -> DataFrame:
         follow, f"key {key_type}, block_id bigint, busy bigint, last string"
     )
 
+    plain = ["key", "t", "event_id", "command", "playing_us"]
+
     def play(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty:
-            return pd.DataFrame(columns=["key", "event_id", "command", "playing_s"])
         pdf = pdf.sort_values("_idx")
         busy, last = None, None
-        if len(entry) and not pd.isna(entry["busy"].iloc[0]):
+        if not pd.isna(entry["busy"].iloc[0]):
             busy, last = int(entry["busy"].iloc[0]), entry["last"].iloc[0]
-        out = pdf.iloc[Chain(pdf).played(busy, last)]
-        return out.assign(playing_s=out["playing_us"] / 1e6)[["key", "event_id", "command", "playing_s"]]
+        return pdf.iloc[Chain(pdf).played(busy, last)][plain]
 
     group = ["key", "block_id"]
-    return (
-        rows.groupBy(*group).cogroup(entries.groupBy(*group)).applyInPandas(play, PLAYED.format(key_type))
+    played = (
+        rows.groupBy(*group)
+        .cogroup(entries.groupBy(*group))
+        .applyInPandas(play, rows.select(*plain).schema)
     )
+    return with_seconds(played)

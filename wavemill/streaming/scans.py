@@ -10,10 +10,19 @@ SCAN_SCHEMA = "recording_id string, scan_idx bigint, ch array<float>"
 
 
 def read_files(
-    spark: SparkSession, path: str, schema, files_per_trigger: int = 64, name: str | None = None
+    spark: SparkSession,
+    path: str,
+    schema,
+    files_per_trigger: int | None = None,
+    bytes_per_trigger: int = 256 << 20,
+    name: str | None = None,
 ) -> DataFrame:
-    """File stream; the trigger bound also bounds what a stateful task sees at once."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    """File stream.  The trigger bound also bounds what a stateful task sees of one key."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    else:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
     if name:
         reader = reader.option("pathGlobFilter", name)
     return reader.parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,24 @@ def each_batch(stream: DataFrame, out: str, mode: str = "update") -> None:
     )
 
 
+def run_while(stream: DataFrame, more, out: str) -> None:
+    """Hand each micro-batch to ``more(batch, batch_id)`` and stop once it returns False."""
+    done = threading.Event()
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        if not done.is_set() and not more(batch, batch_id):
+            done.set()
+
+    run = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{out}/_state").start()
+    try:
+        while run.isActive and not done.wait(0.2):
+            pass
+        if run.exception():
+            raise run.exception()
+    finally:
+        run.stop()
+
+
 def result(spark: SparkSession, out: str, schema) -> DataFrame:
     """Rows a stream has written, without the folder column of :func:`each_batch`."""
     df = spark.read.schema(schema).parquet(f"{out}/data")
