@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Rows of one key that share a task-side group.
 GROUP = 2_048
@@ -34,15 +36,12 @@ def with_model(
             return empty
         return run(row_table.drop_columns(["_bucket"]), model_table)
 
-    empty = arrow_schema(rows.sparkSession, schema).empty_table()
+    empty = arrow_schema(schema).empty_table()
     group = [*keys, "_bucket"]
     return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(step, schema)
 
 
-def arrow_schema(spark, schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
+def arrow_schema(schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 

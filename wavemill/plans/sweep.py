@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from wavemill import constants as C
 from wavemill.functions import solve, taps
 from wavemill.operators import blocks as bk
 from wavemill.operators import channels, evaluate, grid, linear, signal, spatial, splits, tensor
+from wavemill.operators.apply import arrow_schema, matrix
 from wavemill.operators.events import sub_event_offsets, sub_events
 from wavemill.session import spread
 
@@ -108,28 +110,28 @@ def parafac_splits(data, labels, tests, times, channels):
 
 def compact_scores(cells: DataFrame, n_splits: int, all_splits) -> DataFrame:
     """Score all splits of a (recording, band) group; a failing split reports its error."""
-    names = [c.split()[0] for c in SCORE_SCHEMA.split(", ")]
+    target = arrow_schema(SCORE_SCHEMA)
 
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        data = np.stack(pdf["data"].to_list())
-        tests = np.zeros((n_splits, len(pdf)), dtype=bool)
-        for epoch, tested in enumerate(pdf["test_in"]):
-            tests[list(tested), epoch] = True
+    def score(group: pa.Table) -> pa.Table:
+        lists = group.column("test_in").combine_chunks()
+        counts = np.diff(lists.offsets.to_numpy())
+        tests = np.zeros((n_splits, group.num_rows), dtype=bool)
+        tests[lists.flatten().to_numpy(), np.repeat(np.arange(group.num_rows), counts)] = True
         scores = all_splits(
-            data,
-            pdf["class_id"].to_numpy(),
+            matrix(group, "data"),
+            group.column("class_id").to_numpy(),
             tests,
-            pdf["n_times"].to_numpy(),
-            int(pdf["n_channels"].iloc[0]),
+            group.column("n_times").to_numpy(),
+            group.column("n_channels")[0].as_py(),
         )
-        key = [pdf["recording_id"].iloc[0], pdf["band_id"].iloc[0]]
+        key = [group.column(c)[0].as_py() for c in CELL]
         rows = [
             (*key, split, hits, cases, hits / cases if cases else None, error)
             for split, (hits, cases, error) in enumerate(scores)
         ]
-        return pd.DataFrame(rows, columns=names)
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), target.types)], schema=target)
 
-    return spread(cells, *CELL).groupBy(*CELL).applyInPandas(score, SCORE_SCHEMA)
+    return spread(cells, *CELL).groupBy(*CELL).applyInArrow(score, SCORE_SCHEMA)
 
 
 # --- large groups ----------------------------------------------------------
