@@ -87,11 +87,13 @@ def convolve(
     kernels: dict[int, np.ndarray],
     edge: str = "zero",
     length: int = 4096,
+    parts: bool = False,
 ) -> DataFrame:
     """Centred convolution of every channel with every kernel.
 
-    Returns (recording_id, channel, kernel_id, sample_idx[], value[]) per chunk; complex
-    kernels give the power.  ``edge`` is ``zero`` or ``mirror``.
+    Returns (recording_id, channel, kernel_id, sample_idx[], value[]) per chunk.  Complex
+    kernels give the power, or with ``parts`` the real part as ``value`` and the other as
+    ``imag``.  ``edge`` is ``zero`` or ``mirror``.
     """
     halo = max(len(k) // 2 for k in kernels.values())
     while length < 4 * halo:
@@ -120,29 +122,36 @@ def convolve(
                 for kid, kernel, response in zip(ids, stack, responses):
                     full = back(spectrum * response, length, axis=1)
                     out = full[row, col + len(kernel) // 2]
-                    if is_complex:
-                        out = out.real**2 + out.imag**2
+                    if parts:
+                        columns = [out.real, out.imag]
+                    elif is_complex:
+                        columns = [out.real**2 + out.imag**2]
+                    else:
+                        columns = [out]
                     yield pa.RecordBatch.from_arrays(
                         [
                             *keys,
                             pa.array(np.full(batch.num_rows, kid), pa.int32()),
                             positions,
-                            list_column(row, batch.num_rows, out),
+                            *[list_column(row, batch.num_rows, c) for c in columns],
                         ],
-                        names=[*KEYS, "kernel_id", "sample_idx", "value"],
+                        names=names,
                     )
 
     types = dict(samples.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in KEYS)
-    return chunked(samples, size, halo).mapInArrow(
-        run, f"{schema}, kernel_id int, sample_idx array<bigint>, value array<double>"
-    )
+    schema += ", kernel_id int, sample_idx array<bigint>, value array<double>"
+    names = [*KEYS, "kernel_id", "sample_idx", "value"]
+    if parts:
+        schema, names = schema + ", imag array<double>", [*names, "imag"]
+    return chunked(samples, size, halo).mapInArrow(run, schema)
 
 
 def to_rows(chunks: DataFrame) -> DataFrame:
     """One row per sample of the convolved chunks."""
-    rest = [c for c in chunks.columns if c not in ("sample_idx", "value")]
-    return chunks.select(*rest, F.inline(F.arrays_zip("sample_idx", "value")))
+    lists = [c for c in ("sample_idx", "value", "imag") if c in chunks.columns]
+    rest = [c for c in chunks.columns if c not in lists]
+    return chunks.select(*rest, F.inline(F.arrays_zip(*lists)))
 
 
 def filter_bank(
@@ -171,20 +180,28 @@ def broad_bandpass(
     return to_rows(convolve(samples, {0: kernel}, "mirror")).drop("kernel_id")
 
 
-def morlet_power(
-    samples: DataFrame, frequencies: list[float], rate: float, cycles: float = 7.0
+def morlet_transform(
+    samples: DataFrame, frequencies: list[float], rate: float, cycles: float = 7.0, parts: bool = True
 ) -> DataFrame:
-    """Wavelet power per channel, frequency and sample; same length as the signal."""
+    """Wavelet transform per channel, frequency and sample as (re, im), as long as the signal."""
     kernels = {i: taps.morlet(f, rate, cycles) for i, f in enumerate(frequencies)}
     table = F.array(*[F.lit(float(f)) for f in frequencies])
     return (
-        to_rows(convolve(samples, kernels))
+        to_rows(convolve(samples, kernels, parts=parts))
         .withColumn("frequency", F.get(table, F.col("kernel_id")))
         .drop("kernel_id")
-        .withColumnRenamed("value", "power")
+        .withColumnsRenamed({"value": "re", "imag": "im"})
     )
 
 
+def morlet_power(
+    samples: DataFrame, frequencies: list[float], rate: float, cycles: float = 7.0
+) -> DataFrame:
+    """Squared magnitude of the wavelet transform."""
+    rows = morlet_transform(samples, frequencies, rate, cycles, parts=False)
+    return rows.withColumnRenamed("re", "power")
+
+
 def magnitude_spectrum(epochs: DataFrame, bins: int = 50) -> DataFrame:
     """First ``bins`` magnitudes of the real transform of each channel of an epoch.
 

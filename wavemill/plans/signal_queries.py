@@ -321,26 +321,30 @@ SELECT DISTINCT recording_id, 'absent', 'selected', 'not found' FROM power""",
 )(channel_report)
 
 MORLET_HZ = [float(f) for f in range(5, 30)]
-query(
-    "morlet_power",
-    with_ctes(
-        views.SAMPLES_SQL,
-        f"""waves AS (
-  SELECT f, k, cos(2 * pi() * f * k / {RATE}) * g AS re, sin(2 * pi() * f * k / {RATE}) * g AS im,
-         sqrt(0.5) * sqrt(sum(g * g) OVER (PARTITION BY f)) AS norm
-  FROM (SELECT f, k, exp(0 - pow(k / {RATE}.0, 2) / (2 * s * s)) AS g
-        FROM (SELECT CAST(f AS DOUBLE) AS f, 5 / (2 * pi() * f) AS s FROM range(5, 30) a(f)),
-             range(-250, 251) b(k)
-        WHERE abs(k) < ceil(5 * s * {RATE})))""",
-        """tfr AS (
-  SELECT s.recording_id, s.channel, f AS frequency, s.sample_idx,
-         sum(re / norm * x.value) ** 2 + sum(im / norm * x.value) ** 2 AS power
+
+
+def waves_sql(frequencies: str) -> str:
+    return f"""waves AS (
+  SELECT f, k, cos(2 * pi() * f * k / {RATE}) * g / norm AS re, sin(2 * pi() * f * k / {RATE}) * g / norm AS im
+  FROM (SELECT *, sqrt(0.5) * sqrt(sum(g * g) OVER (PARTITION BY f)) AS norm
+        FROM (SELECT f, k, exp(0 - pow(k / {RATE}.0, 2) / (2 * s * s)) AS g
+              FROM (SELECT CAST(f AS DOUBLE) AS f, 5 / (2 * pi() * f) AS s FROM {frequencies} a(f)),
+                   range(-250, 251) b(k)
+              WHERE abs(k) < ceil(5 * s * {RATE}))))"""
+
+
+TRANSFORM_SQL = """tfr AS (
+  SELECT s.recording_id, s.channel, f AS frequency, s.sample_idx, sum(re * x.value) AS re,
+         sum(im * x.value) AS im
   FROM samples s JOIN samples x ON x.recording_id = s.recording_id AND x.channel = s.channel
   JOIN waves ON k = s.sample_idx - x.sample_idx
-  GROUP BY s.recording_id, s.channel, f, s.sample_idx)""",
-    )
-    + """SELECT recording_id, channel, frequency, count(*) AS n, round(avg(power), 4) AS power,
-  round(max(power), 4) AS peak FROM tfr GROUP BY ALL""",
+  GROUP BY s.recording_id, s.channel, f, s.sample_idx)"""
+
+query(
+    "morlet_power",
+    with_ctes(views.SAMPLES_SQL, waves_sql("range(5, 30)"), TRANSFORM_SQL)
+    + """SELECT recording_id, channel, frequency, count(*) AS n, round(avg(re ** 2 + im ** 2), 4) AS power,
+  round(max(re ** 2 + im ** 2), 4) AS peak FROM tfr GROUP BY ALL""",
 )(
     lambda spark, sf: signal.morlet_power(views.samples(spark, sf), MORLET_HZ, RATE, 5.0)
     .groupBy("recording_id", "channel", "frequency")
@@ -351,6 +355,23 @@ query(
     )
 )
 
+query(
+    "morlet_transform",
+    with_ctes(views.SAMPLES_SQL, waves_sql("(VALUES (10), (20))"), TRANSFORM_SQL)
+    + """SELECT recording_id, channel, frequency, sample_idx, round(re, 6) + 0.0 AS re,
+  round(im, 6) + 0.0 AS im FROM tfr""",
+)(
+    lambda spark, sf: signal.morlet_transform(
+        views.samples(spark, sf), [10.0, 20.0], RATE, 5.0
+    ).select(
+        "recording_id",
+        "channel",
+        "frequency",
+        "sample_idx",
+        *[(F.round(c, 6) + 0.0).alias(c) for c in ("re", "im")],
+    )
+)
+
 query(
     "magnitude_spectrum",
     with_ctes(views.epochs_sql())
