@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from wavemill.operators import evaluate
 from wavemill.plans.sqltext import with_ctes
 from wavemill.registry import query

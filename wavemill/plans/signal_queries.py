@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wavemill import constants as C
-from wavemill.functions.taps import HAMMING_FACTOR, default_transitions, hamming_length
+from wavemill.functions.taps import default_transitions, hamming_length
 from wavemill.operators import channels, events, signal
 from wavemill.plans.sqltext import half_even, with_ctes
 from wavemill.registry import query
