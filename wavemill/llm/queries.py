@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavemill.llm import frames, packing
+from wavemill.llm import frames, jaccard, packing
 from wavemill.llm.shared import fresh_folder
 from wavemill.registry import query
 from wavemill.sources.tables import table
@@ -26,3 +26,8 @@ def token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_mixture_packing")
 def mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), end_id=1)
+
+
+@query("op9_jaccard_groups")
+def jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
