@@ -2,7 +2,7 @@
 
 A window is a fixed run of sequences.  Each window owes a source its target share of the
 window's tokens.  Served in whole tokens, the debt is carried on, so after any number of
-windows a source is less than one token behind or ahead of its share.  With the sources' own
+windows a source is off its share by less than one token plus half a token per source.  With the sources' own
 shares as targets all queues run dry together and every window but the last is full.
 
 The state of the round-robin after m windows has a closed form: token j of a source with T
@@ -28,7 +28,7 @@ SEQUENCE = 2048
 #: Sequences in a window, the unit in which target proportions hold.
 WINDOW_SEQUENCES = 16
 #: Queue slots of a source; a slot is summed up before places in the queue are given.
-ROWS_PER_SLOT = 20_000
+ROWS_PER_SLOT = 2_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
@@ -47,7 +47,11 @@ class Schedule:
     def served(self, m: int) -> list[int]:
         """Tokens of each source in the first m windows; they add up to m windows or to all."""
         want = min(m * self.window, self.all)
-        low, high = 0, 2 * self.all + 1
+        if not want:
+            return [0] * len(self.totals)
+        # Rounding moves each source by half a token at most, so the time is 2 * want or close to it.
+        reach = 2 * len(self.totals) + 2
+        low, high = max(0, 2 * want - reach), min(2 * self.all + 1, 2 * want + reach)
         while high - low > 1:
             middle = (low + high) // 2
             if sum(self.due(middle)) <= want:

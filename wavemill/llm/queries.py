@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavemill.llm import frames, jaccard, packing
+from wavemill.llm import decontaminate, frames, jaccard, packing, toxicity
 from wavemill.llm.shared import fresh_folder
 from wavemill.registry import query
 from wavemill.sources.tables import table
@@ -31,3 +31,13 @@ def mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_jaccard_groups")
 def jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op2_benchmark_leaks")
+def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_toxicity_scores")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -42,9 +42,9 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and the position of each text's first word."""
-    inside = ~SPACE[raw]
+def spans(raw: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words (runs of bytes outside ``gap``), and each text's first word."""
+    inside = ~gap[raw]
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
     end = inside.copy()
