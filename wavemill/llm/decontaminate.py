@@ -51,16 +51,19 @@ def window_size(n: int, shingle: int, threshold: float) -> tuple[int, int]:
 
 
 def simhash(word: np.ndarray, size: int, at: np.ndarray) -> np.ndarray:
-    """64-bit SimHash of the ``size`` words from each position ``at`` on."""
+    """64-bit SimHash of the ``size`` words (a power of two) from each position ``at`` on, ascending."""
     out = np.zeros(len(at), np.uint64)
-    for a in range(0, len(at), 1 << 15):
-        own = at[a : a + (1 << 15)]
-        base, stop = int(own[0]), int(own[-1]) + size
-        bits = np.unpackbits(word[base:stop].view(np.uint8).reshape(-1, 8), axis=1)
-        total = np.zeros((len(bits) + 1, 64), np.int32)
-        np.cumsum(bits, axis=0, dtype=np.int32, out=total[1:])
-        ones = total[own - base + size] - total[own - base]
-        out[a : a + (1 << 15)] = np.packbits(2 * ones > size, axis=1).reshape(-1, 8).copy().view(np.uint64).ravel()
+    for a in range(0, len(at), 1 << 12):
+        own = at[a : a + (1 << 12)]
+        base = int(own[0])
+        part = np.ascontiguousarray(word[base : int(own[-1]) + size])
+        ones = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1)
+        step = 1
+        while step < size:  # ones[i] counts the set bits of the words i to i + step - 1
+            ones = ones[:-step] + ones[step:]
+            step *= 2
+        majority = ones[own - base] > size // 2
+        out[a : a + (1 << 12)] = np.packbits(majority, axis=1).view(np.uint64).ravel()
     return out
 
 
@@ -137,16 +140,19 @@ class Items:
             found = np.stack([text[q], item[e], start[q] - at[e]])
             for t, i, s in np.unique(found, axis=1).T.tolist():
                 self.compare(word[first[t] : first[t + 1]], t, i, s, best)
-        return [(t, i, start, sim) for (t, i), (sim, start) in sorted(best.items())]
+        return [(t, i, -back, sim) for (t, i), (sim, back) in sorted(best.items())]
 
     def compare(self, own: np.ndarray, t: int, i: int, near: int, best: dict) -> None:
         """Item-sized windows that begin within the drift that lost shingles allow."""
         n = int(self.n[i])
         drift = int(max(1, n - self.shingle + 1) * (1 - self.threshold) / (1 + self.threshold) + 1e-9)
+        if 0 <= near <= len(own) - n and np.array_equal(own[near : near + n], self.word[self.first[i] : self.first[i + 1]]):
+            best[t, i] = max(best.get((t, i), (0.0, 0)), (1.0, -near))
+            return
         for start in range(max(0, near - drift), min(len(own) - min(n, len(own)), near + drift) + 1):
             sim = similarity(weigh(own[start : start + n], self.shingle), self.weights[i])
-            if sim >= self.threshold and (sim, -start) > (lambda b: (b[0], -b[1]))(best.get((t, i), (-1.0, 0))):
-                best[t, i] = (sim, start)
+            if sim >= self.threshold:
+                best[t, i] = max(best.get((t, i), (0.0, 0)), (sim, -start))
 
 
 def weigh(word: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
