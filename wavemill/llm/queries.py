@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wavemill.llm import decontaminate, frames, jaccard, packing, toxicity
+from wavemill.llm import decontaminate, frames, jaccard, lines, packing, sharding, toxicity
 from wavemill.llm.shared import fresh_folder
 from wavemill.registry import query
 from wavemill.sources.tables import table
@@ -41,3 +42,18 @@ def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_toxicity_scores")
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op1_line_templates")
+def line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept text of every document with counts of its lines."""
+    docs = table(spark, sf_dir, "documents")
+    before = docs.withColumn("n_lines", F.size(F.split("text", "\n")))
+    out = lines.deduplicate_lines(before)
+    kept_lines = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n")))
+    return out.select("doc_id", "n_lines", kept_lines.alias("n_kept"), "text")
+
+
+@query("op3_sampled_shards")
+def sampled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), 16)
