@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.llm import decontaminate, frames, jaccard, lines, packing, sharding, toxicity
+from wavemill.llm import decontaminate, frames, jaccard, lines, packing, pages, sharding, toxicity
 from wavemill.llm.shared import fresh_folder
 from wavemill.registry import query
 from wavemill.sources.tables import table
@@ -57,3 +57,8 @@ def line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_sampled_shards")
 def sampled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), 16)
+
+
+@query("op6_wrapper_text")
+def wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
