@@ -7,17 +7,18 @@ at least k of its first a - t + k shingles.
 
 * light: sets up to the boundary list all 2-subsets of their first a - t + 2 shingles, so that
   two of them meet on a pair of shared shingles;
-* heavy: a pair with a larger set meets on one shared shingle in an inverted list, to which larger
-  sets, and those close enough in size to be linked with one, post their first a - t + 1.
+* heavy: a pair with a larger set meets in inverted lists, to which larger sets, and those close
+  enough in size to be linked with one, post their first a - t + k; it must meet k times, where k is
+  ``MEETINGS`` or less if a set is too small for that.
 
 The boundary is the size at which the measured number of meetings in inverted lists begins to
 cost less than listing subsets.
 
 Candidates are verified by exact set overlap in two rounds.  First each list's smallest set is
-compared with all others of the list, which joins a group of near copies with as many
-comparisons as it has members.  Then only pairs of a list that are still in different components
-are compared, leaving out those that the triangle inequality of the Jaccard distance rules out.
-A pair that is left out so is either in one component already or not linked.
+compared with all others of the list, which joins a group of near copies with a few times as
+many comparisons as it has members.  Then only pairs of a list that are still in different
+components are compared, leaving out those that the triangle inequality of the Jaccard distance
+rules out.  A pair that is left out so is either in one component already or not linked.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from wavemill.llm.shared import components, kept, one_by_one
 LIGHT_LIMIT = 64
 #: A shingle held by this share of all documents, or of those of one task, may be common.
 COMMON_SHARE = 1 / 2000
+#: Inverted lists in which a pair must meet.
+MEETINGS = 8
 #: Documents of one task that must hold a shingle before the task reports it.
 COMMON_LEAST = 8
 
@@ -65,6 +68,13 @@ def prefix_sizes(sizes: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
     return sizes - (-(-sizes * top // bottom)) + 1
 
 
+def meetings(light: int, threshold: tuple[int, int]) -> int:
+    """Shared shingles that every linked pair with a set above ``light`` is sure to have, up to MEETINGS."""
+    top, bottom = threshold
+    smallest = -(-(light + 1) * top // bottom)
+    return max(1, min(MEETINGS, -(-smallest * top // bottom)))
+
+
 def sketch(docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
     """One narrow pass over all texts; rows of three kinds.
 
@@ -139,7 +149,7 @@ def _order(values: np.ndarray, begin: np.ndarray, common: np.ndarray, level: np.
 
 
 def postings(docs: DataFrame, n: int, threshold: tuple[int, int], light: int, common: dict[int, int]) -> DataFrame:
-    """(key, set, size, hot) for every list a set takes part in; hot keys hold a common shingle."""
+    """(key, set, size, hot, pair) for every list of a set; hot: of common shingles only; pair: of a subset."""
     names = np.array(sorted(common), np.uint64)
     level = np.array([common[int(v)].bit_length() for v in names], np.int64)
     top, bottom = threshold
@@ -151,7 +161,7 @@ def postings(docs: DataFrame, n: int, threshold: tuple[int, int], light: int, co
             sizes = np.diff(begin)
             hot_value = np.isin(values, names) if len(names) else np.zeros(len(values), bool)
             many = np.flatnonzero((sizes > 1) & (sizes * bottom >= top * (light + 1)))
-            take = prefix_sizes(sizes[many], threshold)
+            take = prefix_sizes(sizes[many], threshold) + meetings(light, threshold) - 1
             at = np.repeat(begin[many] - np.cumsum(take) + take, take) + np.arange(take.sum())
             owner, key, hot = np.repeat(many, take), words.mix(values[at], 1), hot_value[at]
             few = np.flatnonzero((sizes > 1) & (sizes <= light))
@@ -173,11 +183,12 @@ def postings(docs: DataFrame, n: int, threshold: tuple[int, int], light: int, co
                     pa.array(h[owner]),
                     pa.array(sizes[owner].astype(np.int32)),
                     pa.array(np.concatenate(hots)),
+                    pa.array(np.arange(len(owner)) >= len(at)),
                 ],
-                ["key", "set", "size", "hot"],
+                ["key", "set", "size", "hot", "pair"],
             )
 
-    return one_by_one(docs.select("text"), build, "key long, set long, size int, hot boolean")
+    return one_by_one(docs.select("text"), build, "key long, set long, size int, hot boolean, pair boolean")
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
@@ -238,13 +249,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8
     by_key = Window.partitionBy("key")
     rare = posted.where("NOT hot").withColumn("members", F.count("*").over(by_key)).where("members > 1")
     rare = rare.withColumn("first", F.min(F.struct("size", "set")).over(by_key))
-    hot = posted.where("hot").select("key", "set", "size").distinct()
+    hot = posted.where("hot").select("key", "set", "size", "pair").distinct()
     firsts = hot.groupBy("key").agg(F.min(F.struct("size", "set")).alias("first"), F.count("*").alias("members")).where("members > 1")
     hot = hot.join(firsts, "key")
-    columns = ["key", "set", "size", F.col("first.set").alias("pivot"), F.col("first.size").alias("pivot_size")]
+    columns = ["key", "pair", "set", "size", F.col("first.set").alias("pivot"), F.col("first.size").alias("pivot_size")]
     listed = kept(rare.select(*columns).union(hot.select(*columns)), "lists")
 
-    # One text for each set that is in a list with others.
+    # A set that is in too few lists with others to meet any of them often enough is out.
+    active = listed.groupBy("set").agg(F.max("pair").alias("subset"), F.count_distinct("key").alias("lists"))
+    active = active.where(F.col("subset") | (F.col("lists") >= meetings(light, threshold))).select("set")
+    listed = kept(listed.join(active, "set"), "active")
+
+    # One text for each set that is left.
     wanted = listed.select("set").distinct()
     ids = members.join(wanted, "set").groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("id"))
     ids = ids.select("set", F.col("id.doc_id").alias("doc_id"))
@@ -253,25 +269,39 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8
     def close(small, large):
         return F.col(small) * bottom >= F.col(large) * top
 
+    def candidates(met: DataFrame) -> DataFrame:
+        """Pairs (a, b) that met on a subset or often enough on single shingles."""
+        met = met.groupBy("a", "b").agg(F.max("pair").alias("subset"), F.count_distinct("key").alias("lists"))
+        return met.where(F.col("subset") | (F.col("lists") >= meetings(light, threshold))).select("a", "b")
+
     stars = listed.where(F.col("set") != F.col("pivot")).where(close("pivot_size", "size"))
-    first = kept(overlaps(stars.select(F.col("pivot").alias("a"), F.col("set").alias("b")).distinct(), texts, n), "stars")
+    stars = stars.select(F.col("pivot").alias("a"), F.col("set").alias("b"), "key", "pair")
+    first = kept(overlaps(candidates(stars), texts, n), "stars")
     linked = (F.col("common") * bottom >= F.col("either") * top) & (F.col("either") > 0)
     found = components(first.where(linked).select("a", "b"))
 
-    apart = listed.join(found.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-    spread = apart.groupBy("key").agg((F.min("component") != F.max("component")).alias("open"), F.count_distinct("set").alias("members")).where("open AND members > 2")
+    placed = listed.join(found.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+    counted = placed.groupBy("key", "component").agg(F.count_distinct("set").alias("n"))
+    open_ = counted.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
     near = first.select(F.col("a").alias("pivot"), F.col("b").alias("set"), (1 - F.col("common") / F.col("either")).alias("far"))
-    apart = apart.join(spread.select("key"), "key").where(F.col("set") != F.col("pivot")).join(near, ["pivot", "set"], "left").distinct()
-    left = apart.select("key", F.col("set").alias("a"), F.col("size").alias("na"), F.col("component").alias("ca"), F.col("far").alias("fa"))
-    right = apart.select("key", F.col("set").alias("b"), F.col("size").alias("nb"), F.col("component").alias("cb"), F.col("far").alias("fb"))
+    apart = placed.join(open_.select("key", F.col("most.component").alias("major")), "key").join(near, ["pivot", "set"], "left")
+    apart = apart.withColumn("far", F.when(F.col("set") == F.col("pivot"), 0.0).otherwise(F.col("far"))).distinct()
+    named = ["set", "size", "component", "far"]
+    left = apart.select("key", "pair", "major", *(F.col(c).alias(f"{c}_a") for c in named)).where("component_a <> major")
+    right = apart.select("key", *(F.col(c).alias(f"{c}_b") for c in named))
     gap = (bottom - top) / bottom + 1e-9
+    small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    # The largest component of a list meets the others, never itself; the others meet once.
     rest = left.join(right, "key").where(
-        (F.col("ca") != F.col("cb"))
-        & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
-        & close("na", "nb")
-        & F.coalesce(F.abs(F.col("fa") - F.col("fb")) <= gap, F.lit(True))
+        (F.col("component_a") != F.col("component_b"))
+        & ((F.col("component_b") == F.col("major")) | (F.col("set_a") < F.col("set_b")))
+        & (small * bottom >= large * top)
+        & F.coalesce(F.abs(F.col("far_a") - F.col("far_b")) <= gap, F.lit(True))
     )
-    second = kept(overlaps(rest.select("a", "b").distinct(), texts, n), "rest")
+    rest = rest.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b"), "key", "pair")
+    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = candidates(rest).join(done, ["a", "b"], "left_anti")
+    second = kept(overlaps(rest, texts, n), "rest")
     links = first.where(linked).select("a", "b").union(second.where(linked).select("a", "b"))
     reached = components(links)
 
@@ -291,7 +321,9 @@ def set_texts(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
         for part in words.pieces(batch, "text"):
             values, begin, _ = _values(part.column("text"), n)
             h, _ = _identity(values, begin)
-            same = pa.array(h == part.column("set").to_numpy(zero_copy_only=False))
-            yield part.filter(same)
+            good = h == part.column("set").to_numpy(zero_copy_only=False)
+            first = np.zeros(len(h), bool)
+            first[np.unique(h, return_index=True)[1]] = True  # repeated rows lie side by side here
+            yield part.filter(pa.array(good & first))
 
-    return one_by_one(found, build, "set long, text string").dropDuplicates(["set"])
+    return one_by_one(found, build, "set long, text string")
