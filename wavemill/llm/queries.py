@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.llm import decontaminate, frames, jaccard, lines, packing, pages, sharding, toxicity
+from wavemill.llm import decontaminate, frames, jaccard, lines, packing, pages, sharding, toxicity, transcripts
 from wavemill.llm.shared import fresh_folder
 from wavemill.registry import query
 from wavemill.sources.tables import table
@@ -62,3 +62,11 @@ def sampled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_wrapper_text")
 def wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op10_transcript_roles")
+def transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles read from raw transcripts of all conversations; the model learns from four fifths of them."""
+    raw = transcripts.rendered_raw(table(spark, sf_dir, "conversations"))
+    learn = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 5 != 0
+    return transcripts.parse(raw, transcripts.fit(raw.where(learn)))
