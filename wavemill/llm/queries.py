@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.llm import decontaminate, frames, jaccard, lines, packing, pages, sharding, toxicity, transcripts
+from wavemill.llm import decontaminate, frames, jaccard, lines, packing, pages, search, sharding, toxicity, transcripts
 from wavemill.llm.shared import fresh_folder
 from wavemill.registry import query
 from wavemill.sources.tables import table
@@ -70,3 +70,9 @@ def transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = transcripts.rendered_raw(table(spark, sf_dir, "conversations"))
     learn = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 5 != 0
     return transcripts.parse(raw, transcripts.fit(raw.where(learn)))
+
+
+@query("op4_bm25_search")
+def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return search.top_k(docs, docs.where("doc_id % 20 = 0"))
