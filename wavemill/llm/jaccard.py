@@ -14,11 +14,11 @@ at least k of its first a - t + k shingles.
 The boundary is the size at which the measured number of meetings in inverted lists begins to
 cost less than listing subsets.
 
-Candidates are verified by exact set overlap in two rounds.  First each list's smallest set is
-compared with all others of the list, which joins a group of near copies with a few times as
+Candidates are verified by exact set overlap in two rounds.  First each list's leading set, the one
+that shares the most lists, is compared with all others of the list, which joins a group of near copies with a few times as
 many comparisons as it has members.  Then only pairs of a list that are still in different
 components are compared, leaving out those that the triangle inequality of the Jaccard distance
-rules out.  A pair that is left out so is either in one component already or not linked.
+rules out, and those in which shingles that nobody else posted leave too little to share.  A pair that is left out so is either in one component already or not linked.
 """
 
 from __future__ import annotations
@@ -149,7 +149,11 @@ def _order(values: np.ndarray, begin: np.ndarray, common: np.ndarray, level: np.
 
 
 def postings(docs: DataFrame, n: int, threshold: tuple[int, int], light: int, common: dict[int, int]) -> DataFrame:
-    """(key, set, size, hot, pair) for every list of a set; hot: of common shingles only; pair: of a subset."""
+    """(key, set, info, hot, pair) for every list of a set; hot: of common shingles only; pair: of a subset.
+
+    ``info`` packs the set size, how many rare (not common) shingles it posted, and whether those are
+    all the rare ones that it has.
+    """
     names = np.array(sorted(common), np.uint64)
     level = np.array([common[int(v)].bit_length() for v in names], np.int64)
     top, bottom = threshold
@@ -160,10 +164,15 @@ def postings(docs: DataFrame, n: int, threshold: tuple[int, int], light: int, co
             _order(values, begin, names, level)
             sizes = np.diff(begin)
             hot_value = np.isin(values, names) if len(names) else np.zeros(len(values), bool)
-            many = np.flatnonzero((sizes > 1) & (sizes * bottom >= top * (light + 1)))
-            take = prefix_sizes(sizes[many], threshold) + meetings(light, threshold) - 1
+            # Light sets post too: lists with larger sets need some, and all tell what nobody else has.
+            many = np.flatnonzero(sizes > 1)
+            take = np.minimum(sizes[many], prefix_sizes(sizes[many], threshold) + meetings(light, threshold) - 1)
             at = np.repeat(begin[many] - np.cumsum(take) + take, take) + np.arange(take.sum())
             owner, key, hot = np.repeat(many, take), words.mix(values[at], 1), hot_value[at]
+            posted_rare = np.bincount(owner[~hot], minlength=len(sizes))
+            posted_all = np.bincount(owner, minlength=len(sizes))
+            all_rare = (posted_rare < posted_all) | (posted_all == sizes)  # rare ones come first
+            info = sizes << 33 | posted_rare << 1 | all_rare
             few = np.flatnonzero((sizes > 1) & (sizes <= light))
             owners, keys, hots = [owner], [key], [hot]
             with np.errstate(over="ignore"):
@@ -181,14 +190,14 @@ def postings(docs: DataFrame, n: int, threshold: tuple[int, int], light: int, co
                 [
                     pa.array(np.concatenate(keys).view(np.int64)),
                     pa.array(h[owner]),
-                    pa.array(sizes[owner].astype(np.int32)),
+                    pa.array(info[owner]),
                     pa.array(np.concatenate(hots)),
                     pa.array(np.arange(len(owner)) >= len(at)),
                 ],
-                ["key", "set", "size", "hot", "pair"],
+                ["key", "set", "info", "hot", "pair"],
             )
 
-    return one_by_one(docs.select("text"), build, "key long, set long, size int, hot boolean, pair boolean")
+    return one_by_one(docs.select("text"), build, "key long, set long, info long, hot boolean, pair boolean")
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
@@ -246,19 +255,24 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8
     light = boundary(sketched, threshold)
 
     posted = postings(rows, n, threshold, light, common)
-    by_key = Window.partitionBy("key")
-    rare = posted.where("NOT hot").withColumn("members", F.count("*").over(by_key)).where("members > 1")
-    rare = rare.withColumn("first", F.min(F.struct("size", "set")).over(by_key))
-    hot = posted.where("hot").select("key", "set", "size", "pair").distinct()
-    firsts = hot.groupBy("key").agg(F.min(F.struct("size", "set")).alias("first"), F.count("*").alias("members")).where("members > 1")
-    hot = hot.join(firsts, "key")
-    columns = ["key", "pair", "set", "size", F.col("first.set").alias("pivot"), F.col("first.size").alias("pivot_size")]
+    columns = ["key", "pair", "hot", "set", "info", "members"]
+    rare = posted.where("NOT hot").withColumn("members", F.count("*").over(Window.partitionBy("key"))).where("members > 1")
+    hot = posted.where("hot").select("key", "set", "info", "hot", "pair").distinct()
+    hot = hot.join(hot.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "key")
     listed = kept(rare.select(*columns).union(hot.select(*columns)), "lists")
 
     # A set that is in too few lists with others to meet any of them often enough is out.
-    active = listed.groupBy("set").agg(F.max("pair").alias("subset"), F.count_distinct("key").alias("lists"))
-    active = active.where(F.col("subset") | (F.col("lists") >= meetings(light, threshold))).select("set")
-    listed = kept(listed.join(active, "set"), "active")
+    active = listed.groupBy("set").agg(F.max("pair").alias("subset"), F.count_distinct("key").alias("lists"), F.sum("members").alias("weight"))
+    active = active.where(F.col("subset") | (F.col("lists") >= meetings(light, threshold))).select("set", "weight")
+    listed = listed.join(active, "set").drop("members").withColumn("size", F.shiftright("info", 33))
+    # The original of a group of near copies shares more of its lists than any copy, so it leads them.
+    leads = listed.groupBy("key").agg(F.max(F.struct("weight", "set", "size")).alias("lead"), F.count_distinct("set").alias("n")).where("n > 1")
+    leads = leads.select("key", F.col("lead.set").alias("pivot"), F.col("lead.size").alias("pivot_size"))
+    listed = kept(listed.join(leads, "key").drop("weight").distinct(), "led")
+    # Rare shingles that a set posted and no other left set did: a set that posted all of its own lacks them.
+    shared = listed.groupBy("set", "info").agg(F.count_distinct(F.when(~F.col("hot") & ~F.col("pair"), F.col("key"))).alias("shared"))
+    alone = shared.select("set", (F.shiftright(F.col("info").bitwiseAND((1 << 33) - 1), 1) - F.col("shared")).alias("alone"), (F.col("info") % 2 == 1).alias("all"))
+    listed = listed.drop("info", "hot").join(alone, "set")
 
     # One text for each set that is left.
     wanted = listed.select("set").distinct()
@@ -267,14 +281,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8
     texts = kept(set_texts(rows, ids, n), "texts")
 
     def close(small, large):
-        return F.col(small) * bottom >= F.col(large) * top
+        return small * bottom >= large * top
+
+    def enough(left: str, right: str):
+        """The overlap that two sets can have at most is enough."""
+        a = F.col(f"size{left}") - F.when(F.col(f"all{right}"), F.col(f"alone{left}")).otherwise(0)
+        b = F.col(f"size{right}") - F.when(F.col(f"all{left}"), F.col(f"alone{right}")).otherwise(0)
+        most = F.least(a, b)
+        return most * bottom >= (F.col(f"size{left}") + F.col(f"size{right}") - most) * top
 
     def candidates(met: DataFrame) -> DataFrame:
         """Pairs (a, b) that met on a subset or often enough on single shingles."""
         met = met.groupBy("a", "b").agg(F.max("pair").alias("subset"), F.count_distinct("key").alias("lists"))
         return met.where(F.col("subset") | (F.col("lists") >= meetings(light, threshold))).select("a", "b")
 
-    stars = listed.where(F.col("set") != F.col("pivot")).where(close("pivot_size", "size"))
+    stars = listed.where(F.col("set") != F.col("pivot")).where(close(F.least("size", "pivot_size"), F.greatest("size", "pivot_size")))
     stars = stars.select(F.col("pivot").alias("a"), F.col("set").alias("b"), "key", "pair")
     first = kept(overlaps(candidates(stars), texts, n), "stars")
     linked = (F.col("common") * bottom >= F.col("either") * top) & (F.col("either") > 0)
@@ -286,7 +307,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8
     near = first.select(F.col("a").alias("pivot"), F.col("b").alias("set"), (1 - F.col("common") / F.col("either")).alias("far"))
     apart = placed.join(open_.select("key", F.col("most.component").alias("major")), "key").join(near, ["pivot", "set"], "left")
     apart = apart.withColumn("far", F.when(F.col("set") == F.col("pivot"), 0.0).otherwise(F.col("far"))).distinct()
-    named = ["set", "size", "component", "far"]
+    named = ["set", "size", "alone", "all", "component", "far"]
     left = apart.select("key", "pair", "major", *(F.col(c).alias(f"{c}_a") for c in named)).where("component_a <> major")
     right = apart.select("key", *(F.col(c).alias(f"{c}_b") for c in named))
     gap = (bottom - top) / bottom + 1e-9
@@ -295,7 +316,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8
     rest = left.join(right, "key").where(
         (F.col("component_a") != F.col("component_b"))
         & ((F.col("component_b") == F.col("major")) | (F.col("set_a") < F.col("set_b")))
-        & (small * bottom >= large * top)
+        & close(small, large)
+        & enough("_a", "_b")
         & F.coalesce(F.abs(F.col("far_a") - F.col("far_b")) <= gap, F.lit(True))
     )
     rest = rest.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b"), "key", "pair")
