@@ -40,14 +40,6 @@ def test_split_sizes_and_buckets(spark):
     assert len(counts) == 10 and {r["count"] for r in counts} == {101}
 
 
-def test_permutation_split(spark):
-    ids = spark.range(20).select(F.lit("r").alias("recording_id"), (F.col("id") * 3).alias("epoch_id"))
-    got = splits.permutation_split(ids, 3).filter("role = 'test'").collect()
-    rng = np.random.RandomState(42)
-    for s in range(3):
-        want = {int(p) * 3 for p in rng.permutation(20)[:4]}
-        assert {r.epoch_id for r in got if r.split_id == s} == want
-
 
 # --- solves ----------------------------------------------------------------
 

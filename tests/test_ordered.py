@@ -26,11 +26,12 @@ def collect(df, *cols):
     return sorted(map(tuple, df.select(*cols).collect()), key=repr)
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_number_rows(rows, limit):
+@pytest.mark.parametrize("kind", ["int", "double", "string", "timestamp"])
+def test_number_rows(rows, kind):
+    rows = rows.withColumn("t", F.col("t").cast(kind) if kind != "timestamp" else F.timestamp_seconds(F.col("t") * 600))
     w = Window.partitionBy("k").orderBy("t", "id")
     want = rows.withColumn("n", F.row_number().over(w).cast("long") - 1)
-    got = ordered.number_rows(rows, ["k"], ["t", "id"], "n", limit)
+    got = ordered.number_rows(rows, ["k"], ["t", "id"], "n")
     assert collect(got, "k", "t", "id", "n") == collect(want, "k", "t", "id", "n")
 
 

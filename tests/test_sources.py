@@ -56,6 +56,20 @@ def test_decode(spark, folder, split_bytes):
     assert chunks.filter("start_idx < chunk_id * 64 OR start_idx >= chunk_id * 64 + 64").isEmpty()
 
 
+def test_count_follows_from_the_length(spark, tmp_path):
+    """A header without or with a wrong count, and a name with a space, lose nothing."""
+    content = edf.encode(wave(), NOTES, RATE, -10, 10)
+    for name, count in (("no count.edf", "-1"), ("small.edf", "2")):
+        tmp_path.joinpath(name).write_bytes(content[:236] + count.ljust(8).encode() + content[244:])
+    for split_bytes in (1 << 20, 500):
+        decoded = edf.read_recordings(spark, str(tmp_path), split_bytes, chunk=64)
+        for name in ("no count.edf", "small.edf"):
+            assert np.allclose(values(decoded, name, "C3"), wave()["C3"], atol=20 / 65535)
+    tmp_path.joinpath("broken.edf").write_bytes(content[:-3])
+    with pytest.raises(Exception, match="whole record"):
+        edf.read_recordings(spark, str(tmp_path)).count()
+
+
 def test_ingest(spark, folder, tmp_path):
     out = str(tmp_path / "lake")
     edf.ingest(spark, folder, out)

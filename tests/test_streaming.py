@@ -129,6 +129,43 @@ def test_stream_blocks_drop_the_incomplete_last(spark, tmp_path):
     assert [r.total for r in got] == [100.0 * b + 45 for b in range(9)]
 
 
+def late_recordings(spark):
+    """Two recordings of 200 samples, the second one five minutes after the first."""
+    return spark.range(400).select(
+        F.when(F.col("id") < 200, "a").otherwise("b").alias("recording_id"),
+        F.lit("c").alias("channel"),
+        (F.col("id") % 200).alias("sample_idx"),
+        F.col("id").cast("double").alias("value"),
+    )
+
+
+@pytest.mark.parametrize("clock", [False, True])
+def test_a_recording_that_starts_late_loses_no_block(spark, tmp_path, clock):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    df = late_recordings(spark)
+    write_files(spark, [df.filter("recording_id = 'a'"), df.filter("recording_id = 'b'")], src)
+    began = F.timestamp_seconds(F.when(F.col("recording_id") == "a", 600).otherwise(900)) if clock else None
+    stream = scans.stream_blocks(
+        scans.read_files(spark, src, scans.SAMPLE_SCHEMA, 1), 10, [F.sum("value").alias("total")], rate=10, started=began
+    )
+    sinks.each_batch(stream, out)
+    got = spark.read.parquet(f"{out}/data").groupBy("recording_id").count().collect()
+    assert {r["recording_id"]: r["count"] for r in got} == {"a": 20, "b": 20}
+
+
+def test_null_and_empty_commands_change_as_in_batch(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    words = ["", None, None, "left", None, None, "left", "left"]
+    rows = [(0, k, w, 0.0) for k, w in enumerate(words)] + [(1, 100 + k, None, 0.0) for k in range(3)]
+    df = spark.createDataFrame(rows, "key long, event_id long, command string, playing_s double")
+    df = df.withColumn("ts", F.timestamp_seconds("event_id"))
+    write_files(spark, [df.filter(F.col("event_id") % 100 < 2), df.filter(F.col("event_id") % 100 == 2), df.filter(F.col("event_id") % 100 > 2)], src)
+    stream = scans.read_files(spark, src, df.schema, files_per_trigger=1)
+    sinks.append_parquet(commands.stream_change_only(stream), out)
+    got = sinks.result(spark, out, commands.OUTPUT).select("key", "event_id").collect()
+    assert sorted(got) == sorted(events.change_only(df).select("key", "event_id").collect())
+
+
 def test_consumer_ends_the_stream(spark, tmp_path):
     src = str(tmp_path / "in")
     df = spark.range(50).select(

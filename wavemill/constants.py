@@ -1,20 +1,13 @@
 """Fixed values of the recording protocol and of the experiment grid."""
 
-# Electrode order of a recording, sampling rate in Hz and the
-# mean absolute amplitude above which a channel counts as connected.
-ELECTRODES = [
-    "FP1", "FP2", "FZ", "FT7", "FC5", "FC3", "FC1", "FCZ",
-    "FC2", "FC4", "FC6", "FT8", "T7", "C5", "C3", "C1",
-    "CZ", "C2", "C4", "C6", "T8", "TP7", "CP5", "CP3",
-    "CP1", "CPZ", "CP2", "CP4", "CP6", "TP8", "PZ", "POZ",
-]
+# Sampling rate in Hz and the mean absolute amplitude above which a
+# channel counts as connected.
 SAMPLING_RATE = 250
 VALID_CHANNEL_THRESHOLD = 1e-15
 
 # Trial protocol, in seconds, and trial labels.
 BLOCKS_PER_SECOND = 2
 TRIAL_COUNT = 10
-TRIAL_PAUSE_S = 3
 TRIAL_LENGTH_S = 10
 TRIAL_LABELS = ["movement", "rest"]
 EVENT_OFFSET_S = 1
@@ -26,9 +19,8 @@ SWEEP_START_HZ = 2
 SWEEP_STOP_HZ = 30
 SWEEP_WIDTHS = [1, 2, 3, 4, 5, 6, 7]
 
-# Block scoring band and block length.
+# Block scoring band and block limit.
 LIVE_BAND = (14, 20)
-LIVE_BLOCK_S = 2
 LIVE_BLOCK_LIMIT = 20
 
 # Amplifier rate -> scans per block, and the fallback.

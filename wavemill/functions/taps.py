@@ -49,10 +49,13 @@ def default_transitions(low_hz: float, high_hz: float, rate: float) -> tuple[flo
     return low, high
 
 
-def morlet(frequency: float, rate: float, cycles: float = 7.0, sigma: float | None = None):
-    """Complex Morlet wavelet over +-5 standard deviations in time, norm sqrt(2)."""
-    spread = cycles / (2 * np.pi * (frequency if sigma is None else sigma))
-    half = np.arange(0, 5 * spread, 1.0 / rate)
-    t = np.concatenate([-half[:0:-1], half])
-    wave = np.exp(2j * np.pi * frequency * t - t**2 / (2 * spread**2))
-    return wave / (np.sqrt(0.5) * np.linalg.norm(wave))
+def morlet(frequency: float, rate: float, cycles: float = 7.0) -> np.ndarray:
+    """Complex Morlet wavelet: a Gaussian of ``cycles`` / (2 pi f) seconds around exp(2 pi i f t).
+
+    Taps lie at k / rate for integers |k| below five deviations; the norm is sqrt(2).
+    """
+    deviation = cycles / (2 * np.pi * frequency)
+    reach = max(1, int(np.ceil(5 * deviation * rate)))
+    phase = np.arange(1 - reach, reach) / rate
+    taps = np.exp(-0.5 * (phase / deviation) ** 2) * np.exp(2j * np.pi * frequency * phase)
+    return taps * np.sqrt(2 / np.sum(np.abs(taps) ** 2))

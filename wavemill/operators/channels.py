@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavemill import constants as C
@@ -69,16 +69,9 @@ def scan_to_long(scans: DataFrame, names: list[str], keys: list[str], limit: int
 
 
 def common_average_reference(samples: DataFrame) -> DataFrame:
-    """Subtract the across-channel mean of each sample.
-
-    The mean is aggregated map-side and joined back on (recording, sample index).
-    """
-    means = samples.groupBy("recording_id", "sample_idx").agg(F.avg("value").alias("_mean"))
-    return (
-        samples.join(means, ["recording_id", "sample_idx"])
-        .withColumn("value", F.col("value") - F.col("_mean"))
-        .drop("_mean")
-    )
+    """Subtract the across-channel mean of each sample; a window holds one scan's channels."""
+    scan = Window.partitionBy("recording_id", "sample_idx")
+    return samples.withColumn("value", F.col("value") - F.avg("value").over(scan))
 
 
 def scan_layout(catalog: DataFrame) -> DataFrame:

@@ -10,22 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavemill.session import materialize
-
-# Largest key a single window task is allowed to sort.
-WINDOW_LIMIT = 2_000_000
+# Numbers in one bucket of an integer order column.
+NUMBERS = 100_000
 # Positions per block.
 BLOCK = 500_000
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality of several key columns."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Null-safe equi join that keeps the key columns of the left side."""
     renamed = right.select(
@@ -38,42 +28,39 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def coarse(df: DataFrame, column: str) -> Column:
+    """A bucket that keeps the order of a column: an hour, a run of numbers, the first two letters."""
+    kind = df.schema[column].dataType.simpleString()
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        return F.date_trunc("hour", F.col(column))
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return F.floor(F.col(column) / NUMBERS)
+    if kind in ("float", "double"):
+        return F.floor(F.col(column))
+    return F.substring(F.col(column).cast("string"), 1, 2)
+
+
 def number_rows(
-    df: DataFrame, keys: list[str], order: list, out: str = "row_idx", limit: int = WINDOW_LIMIT
+    df: DataFrame, keys: list[str], order: list[str], out: str = "row_idx", bucket: Column | None = None
 ) -> DataFrame:
-    """0-based position of each row inside its key, exact for keys of any size.
+    """0-based position of each row inside its key, by ascending ``order`` columns (NULL first).
 
-    The largest key is measured first (one partially aggregated count over the
-    key columns).  Up to ``limit`` rows an ordinary window does; beyond it rows
-    are range-partitioned by (keys, order), which splits a hot key over tasks.
+    Rows are ranked inside buckets of the first order column, and a bucket's first position is the
+    sum of the rows in earlier ones, so a hot key is as many tasks as it has buckets.  ``bucket``
+    replaces the usual one; it must not fall where the first order column rises.
     """
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= limit:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(out, F.row_number().over(w).cast("long") - 1)
-    return number_by_range(df, keys, order, out)
-
-
-def number_by_range(df: DataFrame, keys: list[str], order: list, out: str) -> DataFrame:
-    """Global sort, position inside each range, plus the rows of earlier ranges."""
-    placed = materialize(
-        df.orderBy(*keys, *order).withColumn("_pos", F.monotonically_increasing_id())
-    ).withColumn("_range", F.shiftright("_pos", 33))
-    ranges = placed.groupBy(*keys, "_range").agg(
-        F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_rows")
-    )
-    earlier = (
-        Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    shift = ranges.select(
-        *keys,
-        "_range",
-        (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
+    bucketed = df.withColumn("_bucket", coarse(df, order[0]) if bucket is None else bucket)
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    first = (
+        bucketed.groupBy(*keys, "_bucket")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .select(*keys, "_bucket", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_first"))
     )
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     return (
-        join_on(placed, shift, [*keys, "_range"])
-        .withColumn(out, F.col("_pos") + F.col("_shift"))
-        .drop("_pos", "_range", "_shift")
+        join_on(bucketed.withColumn("_at", F.row_number().over(inside)), first, [*keys, "_bucket"])
+        .withColumn(out, (F.col("_first") + F.col("_at") - 1).cast("long"))
+        .drop("_bucket", "_first", "_at")
     )
 
 

@@ -126,7 +126,8 @@ def with_seconds(rows: DataFrame) -> DataFrame:
 def play_blocks(rows: DataFrame, block: int) -> DataFrame:
     """Long keys: tables per block, followed in order, then all blocks at once."""
     key_type = dict(rows.dtypes)["key"]
-    rows = number_rows(rows, ["key"], ["t", "event_id"], "_idx").withColumn(
+    hours = F.floor(F.col("t") / 3_600_000_000)
+    rows = number_rows(rows, ["key"], ["t", "event_id"], "_idx", hours).withColumn(
         "block_id", F.floor(F.col("_idx") / block)
     )
 

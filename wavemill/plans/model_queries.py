@@ -29,7 +29,6 @@ def splits(spark, sf):
 
 
 query("shuffle_split", with_ctes(SPLITS_SQL) + "SELECT * FROM splits")(splits)
-query("permutation_split")(lambda spark, sf: sp.permutation_split(views.epochs(spark, sf)))
 
 
 def cells(df, column: str, width: int, names=("i", "j"), value="value", digits: int = 9):

@@ -45,7 +45,6 @@ def stream_blocks(spark, sf):
         sample_stream(spark, sf),
         BLOCK,
         [F.max("value").alias("peak")],
-        lateness="1 day",
     )
     sinks.each_batch(stream, out)
     schema = "recording_id string, channel string, block_id bigint, peak double, scans bigint"
@@ -66,19 +65,19 @@ def stream_envelope(spark, sf):
         sample_stream(spark, sf),
         BLOCK,
         F.when(F.col("channel") == "error", 1).otherwise(0),
-        lateness="1 day",
     )
-    sinks.each_batch(stream, out, "complete")
-    df = spark.read.parquet(f"{out}/data")
-    last = df.agg(F.max("batch")).first()[0]
-    return df.filter(F.col("batch") == last).select(
+    sinks.each_batch(stream, out)
+    values = ["low", "high", "axis_low", "axis_high"]
+    latest = F.max_by(F.struct(*values), F.col("batch")).alias("latest")
+    df = spark.read.parquet(f"{out}/data").groupBy("recording_id", "channel_group", "block_id").agg(latest)
+    return df.select(
         "recording_id",
         "channel_group",
         "block_id",
-        "low",
-        "high",
-        F.round("axis_low", 6).alias("axis_low"),
-        F.round("axis_high", 6).alias("axis_high"),
+        "latest.low",
+        "latest.high",
+        F.round("latest.axis_low", 6).alias("axis_low"),
+        F.round("latest.axis_high", 6).alias("axis_high"),
     )
 
 

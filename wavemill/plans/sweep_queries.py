@@ -102,7 +102,7 @@ FROM predicted JOIN grid USING (band_id) GROUP BY ALL"""
 query("sweep_two_channels", SWEEP_SQL)(lambda spark, sf: swept(spark, sf, "csp", WIDTHS, 2))
 
 query("sweep_results")(lambda spark, sf: swept(spark, sf, "csp", [1, 2, 3, 4, 5, 6, 7]))
-query("sweep_results_tensor")(lambda spark, sf: swept(spark, sf, "parafac", [3, 7]))
+query("sweep_results_tensor")(lambda spark, sf: swept(spark, sf, "parafac", [1, 2, 3, 4, 5, 6, 7]))
 
 
 def two_stages(spark, sf, window=None):

@@ -1,11 +1,13 @@
 """EDF+ recordings as DataFrames: chunked samples and annotations.
 
-Files of ordinary size come through Spark's ``binaryFile`` source.  Larger ones are
-cut into ranges of data records, each read by its own task.
+Every file is cut into ranges of data records, each read by its own task.  How many records a
+file has follows from its length; the header's count may be missing (-1) or out of date.
 """
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -120,40 +122,51 @@ def decode_contents(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def open_file(path: str):
+    """Open a path as Spark lists it: a URI whose name is not escaped."""
     from pyarrow import fs
 
     if path.startswith("file:/") and not path.startswith("file:///"):
         path = "file:///" + path[len("file:/") :].lstrip("/")
-    system, name = fs.FileSystem.from_uri(path)
+    for hadoop, plain in (("s3a://", "s3://"), ("s3n://", "s3://")):
+        path = plain + path[len(hadoop) :] if path.startswith(hadoop) else path
+    system, name = fs.FileSystem.from_uri(quote(path, safe=":/"))
     return system.open_input_file(name)
 
 
+def read_head(f) -> tuple[int, dict]:
+    size = header_bytes(f.read_at(256, 0))
+    return size, parse_header(f.read_at(size, 0))
+
+
 def decode_ranges(files: DataFrame, split_bytes: int = SPLIT_BYTES, chunk: int = CHUNK) -> DataFrame:
-    """Decode large files by ranges of records; each range is a task of its own."""
+    """Decode files (path, length) by ranges of records; each range is a task of its own.
+
+    A body that is not a whole number of records is an error.
+    """
 
     def plan(batches):
         for pdf in batches:
-            for path in pdf["path"]:
+            for path, length in zip(pdf["path"], pdf["length"]):
                 with open_file(path) as f:
-                    size = header_bytes(f.read_at(256, 0))
-                    head = parse_header(f.read_at(size, 0))
+                    size, head = read_head(f)
                 record = 2 * sum(head["s_samples"])
-                per = max(1, split_bytes // record)
-                starts = list(range(0, head["records"], per))
-                yield pd.DataFrame({"path": path, "first": starts, "n": per})
+                if record and (length - size) % record:
+                    raise ValueError(f"{path}: the data does not end with a whole record")
+                records = (length - size) // record if record else 0
+                per = max(1, split_bytes // max(1, record))
+                starts = list(range(0, records, per))
+                yield pd.DataFrame({"path": path, "first": starts, "n": [min(per, records - s) for s in starts]})
 
     def run(batches):
         for pdf in batches:
             for path, first, n in zip(pdf["path"], pdf["first"], pdf["n"]):
                 with open_file(path) as f:
-                    size = header_bytes(f.read_at(256, 0))
-                    head = parse_header(f.read_at(size, 0))
+                    size, head = read_head(f)
                     record = 2 * sum(head["s_samples"])
-                    n = min(n, head["records"] - first)
                     body = f.read_at(int(n * record), int(size + first * record))
                 yield from frames(decode_records(path, head, body, int(first), chunk))
 
-    ranges = files.select("path").mapInPandas(plan, "path string, first bigint, n bigint")
+    ranges = files.select("path", "length").mapInPandas(plan, "path string, first bigint, n bigint")
     return ranges.repartition("path", "first").mapInPandas(run, SCHEMA)
 
 
@@ -171,10 +184,7 @@ def read_recordings(
     spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES, chunk: int = CHUNK
 ) -> DataFrame:
     """Decoded rows of all recordings of a folder, of kind ``samples`` or ``annotation``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.edf").load(folder)
-    small = files.filter(F.col("length") <= split_bytes)
-    large = files.filter(F.col("length") > split_bytes).select("path")
-    return decode_contents(small, chunk).unionByName(decode_ranges(large, split_bytes, chunk))
+    return decode_ranges(list_recordings(spark, folder), split_bytes, chunk)
 
 
 def sample_chunks(decoded: DataFrame, chunk: int = CHUNK) -> DataFrame:

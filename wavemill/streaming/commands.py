@@ -9,7 +9,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 COLUMNS = ["key", "t", "event_id", "command", "playing_us"]
 OUTPUT = "key bigint, t bigint, event_id bigint, command string, playing_us bigint"
-STATE = "busy bigint, last string"
+STATE = "busy bigint, last string, started boolean"
 
 
 def plain_rows(commands: DataFrame) -> DataFrame:
@@ -23,13 +23,16 @@ def plain_rows(commands: DataFrame) -> DataFrame:
     )
 
 
-def pass_changes(pdf: pd.DataFrame, busy, last):
-    """Rows whose command differs from the one before."""
-    keep = pdf["command"] != pdf["command"].shift(fill_value=last if last is not None else "")
-    return keep, busy, pdf["command"].iloc[-1]
+def pass_changes(pdf: pd.DataFrame, busy, last, started):
+    """Rows whose command differs from the one before; NULL equals NULL, a first row always counts."""
+    command = pdf["command"].astype(object).where(pdf["command"].notna(), None)
+    before = [last, *command.iloc[:-1]]
+    keep = [a != b for a, b in zip(command, before)]
+    keep[0] = keep[0] or not started
+    return keep, busy, command.iloc[-1]
 
 
-def pass_playable(pdf: pd.DataFrame, busy, last):
+def pass_playable(pdf: pd.DataFrame, busy, last, started):
     """Rows that start to play: nothing is playing, and the command is not the last played."""
     keep = []
     for t, command, length in zip(pdf["t"], pdf["command"], pdf["playing_us"]):
@@ -48,10 +51,10 @@ def stateful(commands: DataFrame, rule) -> DataFrame:
     """
 
     def step(key, frames, state: GroupState):
-        busy, last = state.get if state.exists else (None, None)
+        busy, last, started = state.get if state.exists else (None, None, False)
         pdf = pd.concat(frames).sort_values(["t", "event_id"])
-        keep, busy, last = rule(pdf, busy, last)
-        state.update((busy, last))
+        keep, busy, last = rule(pdf, busy, last, started)
+        state.update((busy, last, True))
         yield pdf.loc[list(keep), COLUMNS]
 
     return (

@@ -28,32 +28,45 @@ def read_files(
     return reader.parquet(path)
 
 
-def event_time(idx: Column, rate: float) -> Column:
-    """Time of a sample since the start of its recording."""
-    return F.timestamp_micros((idx * F.lit(1e6 / rate)).cast("long"))
+def event_time(started: Column, idx: Column, rate: float) -> Column:
+    """Time of a sample of a recording that began at ``started``."""
+    return F.timestamp_micros(F.unix_micros(started.cast("timestamp")) + (idx * F.lit(1e6 / rate)).cast("long"))
 
 
-def windowed(samples: DataFrame, size: int, rate: float, lateness: str, *keys) -> DataFrame:
-    """Group a sample stream by ``size``-sample windows; state is dropped behind the watermark."""
+def windowed(
+    samples: DataFrame, size: int, rate: float, started: Column | None, lateness: str, *keys
+) -> DataFrame:
+    """Group a sample stream by ``size``-sample blocks.
+
+    ``started`` is when a row's recording began; with it, state is dropped once all streams are
+    ``lateness`` past a block.  Without it recordings share no clock, so nothing may be called late:
+    every block's state stays in the state store.
+    """
+    block = F.floor(F.col("sample_idx") / size).alias("block_id")
+    if started is None:
+        return samples.groupBy("recording_id", *keys, block)
     length = f"{round(size * 1e6 / rate)} microseconds"
     return (
-        samples.withColumn("ts", event_time(F.col("sample_idx"), rate))
+        samples.withColumn("ts", event_time(started, F.col("sample_idx"), rate))
         .withWatermark("ts", lateness)
-        .groupBy(
-            "recording_id",
-            *keys,
-            F.window("ts", length),
-            F.floor(F.col("sample_idx") / size).alias("block_id"),
-        )
+        .groupBy("recording_id", *keys, F.window("ts", length), block)
     )
 
 
 def stream_blocks(
-    samples: DataFrame, size: int, aggs: list[Column], rate: float = 250, lateness: str = "0 seconds"
+    samples: DataFrame,
+    size: int,
+    aggs: list[Column],
+    rate: float = 250,
+    started: Column | None = None,
+    lateness: str = "0 seconds",
 ) -> DataFrame:
-    """Complete blocks of ``size`` samples (update mode: each leaves when it is full)."""
+    """Complete blocks of ``size`` samples (update mode: each leaves when it is full).
+
+    With ``started``, recordings begin on the block grid of the clock.
+    """
     return (
-        windowed(samples, size, rate, lateness, "channel")
+        windowed(samples, size, rate, started, lateness, "channel")
         .agg(*aggs, F.count(F.lit(1)).alias("scans"))
         .filter(F.col("scans") == size)
         .drop("window")
@@ -66,12 +79,13 @@ def stream_envelope(
     group: Column,
     margin: float = 0.05,
     rate: float = 250,
+    started: Column | None = None,
     lateness: str = "0 seconds",
 ) -> DataFrame:
     """Smallest and largest value per block and channel group, with the widened range."""
     span = F.max("value") - F.min("value")
     return (
-        windowed(samples, size, rate, lateness, group.alias("channel_group"))
+        windowed(samples, size, rate, started, lateness, group.alias("channel_group"))
         .agg(
             F.min("value").alias("low"),
             F.max("value").alias("high"),
