@@ -9,8 +9,9 @@ is what slots hold that are not beside the article: inside <article> or <main> w
 page has one, else anywhere in the body.  Headings stay, and pages with equal candidate texts count
 as one, so a host full of copies has no constant article.
 
-Trees and text hashes are counted per host with plain aggregates, so a host with a third of all
-pages is never gathered; the pages themselves move once, to meet the numbers of their constant blocks.
+Trees and hashes of texts are counted per host with plain aggregates, so a host with a third of all
+pages is never gathered; only the extracted texts move, once, to meet the numbers of their constant
+blocks.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from wavemill.llm.words import pieces
 #: and if it makes up this share of all texts of its node.
 LEAST_PAGES, LEAST_SHARE, LEAST_OF_NODE = 4, 0.5, 0.9
 
-BLOCKS = "host string, page long, tree long, skeleton string, path string, text long"
+BLOCKS = "row long, host long, page long, tree long, skeleton string, path long, text long, at int"
 
 
 def hash64(text: str) -> int:
@@ -61,19 +62,21 @@ def skeleton(found: list[tuple[str, str, bool, bool]]) -> str:
 
 
 def sketch(batch: pa.RecordBatch):
-    """A row for each distinct (path, text) of a page; the tree's text goes with its first row."""
+    """A row for each candidate block but headings, by hashes; the tree goes with a page's first row."""
     for part in pieces(batch, "html", 1 << 20):
         out = []
-        for url, html in zip(part.column("url").to_pylist(), part.column("html").to_pylist()):
+        for row, url, html in zip(*(part.column(c).to_pylist() for c in ("row", "url", "html"))):
             found = dom.blocks(html)
-            if found:
-                host, page, tree = host_of(url), page_key(found), skeleton(found)
-                number = hash64(tree)
-                for k, (path, text) in enumerate(dict.fromkeys((b[0], hash64(b[1])) for b in candidates(found))):
-                    out.append((host, page, number, tree if k == 0 else None, path, text))
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-        cols = list(zip(*out)) or [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["host", "page", "tree", "skeleton", "path", "text"])
+            host, page, tree = hash64(host_of(url)), page_key(found), skeleton(found)
+            number, shown = hash64(tree), tree
+            for at, (path, text, *_) in enumerate(candidates(found)):
+                if not heading(path):
+                    out.append((row, host, page, number, shown, hash64(path), hash64(text), at))
+                    shown = None
+        kinds = (*[pa.int64()] * 4, pa.string(), pa.int64(), pa.int64(), pa.int32())
+        cols = list(zip(*out)) or [()] * 8
+        names = ["row", "host", "page", "tree", "skeleton", "path", "text", "at"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
 
 def aligned(batch: pa.RecordBatch):
@@ -81,21 +84,20 @@ def aligned(batch: pa.RecordBatch):
     for host, number, own, main in zip(*(batch.column(c).to_pylist() for c in ("host", "tree", "skeleton", "main"))):
         pairs = dom.match(json.loads(own), json.loads(main))[1]
         if pairs:
-            a, b = (["/" + "/".join(p[k]) for p in pairs] for k in (0, 1))
+            a, b = ([hash64("/" + "/".join(p[k])) for p in pairs] for k in (0, 1))
             n = len(a)
             yield pa.RecordBatch.from_arrays([pa.array([host] * n), pa.array([number] * n), pa.array(a), pa.array(b)], ["host", "tree", "path", "node"])
 
 
-def constants(pages: DataFrame) -> DataFrame:
-    """(host, tree, path, text): blocks, by the hash of their text, that belong to a host's template."""
-    rows = kept(one_by_one(pages.select("url", "html"), sketch, BLOCKS).distinct(), "page-blocks")
+def constants(rows: DataFrame) -> DataFrame:
+    """(row, drop): the numbers of the candidate blocks of a page that belong to its host's template."""
     sizes = rows.groupBy("host", "page").agg(F.count("*")).groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
     trees = rows.where("skeleton IS NOT NULL").groupBy("host", "tree", "skeleton").agg(F.count("*").alias("n"))
     main = trees.groupBy("host").agg(F.max(F.struct("n", "tree", "skeleton")).alias("main")).select("host", F.col("main.skeleton").alias("main"))
     names = one_by_one(
         trees.join(sizes.select("host"), "host").join(main, "host").select("host", "tree", "skeleton", "main"),
         aligned,
-        "host string, tree long, path string, node string",
+        "host long, tree long, path long, node long",
     )
     names = kept(names, "page-nodes")
     counted = rows.groupBy("host", "tree", "path", "text").agg(F.count_distinct("page").alias("n"))
@@ -104,14 +106,13 @@ def constants(pages: DataFrame) -> DataFrame:
     often = total.where(F.col("n") >= LEAST_PAGES).join(sizes, "host").where(F.col("n") >= F.col("pages") * LEAST_SHARE)
     nodes = total.groupBy("host", "node").agg(F.sum("n").alias("all"))
     fixed = often.join(nodes, ["host", "node"]).where(F.col("n") >= F.col("all") * LEAST_OF_NODE).select("host", "node", "text")
-    return named.join(fixed, ["host", "node", "text"]).select("host", "tree", "path", "text")
+    fixed = named.join(fixed, ["host", "node", "text"]).select("host", "tree", "path", "text")
+    hits = rows.join(fixed, ["host", "tree", "path", "text"])
+    return hits.groupBy("row").agg(F.collect_set("at").alias("drop"))
 
 
-def main_text(found: list[tuple[str, str, bool, bool]], fixed: set[tuple[str, int]]) -> str:
-    def varies(path, text):
-        return path.rpartition("/")[2][:2] in dom.HEADING or (path, hash64(text)) not in fixed
-
-    return "\n\n".join(b[1] for b in candidates(found) if varies(b[0], b[1]))
+def heading(path: str) -> bool:
+    return path.rpartition("/")[2][:2] in dom.HEADING
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -120,24 +121,19 @@ def extract(pages: DataFrame) -> DataFrame:
     Null and empty pages have the text "" and keep their row; pages without a readable host share
     one host; repeated rows stay and count as one page; other columns are left out.
     """
-    fixed = constants(pages)
-    hits = one_by_one(pages.select("url", "html"), sketch, BLOCKS).select("host", "page", "tree", "path", "text").distinct()
-    hits = hits.join(fixed, ["host", "tree", "path", "text"])
-    hits = hits.groupBy("host", "page").agg(F.collect_set(F.struct("path", "text")).alias("fixed"))
-
-    def key(batch):
-        for part in pieces(batch, "html", 4 << 20):
-            url, html = part.column("url").to_pylist(), part.column("html").to_pylist()
-            cols = [part.column("page_id"), part.column("url"), part.column("html"), pa.array([host_of(u) for u in url]), pa.array([page_key(dom.blocks(h)) for h in html])]
-            yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "html", "host", "page"])
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.xxhash64("url", "html").alias("row"))
+    rows = kept(one_by_one(pages.select("row", "url", "html"), sketch, BLOCKS), "page-blocks")
+    drops = constants(rows)
 
     def text(batch):
         for part in pieces(batch, "html", 1 << 20):
-            texts = []
-            for html, own in zip(part.column("html").to_pylist(), part.column("fixed").to_pylist()):
-                texts.append(main_text(dom.blocks(html), {(x["path"], x["text"]) for x in own or ()}))
-            cols = [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "text", "n_chars"])
-
-    rows = one_by_one(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), key, "page_id long, url string, html string, host string, page long")
-    return one_by_one(rows.join(hits, ["host", "page"], "left").select("page_id", "url", "html", "fixed"), text, "page_id long, url string, text string, n_chars long")
+            texts = ["\n\n".join(b[1] for b in candidates(dom.blocks(h))) for h in part.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("page_id"), part.column("url"), part.column("row"), pa.array(texts, pa.string())], ["page_id", "url", "row", "text"]
+            )
+
+    # White space inside a block is one space, so blocks can be told apart again.
+    own = one_by_one(pages, text, "page_id long, url string, row long, text string").join(drops, "row", "left")
+    left = F.array_join(F.filter(F.split("text", "\n\n"), lambda b, k: ~F.array_contains("drop", k)), "\n\n")
+    own = own.select("page_id", "url", F.when(F.col("drop").isNull(), F.col("text")).otherwise(left).alias("text"))
+    return own.withColumn("n_chars", F.length("text").cast("long"))
