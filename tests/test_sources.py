@@ -73,6 +73,7 @@ def test_count_follows_from_the_length(spark, tmp_path):
 def test_ingest(spark, folder, tmp_path):
     out = str(tmp_path / "lake")
     edf.ingest(spark, folder, out)
+    edf.ingest(spark, folder, out)  # a second run adds nothing
     back = spark.read.parquet(out)
     assert back.filter("kind = 'annotation'").count() == 4
     assert back.filter("kind = 'samples'").select(F.sum(F.size("values"))).first()[0] == 4 * RATE * SECONDS

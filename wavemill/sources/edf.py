@@ -10,6 +10,7 @@ from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -206,8 +207,19 @@ def annotation_rows(decoded: DataFrame) -> DataFrame:
 
 
 def ingest(spark: SparkSession, folder: str, out: str, chunk: int = CHUNK) -> None:
-    """Decode once and keep samples and annotations as Parquet, split by kind."""
-    read_recordings(spark, folder, chunk=chunk).write.mode("append").partitionBy("kind").parquet(out)
+    """Decode recordings that ``out`` does not have yet; samples and annotations as Parquet by kind.
+
+    A file's rows are committed with those of its run, so a path in ``out`` is there as a whole.
+    """
+    files = list_recordings(spark, folder)
+    try:
+        known = spark.read.parquet(out).select("path").distinct()
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    else:
+        files = files.join(known, "path", "left_anti")
+    decode_ranges(files, chunk=chunk).write.mode("append").partitionBy("kind").parquet(out)
 
 
 def encode(signals: dict[str, np.ndarray], notes, rate: int, low: float, high: float) -> bytes:
