@@ -37,9 +37,8 @@ def tokens(line):
     return F.filter(F.split(line, GAP), lambda t: t != "")
 
 
-def leaf(line):
-    """Hash of the node a line ends in: number of tokens and masked first tokens."""
-    t = tokens(line)
+def leaf(t):
+    """Hash of the node a line with tokens ``t`` ends in: their number and the masked first ones."""
     lead = F.transform(F.slice(t, 1, DEPTH), lambda x: F.when(x.rlike("[0-9]"), F.lit("<*>")).otherwise(x))
     return F.xxhash64(F.size(t), lead)
 
@@ -52,22 +51,22 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(key, place, line) of all lines with enough tokens."""
-    lines = docs.select("key", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    return lines.where(F.size(tokens(F.col("line"))) >= LEAST_TOKENS)
+    """(key, place, leaf) of all lines with enough tokens; each line is cut into tokens once."""
+    lines = docs.select("key", F.posexplode(F.transform(F.split("text", "\n"), tokens)).alias("place", "t"))
+    return lines.where(F.size("t") >= LEAST_TOKENS).select("key", "place", leaf(F.col("t")).alias("leaf"))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(key, places): the line numbers to drop from each row that loses any."""
     docs = keyed(docs).select("key", "doc_id", "text")
-    narrow = occurrences(docs).select("key", "place", leaf(F.col("line")).alias("leaf"))
+    narrow = kept(occurrences(docs), "leaves")
     leaves = narrow.groupBy("leaf").agg(F.count("*").alias("lines")).where(F.col("lines") >= LEAST_DOCUMENTS)
     flagged = narrow.join(leaves.select("leaf"), "leaf").groupBy("key").agg(F.collect_set("place").alias("wanted"))
     # Whole texts move once, by row; only lines in shared leaves go on.
     lines = docs.join(flagged, "key").select("doc_id", F.col("key.hash").alias("hash"), "text", "wanted")
     lines = one_by_one(lines, picked, "doc_id long, hash long, place int, line string")
     lines = lines.withColumn("key", F.struct(F.col("doc_id").alias("id"), "hash"))
-    lines = lines.select("key", "doc_id", "place", "line", leaf(F.col("line")).alias("leaf"), F.xxhash64("line").alias("same"))
+    lines = lines.select("key", "doc_id", "place", "line", leaf(tokens(F.col("line"))).alias("leaf"), F.xxhash64("line").alias("same"))
     lines = kept(lines.select("key", "doc_id", "place", "leaf", "same", "line"), "lines")
 
     distinct = lines.groupBy("leaf", "same").agg(F.min("line").alias("line"), F.count("*").alias("weight"))
