@@ -191,7 +191,7 @@ def plain_bm25(rows, k=10, terms=search.QUERY_TERMS):
     out = {}
     for q, c in tf.items():
         if q % 20 == 0:
-            own = sorted(sorted(c, key=lambda w: (-c[w] * idf[w], number[w]))[:terms], key=number.get)
+            own = sorted(sorted(c, key=lambda w: (-(1 + math.log(c[w])) * idf[w], number[w]))[:terms], key=number.get)
             scores = []
             for d, t in tf.items():
                 length = sum(t.values()) / (total / n)
