@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.brute import best_window, jaccard_components, template_drops, words_of
 from wavemill.llm import decontaminate, jaccard, lines, search, toxicity, words
-from wavemill.llm.queries import benchmark_leaks
+from wavemill.llm.queries import benchmark_leaks, bm25_search
 
 ODD = [(1, None), (2, ""), (3, " \n \n"), (4, "word"), (5, "word"), (6, "a b c d"), (7, "a b c d e"), (8, "A b c d e"), (None, "a b c d e f")]
 
@@ -215,6 +215,34 @@ def test_search_like_scoring_everything(sample, docs_of):
     assert search.top_k(empty, empty).count() == 0
 
 
+def test_registered_search_asks_with_the_whole_text(spark, sample):
+    rows = [(r["doc_id"], r["text"]) for r in sample.collect()]
+    tf = {d: Counter(words_of(t)) for d, t in rows}
+    n, mean = len(rows), sum(sum(c.values()) for c in tf.values()) / len(rows)
+    df = Counter(w for c in tf.values() for w in c)
+    got = defaultdict(list)
+    for r in bm25_search(spark, "/root/testdata/sf0.001").orderBy("query", "rank").collect():
+        got[r["query"]].append((r["doc_id"], r["score"]))
+    assert max(len(tf[q]) for q in got) > 16 and set(got) == {d for d in tf if d % 20 == 0 and tf[d]}
+    for q, own in got.items():
+        scores = {}
+        for d, c in tf.items():
+            base = 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)
+            scores[d] = sum(m * math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + base) for w, m in tf[q].items() if w in c)
+        want = sorted((s for s in scores.values() if s), reverse=True)[:10]
+        assert len(own) == len(want) and all(abs(s - x) < 1e-5 * x and abs(s - scores[d]) < 1e-5 * x for (d, s), x in zip(own, want))
+
+
+def test_few_and_many_terms_score_alike(docs_of, sample, monkeypatch):
+    docs = docs_of([(r["doc_id"], r["text"]) for r in sample.collect()] + [(-20, "the of and"), (-40, "a")])
+    found = []
+    for few in (0, 8, 100_000):
+        monkeypatch.setattr(search, "FEW_TERMS", few)
+        asked = docs.where("doc_id < 0 or doc_id % 100 = 0")
+        found.append({(r["query"], r["rank"]): (r["doc_id"], round(r["score"], 7)) for r in search.top_k(docs, asked, by_frequency=True).collect()})
+    assert found[0] and found[0] == found[1] == found[2]
+
+
 def test_wand_like_full_scores():
     rng = random.Random(7)
     for _ in range(60):
