@@ -118,6 +118,28 @@ def test_leaks_like_all_windows(spark, docs_of):
     assert decontaminate.decontaminate(docs_of(rows), none).count() == len(rows)
 
 
+def test_leaks_with_moved_and_cut_parts_like_all_windows(spark, docs_of):
+    rng = random.Random(8)
+    items, rows = [], []
+    for k, n in enumerate([*range(40, 50), *range(84, 92), 60, 130]):
+        own = [f"i{k}_{j}" for j in range(n)]
+        if k % 5 == 4:  # the item says something twice
+            own[n // 2 : n // 2 + 6] = own[3:9]
+        items.append((k, " ".join(own)))
+        a, b = n // 2, n // 3
+        edited = [own[a:] + own[:a], own[:b] + ["new"] + own[b : 2 * b] + own[2 * b + 1 :], own[2 * b :] + own[b : 2 * b] + own[:b]]
+        edited += [own[:a] + own[a + 2 :], own[:a] + own[a + 8 :], own[: n // 2 + 6] + own[9:], own[3:9] + own[n // 2 + 6 :] + own[:3] + own[9 : n // 2]]
+        for e in edited:
+            for before in (0, *rng.sample(range(1, 60), 3)):
+                rest = [f"d{len(rows)}_{j}" for j in range(before + 7 * (before > 0))]
+                rows.append((len(rows), " ".join(rest[:before] + e + rest[before:])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.leaks(docs_of(rows), bench).collect()}
+    want = {(d, i): s for d, t in rows for i, x in items if f"i{i}_1 " in t and (s := best_window(t, x)) >= 0.8}
+    assert got.keys() == want.keys() and len(want) > 100
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in got)
+
+
 def test_registered_leaks_are_all_of_the_table(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet").collect()

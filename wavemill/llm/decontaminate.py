@@ -4,14 +4,15 @@ A document is contaminated by an item if some window of the item's own word coun
 shingle similarity with the item of at least the threshold: each shingle weighs as often as it
 occurs, and the similarity is the sum of the smaller weights over the sum of the larger ones.
 
-Fingerprints lead to such windows.  An item of n words with s shingles can lose at most s / 9
-shingles at a similarity of 0.8, and each change inside it costs five, so a known number of
-words in one run survives unchanged.  Windows follow the item's size: the longest power of two,
-with a stride, that must lie inside that run.  Documents get a 64-bit SimHash of the words of each
-window at every stride; items get one at every offset.  Every fingerprint of a document within
-the Hamming radius of an item's is found through blocks: with radius + 1 blocks, two
-fingerprints that differ in at most radius bits agree in one block.  Each hit fixes where
-the whole item would lie, and item-sized windows around that place are compared exactly.
+Fingerprints lead to such windows.  A window in b + 1 unchanged runs of an item, moved, cut or apart,
+has at least b * (shingle - 1) shingles that the item lacks, so a similarity of 0.8 bounds b, and a known
+number of words in one run survives unchanged.  Only where an item repeats shingle - 1 words may
+a window go from one place to the other for nothing; each such place counts as one more break.
+Windows follow the item's size: the longest power of two, with a stride, that must lie inside that
+run.  Documents get a 64-bit SimHash of the words of each window at every stride; items get one at every
+offset.  Every fingerprint of a document within the Hamming radius of an item's is found through
+blocks: with radius + 1 blocks, two fingerprints that differ in at most radius bits agree in one block.
+All item-sized windows around each hit are compared exactly.
 
 Items are taken in parts of bounded size, one pass over the documents for each part; the tables
 of one part go to every task.
@@ -19,6 +20,8 @@ of one part go to every task.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,17 +38,31 @@ SIZES = (1, 2, 4, 8, 16, 32)
 LEAKS = "doc_id long, item_id long, start_word long, n_words long, similarity double"
 
 
-def surviving_run(n: int, shingle: int, threshold: float) -> int:
-    """Words in one unchanged run that every window of similarity ``threshold`` keeps of an item."""
+def surviving_run(n: int, shingle: int, threshold: float, repeats: int = 0) -> int:
+    """Words in one unchanged run that every window of similarity ``threshold`` keeps of an item.
+
+    A window with x shingles of its own shares at least threshold * (s + x) of the item's s.
+    """
     s = max(1, n - shingle + 1)
     lost = int(s * (1 - threshold) / (1 + threshold) + 1e-9)
-    inside, edge = divmod(lost, shingle)
-    return max(1, -(-(n - inside - edge) // (inside + 1)))
+    if shingle < 2:
+        return 1
+    breaks = lost // (shingle - 1)
+    shared = threshold * (s + breaks * (shingle - 1)) - 1e-9
+    return max(1, min(n, math.ceil(shared / (breaks + repeats + 1)) + shingle - 1))
+
+
+def repeated(word: np.ndarray, shingle: int) -> int:
+    """Places of an item whose shingle - 1 words stand at another place too."""
+    if shingle < 2 or len(word) < shingle:
+        return 0
+    _, counts = weigh(word, shingle - 1)
+    return int(counts[counts > 1].sum())
 
 
-def window_size(n: int, shingle: int, threshold: float) -> tuple[int, int]:
+def window_size(n: int, shingle: int, threshold: float, repeats: int = 0) -> tuple[int, int]:
     """Longest window of a size class, with its stride, that the surviving run must contain."""
-    run = surviving_run(n, shingle, threshold)
+    run = surviving_run(n, shingle, threshold, repeats)
     size = max(w for w in SIZES if w == 1 or w + w // 4 <= run)
     return size, max(1, run - size + 1)
 
@@ -117,7 +134,7 @@ class Items:
         strides: dict[int, int] = {}
         for i, n in enumerate(self.n.tolist()):
             if n:
-                size, stride = window_size(n, shingle, threshold)
+                size, stride = window_size(n, shingle, threshold, repeated(self.word[self.first[i] : self.first[i + 1]], shingle))
                 at = np.arange(n - size + 1)
                 entries.setdefault(size, []).append((np.full(len(at), i), at))
                 strides[size] = min(stride, strides.get(size, stride))
@@ -137,22 +154,54 @@ class Items:
             text = np.repeat(np.arange(len(counts)), counts)
             start = (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)) * stride
             q, e = index.within(simhash(word, size, first[text] + start))
-            found = np.stack([text[q], item[e], start[q] - at[e]])
-            for t, i, s in np.unique(found, axis=1).T.tolist():
-                self.compare(word[first[t] : first[t + 1]], t, i, s, best)
+            found = np.unique(np.stack([text[q], item[e], start[q], start[q] - at[e]]), axis=1)
+            edges = np.flatnonzero((np.diff(found[:2], axis=1) != 0).any(axis=0)) + 1
+            for t, i, places, near in np.split(found, edges, axis=1) if found.size else []:
+                self.compare(word[first[t[0]] : first[t[0] + 1]], int(t[0]), int(i[0]), size, places.tolist(), near.tolist(), best)
         return [(t, i, -back, sim) for (t, i), (sim, back) in sorted(best.items())]
 
-    def compare(self, own: np.ndarray, t: int, i: int, near: int, best: dict) -> None:
-        """Item-sized windows that begin within the drift that lost shingles allow."""
+    def compare(self, own: np.ndarray, t: int, i: int, size: int, places: list[int], near: list[int], best: dict) -> None:
+        """Item-sized windows that hold one of the hits, which begin at ``places``; ``near``: where the item would begin."""
         n = int(self.n[i])
-        drift = int(max(1, n - self.shingle + 1) * (1 - self.threshold) / (1 + self.threshold) + 1e-9)
-        if 0 <= near <= len(own) - n and np.array_equal(own[near : near + n], self.word[self.first[i] : self.first[i + 1]]):
-            best[t, i] = max(best.get((t, i), (0.0, 0)), (1.0, -near))
+        last = len(own) - min(n, len(own))
+        item = self.word[self.first[i] : self.first[i + 1]]
+        exact = {s: 0 <= s <= len(own) - n and np.array_equal(own[s : s + n], item) for s in set(near)}
+        for s in (s for s, same in exact.items() if same):
+            best[t, i] = max(best.get((t, i), (0.0, 0)), (1.0, -s))
+        spans: list[list[int]] = []
+        for place, s in zip(places, near):
+            if not exact[s]:
+                low, high = max(0, place + size - n), min(last, place)
+                if spans and low <= spans[-1][1] + 1:
+                    spans[-1][1] = max(spans[-1][1], high)
+                else:
+                    spans.append([low, high])
+        for low, high in spans:
+            self.slide(own, t, i, low, high, best)
+
+    def slide(self, own: np.ndarray, t: int, i: int, low: int, high: int, best: dict) -> None:
+        """Similarities of the windows that begin at ``low`` to ``high``, each from the one before."""
+        n, known = int(self.n[i]), self.weights[i]
+        if n < self.shingle or len(own) < n:
+            for start in range(low, high + 1):
+                sim = similarity(weigh(own[start : start + n], self.shingle), known)
+                if sim >= self.threshold:
+                    best[t, i] = max(best.get((t, i), (0.0, 0)), (sim, -start))
             return
-        for start in range(max(0, near - drift), min(len(own) - min(n, len(own)), near + drift) + 1):
-            sim = similarity(weigh(own[start : start + n], self.shingle), self.weights[i])
-            if sim >= self.threshold:
-                best[t, i] = max(best.get((t, i), (0.0, 0)), (sim, -start))
+        part = own[low : high + n]
+        runs, _ = words.shingles(part, np.array([0, len(part)]), self.shingle)
+        at = np.minimum(np.searchsorted(known[0], runs), len(known[0]) - 1)
+        kind = np.where(known[0][at] == runs, at, -1).tolist()
+        room, s, both = known[1].tolist(), n - self.shingle + 1, 0  # room[k] goes below 0 for shingles over the item's weight
+        for k, new in enumerate(kind):
+            if k >= s and (old := kind[k - s]) >= 0:
+                both -= room[old] >= 0
+                room[old] += 1
+            if new >= 0:
+                room[new] -= 1
+                both += room[new] >= 0
+            if k >= s - 1 and both / (2 * s - both) >= self.threshold:
+                best[t, i] = max(best.get((t, i), (0.0, 0)), (both / (2 * s - both), -(low + k - s + 1)))
 
 
 def weigh(word: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
