@@ -186,6 +186,20 @@ def test_blocks_of_odd_html():
     assert texts("<p title=it's>a</p><p class='x>y'>b") == ["a", "b"]
 
 
+def test_class_words_never_discard_the_article():
+    own = lambda h: [b[1] for b in pages.candidates(dom.blocks(h))]
+    art, side = "<article><h1>T</h1><p>The article's own text</article>", "<div class=sidebar><p>Other things to read</div>"
+    assert own(f"<div class='layout has-sidebar'>{art}{side}</div>") == ["T", "The article's own text"]
+    assert own(f"<p>Skip</p><main class=no-comments>{art}</main>{side}") == ["T", "The article's own text"]
+    assert own(f"<main><h2>News</h2>{art.replace('article>', 'article class=share-enabled>', 1)}{side}</main>") == ["News", "T", "The article's own text"]
+    long = "<p>Words of the article, many of them, over and over. " * 5
+    assert len(own(f"<div id=page-with-menu><div class=body>{long}</div>{side}</div>")) == 5
+    # Beside an article, marked elements stay marked, also with an <article> for each comment.
+    assert own(f"{art}<div id=comments><article>I like it</article></div>") == ["T", "The article's own text"]
+    assert own("<main><p>The text</main><div id=comments><article>I like it</article></div>") == ["The text"]
+    assert own(f"<div class=body>{long}</div>{side}<div class=cookie-notice>We use cookies</div>") == own(long)
+
+
 def test_tree_matching_pairs_nodes_in_order():
     a, b = dom.tree(["/r/n.x", "/r/d.a/p", "/r/f"]), dom.tree(["/r/d.b/p", "/r/f"])
     score, pairs = dom.match(a, b)

@@ -38,19 +38,22 @@ SPACES = re.compile(r"\s+")
 class Open:
     """An element on the stack."""
 
-    __slots__ = ("tag", "path", "aside", "article", "header")
+    __slots__ = ("tag", "path", "aside", "article", "header", "main", "marks", "is_article", "has_article", "chars")
 
-    def __init__(self, tag, path, aside, article, header):
+    def __init__(self, tag, path, aside, article, header, main=False, marks=()):
         self.tag, self.path, self.aside, self.article, self.header = tag, path, aside, article, header
+        #: Inside <main>; this and outer elements with a word of ASIDE_WORDS; what such an element is and holds.
+        self.main, self.marks = main, marks
+        self.is_article, self.has_article, self.chars = False, False, 0
 
 
-def describe(tag: str, attrs: str) -> tuple[str, bool, bool]:
-    """Label of an element for matching, whether it is beside the article, whether it is the article."""
-    label, aside, article = tag, tag in ASIDE_TAGS, tag in ("article", "main")
+def describe(tag: str, attrs: str) -> tuple[str, bool, bool, bool]:
+    """Label of an element for matching, whether it is beside the article, whether a class word says so, whether it is the article."""
+    label, aside, marked, article = tag, tag in ASIDE_TAGS, False, tag in ("article", "main")
     for m in ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "")
         if name in ("class", "id"):
-            aside = aside or not ASIDE_WORDS.isdisjoint(w.lower() for w in WORD.findall(value))
+            marked = marked or not ASIDE_WORDS.isdisjoint(w.lower() for w in WORD.findall(value))
             label += ("." if name == "class" else "#") + re.sub(r"\d+", "0", " ".join(value.split()))
         elif name == "role":
             aside = aside or value.strip().lower() in ASIDE_ROLES
@@ -59,14 +62,39 @@ def describe(tag: str, attrs: str) -> tuple[str, bool, bool]:
             aside = True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             aside = True
-    return label.replace("/", "|"), aside and tag not in ("html", "body"), article and not aside
+    page = tag in ("html", "body")
+    return label.replace("/", "|"), aside and not page, marked and not page, article and not aside
+
+
+#: Share of a page's text outside fixed asides from which an element isn't beside the article, whatever its class.
+MOST = 0.9
+
+
+def unmarked(found: list[tuple[str, str, bool, bool, Open]]) -> list[tuple[str, str, bool, bool]]:
+    """Blocks with class words applied, but for words on an element that is or holds the article or nearly all text."""
+    good = [(text, article, top) for _, text, ok, article, top in found if ok]
+    marks = {}
+    for text, _, top in good:
+        for e in top.marks:
+            marks[id(e)] = e
+            e.chars += len(text)
+    all_chars = sum(len(text) for text, *_ in good)
+    plain = [top for _, article, top in good if article and not top.marks]
+    articles = any(not top.main for top in plain)  # an article of its own, not just a place in <main>
+    void = {
+        k
+        for k, e in marks.items()
+        if e.chars >= MOST * all_chars or e.is_article and not articles or e.has_article and not plain
+    }
+    return [(path, text, ok and all(id(e) in void for e in top.marks), article) for path, text, ok, article, top in found]
 
 
 def blocks(html: str | None) -> list[tuple[str, str, bool, bool]]:
     """(path, text, candidate, in article) of all blocks of text in page order.
 
     The path has the labels of the open block elements; a block is a candidate unless an element
-    around it is beside the article.  A header inside an article lends only its headings.  White
+    around it is beside the article; a class word does not make an element so that is or holds the
+    article or nearly all text (``unmarked``).  A header inside an article lends only its headings.  White
     space is one space, character references are decoded, a <br> is white space.
     """
     stack = [Open("", "", False, False, False)]
@@ -79,7 +107,7 @@ def blocks(html: str | None) -> list[tuple[str, str, bool, bool]]:
             if line:
                 top = stack[-1]
                 good = not top.aside and (not top.header or top.tag in HEADING)
-                out.append((top.path, line, good, top.article))
+                out.append((top.path, line, good, top.article, top))
 
     def pop_to(tags, bounds=()):
         for k in range(len(stack) - 1, 0, -1):
@@ -118,15 +146,22 @@ def blocks(html: str | None) -> list[tuple[str, str, bool, bool]]:
         if tag in VOID:
             continue
         top = stack[-1]
-        label, aside, article = describe(tag, m[3])
+        label, aside, marked, article = describe(tag, m[3])
         inside = top.article or article and not top.aside
         header = top.header or tag == "header" and inside
         aside = top.aside or aside or tag == "header" and not inside
-        stack.append(Open(tag, f"{top.path}/{label}", aside, inside and not aside, header))
+        if article and not aside:
+            for e in top.marks:
+                e.has_article = True
+        # The nearest of <article> and <main> counts: text of <main> alone is no article of its own.
+        main = (tag != "article") if article else top.main
+        stack.append(own := Open(tag, f"{top.path}/{label}", aside, inside and not aside, header, main, top.marks))
+        if marked:
+            own.marks, own.is_article = (*top.marks, own), article
     if at < len(html):
         text.append(html[at:])
     close()
-    return out
+    return unmarked(out)
 
 
 def tree(paths: list[str]) -> dict:
