@@ -19,9 +19,9 @@ def shingle_set(text, n=5):
     return frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1)))
 
 
-def jaccard_components(rows, threshold=Fraction(80, 100)):
+def jaccard_components(rows, threshold=Fraction(80, 100), n=5):
     """{doc_id: (set size, component)} by comparing all pairs."""
-    sets = {d: shingle_set(t) for d, t in rows}
+    sets = {d: shingle_set(t, n) for d, t in rows}
     parent = {d: d for d in sets}
 
     def root(d):

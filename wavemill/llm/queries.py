@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.llm import decontaminate, frames, jaccard, lines, packing, pages, search, sharding, toxicity, transcripts
+from wavemill.llm import decontaminate, frames, jaccard, lines, minhash, packing, pages, search, sharding, toxicity, transcripts
 from wavemill.llm.shared import fresh_folder
 from wavemill.registry import query
 from wavemill.sources.tables import table
@@ -17,6 +17,42 @@ def tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _components_sql(n: int) -> str:
+    """Components of documents whose sets of n-word shingles are linked at 80 of 100, for distinct doc_ids."""
+    return rf"""
+WITH RECURSIVE cut AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^ 	-]+') AS w
+    FROM documents
+), shingle AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []
+                                        WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
+                                        ELSE list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n - 1}], ' ')) END) AS s
+    FROM cut
+), size AS (
+    SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), link AS (
+    SELECT x.doc_id AS a, y.doc_id AS b
+    FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id <> y.doc_id JOIN size p ON p.doc_id = x.doc_id JOIN size q ON q.doc_id = y.doc_id
+    GROUP BY x.doc_id, y.doc_id, p.n, q.n
+    HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))
+), reach AS (
+    SELECT doc_id, doc_id AS other FROM documents
+    UNION
+    SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.other
+), least AS (
+    SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(size.n, 0) AS n_shingles, least.component_id
+FROM documents d LEFT JOIN size USING (doc_id) JOIN least USING (doc_id)
+"""
+
+
+@query("op12_bayes_minhash", f"SELECT *, doc_id = component_id AS kept FROM ({_components_sql(4)})")
+def bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op5_token_frames")
 def token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "token-files")
@@ -29,7 +65,7 @@ def mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), end_id=1)
 
 
-@query("op9_jaccard_groups")
+@query("op9_jaccard_groups", _components_sql(5))
 def jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
