@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.llm import words
-from wavemill.llm.shared import components, kept, lists, one_by_one
-from wavemill.llm.stars import members_of, named_by_smallest, overlaps, star_rounds, texts_of
+from wavemill.llm.shared import kept, lists, one_by_one
+from wavemill.llm.stars import joined, members_of, named_by_smallest, overlaps, star_rounds, texts_of
 
 #: Signature rows of a band.
 ROWS = 5
@@ -263,9 +263,10 @@ def near_duplicates(docs: DataFrame, n: int = 4, threshold: tuple[int, int] = (8
         found = overlaps(kept(survivors(pairs.where(close), sets, need), "pairs"), texts, n)
         return found.where(F.col("common") * bottom >= F.col("either") * top).select("a", "b")
 
-    links, left = star_rounds(listed, compare, ROUNDS)
-    single = alone(left.select("set").distinct(), texts, n)
-    open_sets = sets.select("set", "checks").join(single, "set", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
-    links = links.union(kept(in_blocks(left, open_sets, texts, n, need, threshold), "links-rest"))
-    out = named_by_smallest(members, components(links))
+    reached, left = star_rounds(listed, compare, ROUNDS)
+    if not left.isEmpty():
+        single = alone(left.select("set").distinct(), texts, n)
+        open_sets = sets.select("set", "checks").join(single, "set", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+        reached = joined(reached, kept(in_blocks(left, open_sets, texts, n, need, threshold), "links-rest"))
+    out = named_by_smallest(members, reached)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -23,13 +23,13 @@ PER_LEADER = 256
 
 
 def star_rounds(listed: DataFrame, compare: Callable[[DataFrame], DataFrame], rounds: int) -> tuple[DataFrame, DataFrame]:
-    """(links, left) of lists (key, set, size, weight).
+    """(reached, left) of lists (key, set, size, weight).
 
-    ``compare`` takes distinct pairs (a, size_a, b, size_b) and returns links (a, b).  ``left`` has the members
-    (key, set, size, weight, component) of lists that are still open after the last round.
+    ``compare`` takes distinct pairs (a, size_a, b, size_b) and returns links (a, b).  ``reached`` has (node, component)
+    of linked sets, ``left`` the members (key, set, size, weight, component) of lists that are still open after the last round.
     """
     listed = listed.withColumn("component", F.col("set"))
-    links = None
+    reached = listed.sparkSession.createDataFrame([], "node long, component long")
     for turn in range(rounds):
         held = listed.groupBy("key", "component").agg(F.count("*").alias("of"), F.max(F.struct("weight", "set", "size")).alias("lead"))
         leads = held.groupBy("key").agg(F.min_by(F.struct("component", "lead"), F.struct("of", -F.col("lead.weight"), "lead.set")).alias("best"))
@@ -38,14 +38,22 @@ def star_rounds(listed: DataFrame, compare: Callable[[DataFrame], DataFrame], ro
         )
         stars = listed.join(leads, "key")
         pairs = stars.where("component <> component_a").select("a", "size_a", F.col("set").alias("b"), F.col("size").alias("size_b")).distinct()
-        found = kept(compare(pairs), f"links-{turn}")
-        links = found if links is None else links.union(found)
-        reached = components(links).withColumnRenamed("node", "set")
+        reached = joined(reached, kept(compare(pairs), f"links-{turn}"))
         rest = stars.where("set <> a").select("key", "set", "size", "weight")
-        rest = rest.join(reached, "set", "left").withColumn("component", F.coalesce("component", "set"))
+        rest = rest.join(reached.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
         open_ = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
         listed = kept(rest.join(open_.select("key"), "key").select("key", "set", "size", "weight", "component"), f"open-{turn}")
-    return links, listed
+        if listed.isEmpty():
+            break
+    return reached, listed
+
+
+def joined(reached: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after further links (a, b), a written table."""
+    if links.isEmpty():
+        return reached
+    known = reached.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return components(known.union(links))
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
