@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.llm import decontaminate, frames, jaccard, lines, minhash, packing, pages, search, sharding, toxicity, transcripts
+from wavemill.llm import align, decontaminate, dualtree, frames, jaccard, lines, minhash, packing, pages, search, sharding, toxicity, transcripts
 from wavemill.llm.shared import fresh_folder
 from wavemill.registry import query
 from wavemill.sources.tables import table
@@ -22,7 +22,8 @@ def _components_sql(n: int) -> str:
     return rf"""
 WITH RECURSIVE cut AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                      '[^ 	-]+') AS w
+                                      '[^ 	-
+]+') AS w
     FROM documents
 ), shingle AS (
     SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []
@@ -53,6 +54,49 @@ def bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+RANKED_SQL = r"""
+WITH cut AS (
+    SELECT 'd' AS side, doc_id AS id, text FROM documents
+    UNION ALL
+    SELECT 'i', item_id, text FROM benchmark
+), term AS (
+    SELECT side, id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+    FROM cut
+), own AS (
+    SELECT id AS doc_id, t, count(*) AS tf FROM term WHERE side = 'd' GROUP BY id, t
+), doc AS (
+    SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM own GROUP BY doc_id
+), total AS (
+    SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS l FROM doc
+), weight AS (
+    SELECT t, CAST(floor(1000 * ln((2.0 * n_docs + 2) / (2.0 * count(*) + 1))) AS BIGINT) AS w FROM own CROSS JOIN total GROUP BY t, n_docs
+), score AS (
+    SELECT i.id AS item_id, o.doc_id,
+           CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * n_docs) // l))))) AS BIGINT) AS score
+    FROM (SELECT DISTINCT id, t FROM term WHERE side = 'i') i JOIN weight USING (t) JOIN own o USING (t) JOIN doc USING (doc_id) CROSS JOIN total
+    GROUP BY i.id, o.doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM score WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
+
+@query("op13_dual_tree_search", RANKED_SQL)
+def dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dualtree.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_token_alignment")
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.alignment(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+
+
 @query("op5_token_frames")
 def token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "token-files")
