@@ -169,15 +169,6 @@ def accuracies(scores):
     }
 
 
-@pytest.mark.parametrize("method", ["csp", "parafac"])
-def test_large_way_equals_compact_way(spark, method):
-    df = epochs_frame(spark, 40, 3, 60, 2.5)
-    bands = [(0, 8.0, 12.0), (1, 20.0, 24.0)]
-    compact = accuracies(sweep.score_blocks(df, bands, method, 3))
-    large = accuracies(sweep.score_blocks(df, bands, method, 3, limit=0))
-    assert len(compact) == 6 and compact == large
-
-
 @pytest.mark.parametrize("method", ["csp", "parafac"])
 def test_separable_and_shuffled(spark, method):
     clear = epochs_frame(spark, 40, 4, 501, 5.0, name="clear")
@@ -201,11 +192,10 @@ def test_one_class_recording_is_skipped_visibly(spark):
     good = epochs_frame(spark, 20, 2, 60, 4.0, name="good")
     bad = epochs_frame(spark, 20, 2, 60, 4.0, name="bad").withColumn("class_id", F.lit(1))
     df = good.unionByName(bad)
-    for limit in (sweep.COMPACT_LIMIT, 0):
-        got = accuracies(sweep.score_blocks(df, [(0, 8.0, 12.0)], "csp", 2, limit=limit))
-        assert all((a is None) == (r == "bad") for (r, _, _), (a, _) in got.items())
-        assert all("classes" in e for (r, _, _), (_, e) in got.items() if r == "bad")
-        assert len(got) == 4
+    got = accuracies(sweep.score_blocks(df, [(0, 8.0, 12.0)], "csp", 2))
+    assert all((a is None) == (r == "bad") for (r, _, _), (a, _) in got.items())
+    assert all("classes" in e for (r, _, _), (_, e) in got.items() if r == "bad")
+    assert len(got) == 4
 
 
 def test_sweep_from_samples(spark):
@@ -270,3 +260,93 @@ def test_mirror_pad_of_blocks():
     x = np.arange(6.0).reshape(1, 6) ** 2
     y = blocks.mirror_pad(x, 7, 2)
     assert y.tolist() == [[0, 0, -25, -16, -9, -4, -1, 0, 1, 4, 9, 16, 25, 34, 41]]
+
+
+# --- folds -----------------------------------------------------------------
+
+
+def one_by_one(data, labels, tests, method, channels):
+    """Accuracies of the splits of one cell, each from its own epochs in plain numpy."""
+    out = []
+    for test in tests:
+        if method == "csp":
+            gram = data.reshape(len(data), channels, -1)
+            times = gram.shape[2]
+            gram = gram @ gram.transpose(0, 2, 1)
+            a, b = (gram[~test & (labels == c)].mean(0) / times for c in np.unique(labels))
+            w, _ = solve.joint_diagonal(a, b, channels)
+            x = np.log(((w @ gram) * w).sum(axis=2) / times)
+            train, rated = x[~test], x[test]
+        else:
+            spectra = np.abs(np.fft.rfft(data.reshape(len(data), channels, -1), axis=2)[:, :, :50])
+            parts = []
+            for side in (~test, test):
+                x = spectra[side]
+                flat = x.reshape(len(x), -1)
+                b, f = solve.cp_start(np.einsum("eaf,ebf->ab", x, x), np.einsum("eca,ecb->ab", x, x), tensor.RANK)
+                q, b, f, _ = solve.cp_fit(lambda v: flat.T @ (flat @ v), np.array([(flat**2).sum()]), b[None], f[None], tensor.SWEEPS, tensor.TOL)
+                parts.append(flat @ q[0] @ solve.khatri_rao(b[0], f[0]).T)
+            _, _, turn = np.linalg.svd(parts[0], full_matrices=False)
+            train, rated = (p @ turn[: sweep.N_SVD].T for p in parts)
+        means = np.stack([train[labels[~test] == c].mean(0) for c in np.unique(labels)])
+        onehot = np.eye(2)[np.searchsorted(np.unique(labels), labels[~test])]
+        coef, intercept = solve.discriminant(onehot.sum(0), onehot.T @ train, train.T @ train)
+        assert np.allclose(onehot.T @ train / onehot.sum(0)[:, None], means)
+        out.append(float((np.unique(labels)[np.argmax(rated @ coef.T + intercept, axis=1)] == labels[test]).mean()))
+    return out
+
+
+@pytest.mark.parametrize("method", ["csp", "parafac"])
+def test_sweep_equals_each_split_by_itself(spark, method):
+    df = epochs_frame(spark, 40, 3, 60, 2.5)
+    split_rows = splits.shuffle_split(df, 3)
+    got = accuracies(sweep.score_blocks(df, [(0, 8.0, 12.0)], method, 3, split_rows=split_rows))
+    tested = {(r.epoch_id, r.split_id) for r in split_rows.filter("role = 'test'").collect()}
+    filtered = blocks.band_epochs(df, [(0, 8.0, 12.0)], "samples").orderBy("epoch_id").collect()
+    tests = [np.array([(r.epoch_id, s) in tested for r in filtered]) for s in range(3)]
+    data, labels = np.array([r.data for r in filtered]), np.array([r.class_id for r in filtered])
+    assert [got["r", 0, s][0] for s in range(3)] == one_by_one(data, labels, tests, method, 3)
+
+
+@pytest.mark.parametrize("method", ["csp", "parafac"])
+def test_many_epochs_give_what_few_give(spark, monkeypatch, method):
+    """A recording with parts and slots of its own, combined level by level, and its copy that shares one group."""
+    df = epochs_frame(spark, 60, 3, 60, 2.5)
+    few = accuracies(sweep.score_blocks(df, [(0, 8.0, 12.0), (1, 20.0, 24.0)], method, 3))
+    for name, value in (("SHARED", 5), ("FAN", 3), ("GROUP", 7)):
+        monkeypatch.setattr(sweep, name, value)
+    many = accuracies(sweep.score_blocks(df, [(0, 8.0, 12.0), (1, 20.0, 24.0)], method, 3))
+    assert len(few) == 6 and few == many
+
+
+@pytest.mark.parametrize("shared", [2048, 5])
+@pytest.mark.parametrize("method", ["csp", "parafac"])
+def test_bad_epochs_and_short_recordings_are_reported(spark, monkeypatch, method, shared):
+    """The same rows at any size: a value that is not finite, a single epoch, and a recording that is fine."""
+    monkeypatch.setattr(sweep, "SHARED", shared)
+    good = epochs_frame(spark, 20, 2, 60, 4.0, name="good")
+    nan = F.when(F.col("epoch_id") == 3, F.transform("data", lambda v, i: F.when(i == 7, F.lit(float("nan"))).otherwise(v))).otherwise(F.col("data"))
+    bad = epochs_frame(spark, 20, 2, 60, 4.0, name="bad").withColumn("data", nan)
+    single = epochs_frame(spark, 20, 2, 60, 4.0, name="single").filter("epoch_id = 0")
+    got = accuracies(sweep.score_blocks(good.unionByName(bad).unionByName(single), [(0, 8.0, 12.0)], method, 2))
+    assert len(got) == 6
+    assert all(got["good", 0, s][1] is None and got["good", 0, s][0] is not None for s in range(2))
+    assert all(got["bad", 0, s] == (None, "an epoch has values that are not finite") for s in range(2))
+    assert all(got["single", 0, s][0] is None and got["single", 0, s][1] for s in range(2))
+
+
+def test_channel_lists_and_band_sets(spark):
+    """Lists take their channels by name; a list without channels has no rows; a set joins the features of its bands."""
+    df = epochs_frame(spark, 30, 3, 60, 3.0).withColumn("channels", F.array(F.lit("A"), F.lit("B"), F.lit("C")))
+    bands = [(0, 8.0, 12.0, ("C", "A")), (1, 8.0, 12.0, ()), (2, 20.0, 24.0, ("B", "Z")), (3, 20.0, 24.0, ("Z",))]
+    grams = blocks.band_epochs(df, bands, "gram").collect()
+    assert {r.band_id: r.n_channels for r in grams} == {0: 2, 1: 3, 2: 1}
+    whole = {r.epoch_id: np.reshape(r.data, (3, 3)) for r in grams if r.band_id == 1}
+    for r in grams:
+        if r.band_id == 0:
+            assert np.allclose(np.reshape(r.data, (2, 2)), whole[r.epoch_id][np.ix_([2, 0], [2, 0])])
+    sets = {0: [0, 1], 1: [1], 2: [1, 3]}
+    got = accuracies(sweep.score_blocks(df, bands, "csp", 2, sets=sets))
+    alone = accuracies(sweep.score_blocks(df, [(1, 8.0, 12.0)], "csp", 2))
+    assert [got["r", 1, s] for s in range(2)] == [alone["r", 1, s] for s in range(2)]
+    assert all(got["r", 0, s][1] is None and got["r", 2, s][1] == "a band of the set has no channel" for s in range(2))

@@ -54,6 +54,13 @@ def leading_directions(gram: np.ndarray, k: int) -> np.ndarray:
     return fixed_sign(vectors[:, ::-1][:, :k].T)
 
 
+def leading_in_span(weights: np.ndarray, parts: np.ndarray, k: int) -> np.ndarray:
+    """Top right-singular vectors (as rows) of ``weights @ parts'``, by a problem of its rank."""
+    q, r = np.linalg.qr(parts)
+    _, _, turn = np.linalg.svd(weights @ r.T, full_matrices=False)
+    return fixed_sign(turn[:k] @ q.T)
+
+
 def khatri_rao(b: np.ndarray, f: np.ndarray) -> np.ndarray:
     """Column-wise product of two factors, for one problem or a stack of them."""
     cube = b[..., :, None, :] * f[..., None, :, :]

@@ -122,18 +122,34 @@ def band_epochs(
     ``output`` picks what is kept of the filtered epoch: ``samples``, its ``gram``
     matrix, or the first ``bins`` magnitudes of its ``spectrum``.  Blocks without
     neighbours (``halo`` 0) are mirrored at their ends.
+
+    A band may name channels, (band_id, low, high, names); then ``channels`` lists those of a block, and of the
+    one filtered epoch each band keeps its own, an empty list all.  A block without any of them has no row.
     """
-    kernels = [(b, taps.bandpass(lo, hi, rate, transition, transition)) for b, lo, hi in bands]
-    reach = max(len(k) // 2 for _, k in kernels)
+    ends = dict.fromkeys((lo, hi) for _, lo, hi, *_ in bands)
+    kernels = [
+        (taps.bandpass(lo, hi, rate, transition, transition), [(b, *(names or [()])) for b, *end, names in ((*x[:3], x[3:]) for x in bands) if tuple(end) == (lo, hi)])
+        for lo, hi in ends
+    ]
+    reach = max(len(k) // 2 for k, _ in kernels)
     have = 0 if halo is None else halo
     if "lead" not in blocks.columns:
         blocks = blocks.withColumn("lead", F.lit(0))
+    by_name = any(len(x) > 3 and x[3] for x in bands)
+    if not by_name:
+        blocks = blocks.drop("channels")
+
+    def places(part: pa.RecordBatch, targets: list) -> list:
+        """(band_id, positions of its channels or None for all) of the bands that have a channel here."""
+        have = part.column("channels")[0].as_py() if by_name else []
+        found = [(band, [have.index(c) for c in names if c in have] if names else None) for band, names in targets]
+        return [(band, at) for band, at in found if at is None or at]
 
     def run(batches):
         responses: dict[int, list] = {}
         for batch in batches:
             for lead_batch, lead in by_value(batch, "lead"):
-                for part, x in same_shape(lead_batch):
+                for part, x in same_shape(lead_batch, by="channels" if by_name else None):
                     times = n_times or x.shape[2] - 2 * have
                     total = times + 2 * reach
                     front = lead + reach - have
@@ -141,13 +157,16 @@ def band_epochs(
                     x = x[..., max(-front, 0) :][..., :total]
                     size = 1 << (total - 1).bit_length()
                     if size not in responses:
-                        responses[size] = [np.fft.rfft(k, size) for _, k in kernels]
+                        responses[size] = [np.fft.rfft(k, size) for k, _ in kernels]
                     step = max(1, CELLS // (x.shape[1] * size))
-                    part = part.drop_columns(["lead"])
+                    kept = [(k, r, places(part, targets)) for (k, targets), r in zip(kernels, responses[size])]
+                    part = part.drop_columns(["lead", "channels"] if by_name else ["lead"])
                     for at in range(0, len(x), step):
                         rows = part.slice(at, step)
                         spectrum = np.fft.rfft(x[at : at + step], size, axis=2)
-                        for (band, kernel), response in zip(kernels, responses[size]):
+                        for kernel, response, targets in kept:
+                            if not targets:
+                                continue
                             full = np.fft.irfft(spectrum * response, size, axis=2)
                             begin = reach + len(kernel) // 2
                             y = full[:, :, begin : begin + times]
@@ -156,15 +175,23 @@ def band_epochs(
                             elif output == "spectrum":
                                 y = np.abs(np.fft.rfft(y, axis=2)[:, :, :bins])
                             n = len(y)
-                            yield replaced(
-                                rows,
-                                data=fixed_lists(y.reshape(n, -1)),
-                                n_times=pa.array(np.full(n, times), pa.int32()),
-                                band_id=pa.array(np.full(n, band), pa.int32()),
-                            )
-
+                            for band, own in targets:
+                                z = y
+                                if own is not None:
+                                    z = y[:, own][:, :, own] if output == "gram" else y[:, own]
+                                yield replaced(
+                                    rows,
+                                    data=fixed_lists(z.reshape(n, -1)),
+                                    n_channels=pa.array(np.full(n, z.shape[1]), pa.int32()),
+                                    n_times=pa.array(np.full(n, times), pa.int32()),
+                                    band_id=pa.array(np.full(n, band), pa.int32()),
+                                )
+
+    types = dict(blocks.dtypes)
+    if types["n_channels"] != "int":
+        blocks = blocks.withColumn("n_channels", F.col("n_channels").cast("int"))
     return blocks.mapInArrow(
-        run, schema_with(blocks, "n_times int", "band_id int", without=("lead",))
+        run, schema_with(blocks, "n_times int", "band_id int", without=("lead", *(["channels"] if by_name else [])))
     )
 
 

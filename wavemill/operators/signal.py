@@ -228,11 +228,16 @@ def fixed_lists(matrix: np.ndarray) -> pa.ListArray:
     )
 
 
-def same_shape(batch: pa.RecordBatch, rows: int = 256):
-    """Pieces of an epoch batch with one common shape, as (piece, rows x channels x times)."""
+def same_shape(batch: pa.RecordBatch, rows: int = 256, by: str | None = None):
+    """Pieces of an epoch batch with one common shape, and one value of ``by``, as (piece, rows x channels x times)."""
     counts = np.diff(batch.column("data").offsets.to_numpy())
     channels = batch.column("n_channels").to_numpy()
-    shapes = counts.astype(np.int64) * 100_000 + channels
+    shapes = [counts.astype(np.int64), channels.astype(np.int64)]
+    if by is not None:
+        seen: dict[tuple, int] = {}
+        shapes.append(np.array([seen.setdefault(tuple(v), len(seen)) for v in batch.column(by).to_pylist()], np.int64))
+    _, shapes = np.unique(np.stack(shapes), axis=1, return_inverse=True)
+    shapes = shapes.ravel()
     for shape in np.unique(shapes):
         members = np.flatnonzero(shapes == shape)
         for at in range(0, len(members), rows):

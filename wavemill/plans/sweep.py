@@ -1,255 +1,348 @@
-"""The sweep: every recording x band x split x method in one job.
+"""The sweep: every recording x grid cell x split x method in one job.
 
-Recordings of ordinary size are solved one (recording, band) group at a time.
-Recordings with more epochs than a task should hold go through the distributed
-operators, which only ever move sums.  Both ways compute the same thing.
+Epochs are filtered under every band, and only sums or small factors of them travel.  The splits that test an epoch are
+a bit pattern, and epochs of one pattern always act together, so they form a fold: the train part of a split is the sum of
+the folds that do not have its bit.  One small group per (recording, cell) solves all splits; then rows meet the models
+of their cell in bounded buckets, and each bucket passes on class sums and the features of its test epochs.
+
+A recording with more than ``SHARED`` epochs gets a group of its own for each split, and its folds are combined ``FAN`` slots at a time,
+``LEVELS`` times, on the way there; combining is the same function that a group uses anyway.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+from functools import partial
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavemill import constants as C
 from wavemill.functions import solve, taps
+from wavemill.functions.scalars import configuration_label
 from wavemill.operators import blocks as bk
-from wavemill.operators import channels, evaluate, grid, linear, signal, spatial, splits, tensor
-from wavemill.operators.apply import arrow_schema, matrix
+from wavemill.operators import channels, grid, signal, splits, tensor
+from wavemill.operators.apply import GROUP, arrow_schema, matrix
 from wavemill.operators.events import sub_event_offsets, sub_events
-from wavemill.session import spread
+from wavemill.operators.signal import fixed_lists
+from wavemill.session import materialize, spread
 
 CELL = ["recording_id", "band_id"]
 SPLIT = [*CELL, "split_id"]
-SCORE_SCHEMA = (
-    "recording_id string, band_id int, split_id int, hits bigint, cases bigint, "
-    "accuracy double, error string"
-)
-# Epochs of one recording that a single task may hold.
-COMPACT_LIMIT = 2_000
+#: Epochs of one recording whose folds one group takes for all splits.
+SHARED = 2_048
+FAN, LEVELS = 8, 3
+#: Epochs, and folders of them, that are filtered by one task.
+TOGETHER, APART = 64, 32
 N_COMPONENTS = 32
 N_SVD = 10
 
+FOLD = "recording_id string, band_id int, part int, slot bigint, class_id int, pattern bigint, n_channels int, n_times bigint, bad bigint, data array<double>"
+MODEL = "recording_id string, band_id int, split_id int, model array<double>, error string"
+PACKED = (
+    "recording_id string, band_id int, split_id int, class_id int, n bigint, sums array<double>, squares array<double>, "
+    "n_test bigint, test array<double>, error string"
+)
+SCORES = "recording_id string, band_id int, split_id int, hits bigint, cases bigint, accuracy double, error string"
 
-# --- small groups ----------------------------------------------------------
 
+# --- feature methods -------------------------------------------------------
 
-def fit_and_score(train_x, train_y, test_x, test_y) -> tuple[int, int]:
-    classes, codes = np.unique(train_y, return_inverse=True)
-    onehot = np.eye(len(classes))[codes]
-    coef, intercept = solve.discriminant(onehot.sum(0), onehot.T @ train_x, train_x.T @ train_x)
-    predicted = classes[np.argmax(test_x @ coef.T + intercept, axis=1)]
-    return int((predicted == test_y).sum()), len(test_y)
 
+@dataclass(frozen=True)
+class Method:
+    """``kept``: what is kept of a filtered epoch.  ``combine``: rows of a fold -> fewer rows with the same meaning.
+    ``fit``: folds, for each split which of them train -> model or error for each split.  ``apply``: (rows, times, channels, model) -> train and test features.
+    """
 
-def attempt(split, *args):
-    """(hits, cases, None), or the reason why a split cannot be scored."""
-    try:
-        return (*split(*args), None)
-    except (ValueError, np.linalg.LinAlgError) as e:
-        return None, None, str(e)
+    kept: str
+    combine: Callable
+    fit: Callable
+    apply: Callable
 
 
-def csp_splits(data, labels, tests, times, channels):
-    gram = data.reshape(len(data), channels, channels)
+def add_up(rows: np.ndarray) -> np.ndarray:
+    return rows.sum(axis=0, keepdims=True)
 
-    def one(test):
-        train = ~test
-        classes = np.unique(labels[train])
-        if len(classes) != 2:
-            raise ValueError(f"{len(classes)} classes in the train epochs, 2 needed")
-        a, b = (
-            gram[train & (labels == c)].sum(0) / times[train & (labels == c)].sum()
-            for c in classes
-        )
-        w, _ = solve.joint_diagonal(a, b, min(N_COMPONENTS, channels))
-        power = ((w @ gram) * w).sum(axis=2)
-        x = np.log(np.maximum(power, np.finfo(float).tiny) / times[:, None])
-        return fit_and_score(x[train], labels[train], x[test], labels[test])
-
-    return [attempt(one, test) for test in tests]
-
-
-def reconstructions(x, channels):
-    """Low-rank reconstruction of stacked tensors (problems x epochs x cells)."""
-    n, epochs, cells = x.shape
-    if epochs < cells:
-        times_gram = lambda v: x.swapaxes(1, 2) @ (x @ v)
-    else:
-        gram = x.swapaxes(1, 2) @ x
-        times_gram = lambda v: gram @ v
-    cube = x.reshape(n, epochs, channels, -1)
+
+def triangle(rows: np.ndarray) -> np.ndarray:
+    """At most as many rows as columns, with the same products X'X."""
+    return np.linalg.qr(rows, mode="r") if len(rows) > rows.shape[1] else rows
+
+
+def csp_fit(rows, classes, times, width, train, components=N_COMPONENTS):
+    """Spatial filters from the class covariances of the train folds."""
+
+    def one(own):
+        found = np.unique(classes[own])
+        if len(found) != 2:
+            raise ValueError(f"{len(found)} classes in the train epochs, 2 needed")
+        a, b = (rows[own & (classes == c)].sum(0).reshape(width, width) / times[own & (classes == c)].sum() for c in found)
+        return solve.joint_diagonal(a, b, min(components, width))[0].reshape(-1)
+
+    return [attempt(one, own) for own in train]
+
+
+def csp_apply(rows, times, width, model):
+    """Log mean power of each filtered component; the same for train and test epochs."""
+    w, gram = model.reshape(-1, width), rows.reshape(-1, width, width)
+    power = ((w @ gram) * w).sum(axis=2)
+    x = np.log(np.maximum(power, np.finfo(float).tiny) / times[:, None])
+    return x, x
+
+
+def parafac_fit(rows, classes, times, width, train):
+    """Low-rank decomposition of the train and the test epochs apart, then the leading directions of the train reconstruction.
+
+    The chain from an epoch to its coordinates is linear, so each side's model is one (channels x bins) x components matrix.  The
+    decompositions of all splits run as one stack; rows of zeros fill it up.
+    """
+    good = [s for s, own in enumerate(train) if own.any() and not own.all()]
+    out: list = ["no train or no test epochs"] * len(train)
+    if not good:
+        return out
+    x = np.stack([np.where((train[s] if side else ~train[s])[:, None], rows, 0.0) for s in good for side in (True, False)])
+    gram = x.swapaxes(1, 2) @ x if x.shape[1] > x.shape[2] else None
+    cube = x.reshape(*x.shape[:2], width, -1)
     left = np.einsum("neaf,nebf->nab", cube, cube, optimize=True)
     right = np.einsum("neca,necb->nab", cube, cube, optimize=True)
-    b, f = map(np.stack, zip(*(solve.cp_start(l, r, tensor.RANK) for l, r in zip(left, right))))
-    q, b, f, _ = solve.cp_fit(times_gram, (x * x).sum(axis=(1, 2)), b, f, tensor.SWEEPS, tensor.TOL)
-    return x @ q @ solve.khatri_rao(b, f).swapaxes(1, 2)
-
-
-def parafac_splits(data, labels, tests, times, channels):
-    """Splits with equally many test epochs are decomposed together."""
-    out = [None] * len(tests)
-    sizes = tests.sum(axis=1)
-    for size in np.unique(sizes):
-        members = np.flatnonzero(sizes == size)
-        if not 0 < size < len(data):
-            for m in members:
-                out[m] = (None, None, "no train or no test epochs")
-            continue
-        train_x = reconstructions(np.stack([data[~tests[m]] for m in members]), channels)
-        test_x = reconstructions(np.stack([data[tests[m]] for m in members]), channels)
-        for m, a, b in zip(members, train_x, test_x):
-            basis = solve.leading_directions(a.T @ a, N_SVD).T
-            out[m] = attempt(
-                fit_and_score, a @ basis, labels[~tests[m]], b @ basis, labels[tests[m]]
-            )
+    b, f = map(np.stack, zip(*(solve.cp_start(p, q, tensor.RANK) for p, q in zip(left, right))))
+    product = (lambda v: gram @ v) if gram is not None else lambda v: x.swapaxes(1, 2) @ (x @ v)
+    q, b, f, _ = solve.cp_fit(product, (x * x).sum(axis=(1, 2)), b, f, tensor.SWEEPS, tensor.TOL)
+    parts = solve.khatri_rao(b, f)
+
+    def one(k):
+        weights = x[k] @ q[k]
+        basis = solve.leading_in_span(weights, parts[k], N_SVD)
+        return np.stack([q[k + i] @ (parts[k + i].T @ basis.T) for i in (0, 1)]).reshape(-1)
+
+    for k, s in enumerate(good):
+        out[s] = attempt(one, 2 * k)
     return out
 
 
-def compact_scores(cells: DataFrame, n_splits: int, all_splits) -> DataFrame:
-    """Score all splits of a (recording, band) group; a failing split reports its error."""
-    target = arrow_schema(SCORE_SCHEMA)
-
-    def score(group: pa.Table) -> pa.Table:
-        lists = group.column("test_in").combine_chunks()
-        counts = np.diff(lists.offsets.to_numpy())
-        tests = np.zeros((n_splits, group.num_rows), dtype=bool)
-        tests[lists.flatten().to_numpy(), np.repeat(np.arange(group.num_rows), counts)] = True
-        scores = all_splits(
-            matrix(group, "data"),
-            group.column("class_id").to_numpy(),
-            tests,
-            group.column("n_times").to_numpy(),
-            group.column("n_channels")[0].as_py(),
-        )
-        key = [group.column(c)[0].as_py() for c in CELL]
-        rows = [
-            (*key, split, hits, cases, hits / cases if cases else None, error)
-            for split, (hits, cases, error) in enumerate(scores)
-        ]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), target.types)], schema=target)
+def parafac_apply(rows, times, width, model):
+    train, test = model.reshape(2, rows.shape[1], -1)
+    return rows @ train, rows @ test
 
-    return spread(cells, *CELL).groupBy(*CELL).applyInArrow(score, SCORE_SCHEMA)
 
+def attempt(fit, *args):
+    """A result, or the reason why there is none."""
+    try:
+        return fit(*args)
+    except (ValueError, np.linalg.LinAlgError) as e:
+        return str(e)
 
-# --- large groups ----------------------------------------------------------
 
+METHODS = {
+    "csp": Method("gram", add_up, csp_fit, csp_apply),
+    "parafac": Method("spectrum", triangle, parafac_fit, parafac_apply),
+}
 
-def summed_scores(features: DataFrame) -> DataFrame:
-    """Discriminant and accuracy from (cell, split, epoch, class, test) feature rows."""
-    train = features.filter(~F.col("test"))
-    models = linear.lda_fit(linear.lda_statistics(train, SPLIT), SPLIT)
-    test = features.filter("test").withColumnRenamed("class_id", "actual")
-    return evaluate.accuracy_per_split(linear.linear_score(test, models, SPLIT), SPLIT).withColumn(
-        "error", F.lit(None).cast("string")
-    )
 
+# --- steps -----------------------------------------------------------------
 
-def csp_large(cells: DataFrame, roles: DataFrame, n_splits: int) -> DataFrame:
-    cells = cells.persist()
-    covariance = spatial.class_covariance(cells, roles, n_splits, CELL)
-    filters = spatial.csp_filters(covariance, SPLIT, N_COMPONENTS).persist()
-    features = spatial.csp_log_power(cells, filters, CELL).withColumn(
-        "test", F.array_contains("test_in", F.col("split_id"))
-    )
-    failed = filters.filter("error IS NOT NULL").select(
-        *SPLIT, F.lit(None).cast("bigint").alias("hits"), F.lit(None).cast("bigint").alias("cases"),
-        F.lit(None).cast("double").alias("accuracy"), "error",
+
+def dealt(blocks: DataFrame, split_rows: DataFrame) -> DataFrame:
+    """Blocks with the bit pattern of the splits that test them, and with the number of their recording's epochs (``of``).
+
+    Epochs are spread in folders of about ``TOGETHER``, and those of a long recording over ``APART`` tasks at most.
+    """
+    bit = F.expr("shiftleft(1L, split_id)")
+    tests = split_rows.filter(F.col("role") == "test").groupBy("recording_id", "epoch_id").agg(F.bit_or(bit).alias("tests"))
+    sizes = blocks.groupBy("recording_id").agg(F.count(F.lit(1)).alias("of"))
+    ready = (
+        blocks.join(sizes, "recording_id")
+        .join(tests, ["recording_id", "epoch_id"], "left")
+        .withColumn("tests", F.coalesce("tests", F.lit(0)))
+        .withColumn("_folder", F.pmod(F.xxhash64("epoch_id"), F.least(F.lit(APART), F.ceil(F.col("of") / TOGETHER))))
     )
-    return summed_scores(features).unionByName(failed)
+    return spread(ready, "recording_id", "_folder").drop("_folder")
 
 
-def parafac_large(cells: DataFrame, roles: DataFrame, n_splits: int) -> DataFrame:
-    """Tensor method on sums: one Gram matrix per cell, split and role.
+def folds(rows: DataFrame, how: Method, n_splits: int) -> DataFrame:
+    """Filtered epochs as folds of one row; a value that is not finite makes a fold bad and takes no part in it.
 
-    The chain epoch -> reconstruction -> truncated SVD is linear in the epoch, so
-    each (cell, split, role) needs one (channels x bins) x components matrix.
+    Recordings of up to ``SHARED`` epochs have one part (-1) with the whole bit pattern; others a part for each split, whose
+    pattern is 1 for its test epochs.
     """
-    rows = (
-        cells.withColumn("split_id", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
-        .withColumn("test", F.array_contains("test_in", F.col("split_id")))
-        .persist()
-    )
-    grams = tensor.tensor_gram(rows, [*SPLIT, "test"])
-    types = dict(grams.dtypes)
-
-    def project(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, basis = [], None
-        for test, group in pdf.groupby("test"):
-            group = group.sort_values("i")
-            gram = np.stack(group["row"].to_list())
-            b, f = solve.cp_start_from_gram(gram, int(group["n_channels"].iloc[0]), tensor.RANK)
-            q, b, f, _ = solve.cp_fit(
-                lambda v: gram @ v, np.array([np.trace(gram)]), b[None], f[None], tensor.SWEEPS, tensor.TOL
-            )
-            to_fit = q[0] @ solve.khatri_rao(b[0], f[0]).T
-            if basis is None:
-                basis = solve.leading_directions(to_fit.T @ gram @ to_fit, N_SVD).T
-            row = {k: group[k].iloc[0] for k in [*SPLIT, "test"]}
-            out.append({**row, "maps": (to_fit @ basis).T.tolist()})
-        return pd.DataFrame(out)
-
-    schema = ", ".join(f"{k} {types[k]}" for k in [*SPLIT, "test"])
-    maps = grams.groupBy(*SPLIT).applyInPandas(project, f"{schema}, maps array<array<double>>")
-    features = linear.svd_project(
-        rows.withColumnRenamed("data", "features"),
-        maps.withColumnRenamed("maps", "basis"),
-        [*SPLIT, "test"],
-    )
-    return summed_scores(features)
+    large = F.col("of") > SHARED
+    part = F.explode(F.when(large, F.sequence(F.lit(0), F.lit(n_splits - 1))).otherwise(F.array(F.lit(-1)))).alias("part")
+    slots = F.pow(F.lit(FAN), F.ceil(F.log(float(FAN), F.col("of") / SHARED))).cast("bigint")
+    finite = F.forall("data", lambda v: ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    base = rows.select(
+        *CELL, part, F.when(large, F.pmod(F.xxhash64("epoch_id"), slots)).otherwise(0).cast("bigint").alias("slot"),
+        F.col("class_id").cast("int").alias("class_id"), "tests", "n_channels", F.col("n_times").cast("bigint").alias("n_times"),
+        F.when(finite, 0).otherwise(1).cast("bigint").alias("bad"), "data",
+    )
+    pattern = F.when(F.col("part") < 0, F.col("tests")).otherwise(F.expr("shiftright(tests, part) & 1"))
+    return base.select(*CELL, "part", "slot", "class_id", pattern.alias("pattern"), "n_channels", "n_times", "bad", "data")
+
+
+def combined(rows: DataFrame, how: Method) -> DataFrame:
+    """Folds of a (cell, part, slot) group put together by class and pattern, and passed on to the next wider slot."""
+    target = arrow_schema(FOLD)
+
+    def run(table: pa.Table) -> pa.Table:
+        x = matrix(table, "data")
+        label, pattern, times, bad = (table.column(c).to_numpy() for c in ("class_id", "pattern", "n_times", "bad"))
+        out = []
+        for key in np.unique(np.stack([label, pattern]), axis=1).T.tolist():
+            own = (label == key[0]) & (pattern == key[1])
+            good = own & (bad == 0)
+            data = how.combine(x[good]) if good.any() else x[own][:1]
+            counts = np.zeros((2, len(data)), np.int64)
+            counts[0, 0], counts[1, :] = times[good].sum(), 0 if good.any() else 1
+            counts[1, 0] = bad[own].sum()
+            first = [table.column(c)[0].as_py() for c in (*CELL, "part", "slot", "n_channels")]
+            n = len(data)
+            columns = [[v] * n for v in (*first[:3], first[3] // FAN, *key, first[4])]
+            out.append(pa.table([*(pa.array(c, t) for c, t in zip(columns, target.types)), pa.array(counts[0]), pa.array(counts[1]), fixed_lists(data)], schema=target))
+        return pa.concat_tables(out)
+
+    return rows.groupBy(*CELL, "part", "slot").applyInArrow(run, FOLD)
+
+
+def fitted(rows: DataFrame, how: Method, n_splits: int) -> DataFrame:
+    """(recording_id, band_id, split_id, model, error) from the folds of each (cell, part)."""
+    target = arrow_schema(MODEL)
+
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        own = range(n_splits) if part < 0 else [part]
+        label, pattern, times, bad = (table.column(c).to_numpy() for c in ("class_id", "pattern", "n_times", "bad"))
+        if bad.any():
+            found = ["an epoch has values that are not finite"] * len(own)
+        else:
+            train = [pattern >> (s if part < 0 else 0) & 1 == 0 for s in own]
+            found = how.fit(matrix(table, "data"), label, times, table.column("n_channels")[0].as_py(), train)
+        key = [table.column(c)[0].as_py() for c in CELL]
+        rows = [(*key, s, None, m) if isinstance(m, str) else (*key, s, m, None) for s, m in zip(own, found)]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), target.types)], schema=target)
 
+    return rows.groupBy(*CELL, "part").applyInArrow(run, MODEL)
 
-# --- the job ---------------------------------------------------------------
 
-# Feature methods by name: what is kept of a filtered epoch, and both ways to score it.
-METHODS = {
-    "csp": ("gram", csp_splits, csp_large),
-    "parafac": ("spectrum", parafac_splits, parafac_large),
-}
+def packed(rows: DataFrame, models: DataFrame, sizes: DataFrame, sets: dict[int, list[int]], how: Method) -> DataFrame:
+    """Class sums of the train features and the test features of each bucket of epochs, for every band set and split.
 
+    The features of a set are those of its bands, each by its own model, side by side in the order of the list.
+    """
+    target = arrow_schema(PACKED)
+    listed = [(k, b, at) for k, bands in sets.items() for at, b in enumerate(bands)]
+
+    def placed(df: DataFrame) -> DataFrame:
+        """Rows with the sets of their band; a table of as many rows as the sets have bands."""
+        return df.join(F.broadcast(df.sparkSession.createDataFrame(listed, "set_id int, band_id int, place int")), "band_id")
+
+    size = max(1, GROUP // max(len(b) for b in sets.values()))
+    buckets = F.ceil(F.col("of") / size).cast("int")
+    spot = F.pmod(F.xxhash64("epoch_id"), buckets).alias("_bucket")
+    key = ["recording_id", "set_id", "_bucket"]
+    left = placed(rows).select("recording_id", "set_id", spot, "place", "epoch_id", "class_id", "tests", "n_channels", "n_times", "data")
+    every = F.explode(F.sequence(F.lit(0), buckets - 1)).alias("_bucket")
+    right = placed(models).join(sizes, "recording_id").select("recording_id", "set_id", every, "place", "split_id", "model", "error")
+
+    def run(table: pa.Table, known: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return target.empty_table()
+        name = [table.column(c)[0].as_py() for c in key[:2]]
+        table = table.sort_by([("place", "ascending"), ("epoch_id", "ascending")])
+        places = table.column("place").to_numpy()
+        bands = [table.slice(int(np.searchsorted(places, p)), int((places == p).sum())) for p in range(len(sets[name[1]]))]
+        held = [(matrix(t, "data"), t.column("n_times").to_numpy(), t.column("n_channels")[0].as_py()) if t.num_rows else None for t in bands]
+        label, tests = (bands[places[0]].column(c).to_numpy() for c in ("class_id", "tests"))
+        fits: dict[int, dict] = {}
+        for k, (split, place) in enumerate(zip(known.column("split_id").to_pylist(), known.column("place").to_pylist())):
+            fits.setdefault(split, {})[place] = k
+        out = []
+        for split, at in sorted(fits.items()):
+            errors = [e for k in at.values() if (e := known.column("error")[k].as_py()) is not None]
+            if None in held or len(at) < len(held):
+                errors.append("a band of the set has no channel")
+            if errors:
+                out.append((*name, split, None, 0, None, None, 0, None, errors[0]))
+                continue
+            sides = [how.apply(*held[p], known.column("model")[at[p]].values.to_numpy()) for p in range(len(held))]
+            train_x, test_x = (np.concatenate(x, axis=1) for x in zip(*sides))
+            test = tests >> split & 1 == 1
+            for c in np.unique(label).tolist():
+                a, b = train_x[~test & (label == c)], test_x[test & (label == c)]
+                out.append((*name, split, c, len(a), a.sum(0), (a.T @ a).reshape(-1), len(b), b.reshape(-1), None))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), target.types)], schema=target) if out else target.empty_table()
+
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, PACKED)
+
+
+def scored(rows: DataFrame) -> DataFrame:
+    """One row for each (cell, split): a discriminant from the class sums rates the test features."""
+    target = arrow_schema(SCORES)
+
+    def rate(table: pa.Table) -> tuple[int, int]:
+        label, n, n_test = (table.column(c).to_numpy() for c in ("class_id", "n", "n_test"))
+        width = len(table.column("sums")[0])
+        sums, squares = matrix(table, "sums"), matrix(table, "squares")
+        classes = np.unique(label[n > 0])
+        if not len(classes):
+            raise ValueError("no train epochs")
+        own = [label == c for c in classes]
+        coef, intercept = solve.discriminant(
+            np.array([n[m].sum() for m in own], float), np.stack([sums[m].sum(0) for m in own]), squares.sum(0).reshape(width, width)
+        )
+        x = table.column("test").combine_chunks().flatten().to_numpy().reshape(-1, width)
+        predicted = classes[np.argmax(x @ coef.T + intercept, axis=1)]
+        return int((predicted == np.repeat(label, n_test)).sum()), len(x)
 
-def with_tests(blocks: DataFrame, split_rows: DataFrame) -> DataFrame:
-    """Attach to each epoch the list of splits that test it (at most one per split)."""
-    tests = (
-        split_rows.filter(F.col("role") == "test")
-        .groupBy("recording_id", "epoch_id")
-        .agg(F.collect_list("split_id").alias("test_in"))
-    )
-    return blocks.join(tests, ["recording_id", "epoch_id"], "left").withColumn(
-        "test_in", F.coalesce("test_in", F.array().cast("array<int>"))
-    )
+    def run(table: pa.Table) -> pa.Table:
+        errors = [e for e in table.column("error").to_pylist() if e is not None]
+        got = errors[0] if errors else attempt(rate, table)
+        if not isinstance(got, str) and not got[1]:
+            got = "no test epochs"
+        hits, cases, error = (None, None, got) if isinstance(got, str) else (*got, None)
+        row = [*(table.column(c)[0].as_py() for c in SPLIT), hits, cases, hits / cases if cases else None, error]
+        return pa.table([pa.array([v], t) for v, t in zip(row, target.types)], schema=target)
+
+    return rows.groupBy(*SPLIT).applyInArrow(run, SCORES)
+
+
+# --- the job ---------------------------------------------------------------
 
 
 def score_blocks(
-    blocks: DataFrame,
-    bands: list[tuple[int, float, float]],
-    method: str,
-    n_splits: int = splits.N_SPLITS,
-    split_rows: DataFrame | None = None,
-    limit: int = COMPACT_LIMIT,
-    **filtering,
-) -> DataFrame:
-    """One accuracy row per (recording, band, split).
+    blocks: DataFrame, bands: list[tuple], method: str, n_splits: int = splits.N_SPLITS, split_rows: DataFrame | None = None,
+    sets: dict[int, list[int]] | None = None, n_components: int = N_COMPONENTS, **filtering,
+) -> DataFrame:
+    """One row (hits, cases, accuracy, error) per (recording, band, split).
 
-    ``blocks`` has recording_id, epoch_id, class_id, data, n_channels [, lead].
+    ``sets`` names lists of band_ids whose features one classifier takes side by side; rows then come by set, under band_id.
+    Without it each band is by itself.
+
+    ``blocks`` has recording_id, epoch_id, class_id, data, n_channels [, lead, channels].  ``bands`` are (band_id, low, high) or, with a list of
+    channels, (band_id, low, high, names).  A cell with a value that is not finite, a split whose train epochs are not of two classes (csp) and one
+    without train or test epochs get rows with an ``error``, whatever the size of the recording.
     """
-    kept, all_splits, large = METHODS[method]
-    if split_rows is None:
-        split_rows = splits.shuffle_split(blocks, n_splits)
-    ready = with_tests(spread(blocks, "recording_id", "epoch_id"), split_rows)
-    # Few recordings can be this large, so the list stays short.
-    large_ids = (
-        blocks.groupBy("recording_id").count().filter(F.col("count") > limit).select("recording_id")
-    )
-    if large_ids.isEmpty():
-        return compact_scores(bk.band_epochs(ready, bands, kept, **filtering), n_splits, all_splits)
-    small = ready.join(large_ids, "recording_id", "left_anti")
-    big = ready.join(large_ids, "recording_id", "left_semi")
-    return compact_scores(
-        bk.band_epochs(small, bands, kept, **filtering), n_splits, all_splits
-    ).unionByName(large(bk.band_epochs(big, bands, kept, **filtering), split_rows, n_splits))
+    if n_splits > 62:
+        raise ValueError("the splits of an epoch are kept in 62 bits")
+    how = METHODS[method]
+    if method == "csp":
+        how = replace(how, fit=partial(csp_fit, components=n_components))
+    sets = sets or {b: [b] for b, *_ in bands}
+    split_rows = splits.shuffle_split(blocks, n_splits) if split_rows is None else split_rows
+    ready = dealt(blocks, split_rows)
+
+    def filtered(part: DataFrame) -> DataFrame:
+        return bk.band_epochs(part, bands, how.kept, **filtering)
+
+    small = folds(filtered(ready.filter(F.col("of") <= SHARED)), how, n_splits)
+    large = folds(filtered(ready.filter(F.col("of") > SHARED)), how, n_splits)
+    for _ in range(LEVELS):
+        large = combined(large, how)
+    models = fitted(small.unionByName(large), how, n_splits)
+    sizes = blocks.groupBy("recording_id").agg(F.count(F.lit(1)).alias("of"))
+    return scored(packed(filtered(ready), models, sizes, sets, how))
 
 
 def result_rows(scores: DataFrame, cells: DataFrame, method: str) -> DataFrame:
@@ -267,12 +360,18 @@ def result_rows(scores: DataFrame, cells: DataFrame, method: str) -> DataFrame:
     )
 
 
+def grid_bands(configurations: list[tuple[list[str], int]], start: int = C.SWEEP_START_HZ, stop: int = C.SWEEP_STOP_HZ) -> list[tuple]:
+    """(band_id, low, high, names) of every start frequency under every (channels, band width) configuration."""
+    cells = [(f, width, names) for f in range(start, stop) for names, width in configurations]
+    return [(i, float(f), float(f + w), tuple(names)) for i, (f, w, names) in enumerate(cells)]
+
+
 def sweep(
     chunks: DataFrame,
     annotations: DataFrame,
     selected: list[str] = C.SWEEP_CHANNELS,
     methods: list[str] = ["csp", "parafac"],
-    rate: int = C.SAMPLING_RATE,
+    rate: float = C.SAMPLING_RATE,
     tmin: float = 1.0,
     tmax: float = 3.0,
     n_splits: int = splits.N_SPLITS,
@@ -280,16 +379,20 @@ def sweep(
     stop: int = C.SWEEP_STOP_HZ,
     widths: list[int] = C.SWEEP_WIDTHS,
     validate: bool = True,
-    limit: int = COMPACT_LIMIT,
+    configurations: list[tuple[list[str], int]] | None = None,
 ) -> DataFrame:
     """Sweep over all recordings, kept as chunks (see :func:`blocks.to_chunks`).
 
-    ``annotations`` has recording_id, annotation_id, onset_idx, class_id.  Selected
-    channels without signal are left out per recording; a recording left without
-    channels or epochs gets one row that says so.
+    ``annotations`` has recording_id, annotation_id, onset_idx, class_id.  ``configurations`` lists (channels, band width), an empty list for
+    all channels; without it every width goes with the ``selected`` channels.  All of them share one read, one filtering and one full
+    Gram matrix per epoch.  Selected channels without signal are left out per recording; a configuration left without
+    channels, and a recording without complete epochs, gets one row that says so.
     """
     spark = chunks.sparkSession
-    used = channels.select_channels(chunks, selected)
+    configurations = configurations or [(list(selected or []), w) for w in widths]
+    named = [names for names, _ in configurations]
+    wanted = sorted({c for names in named for c in names}) if all(named) else None
+    used = channels.select_channels(chunks, wanted)
     if validate:
         power = channels.channel_power(signal.broad_bandpass(bk.chunk_rows(used), rate=rate))
         valid = power.filter(F.col("power") > C.VALID_CHANNEL_THRESHOLD).drop("power")
@@ -302,39 +405,33 @@ def sweep(
         "class_id",
     )
     halo = taps.hamming_length(2.0, rate) // 2
-    first, last = int(tmin * rate), int(tmax * rate)
-    blocks = bk.epoch_blocks(used, events, first, last, halo).drop(
-        "onset_idx", "channels"
-    )
-    blocks = blocks.persist()
-    bands = grid.bands(start, stop, widths)
-    cells = grid_cells(spark, bands, len(selected or []))
+    first, last = round(tmin * rate), round(tmax * rate)
+    blocks = materialize(bk.epoch_blocks(used, events, first, last, halo).drop("onset_idx"))
+    bands = grid_bands(configurations, start, stop)
+    cells = grid_cells(spark, bands)
     out = None
     for method in methods:
-        scores = score_blocks(
-            blocks, bands, method, n_splits, limit=limit,
-            n_times=last - first + 1, halo=halo, rate=rate,
-        )
+        scores = score_blocks(blocks, bands, method, n_splits, n_times=last - first + 1, halo=halo, rate=rate)
         rows = result_rows(scores, cells, method)
         out = rows if out is None else out.unionByName(rows)
-    empty = (
-        annotations.select("recording_id")
-        .distinct()
-        .join(blocks.select("recording_id").distinct(), "recording_id", "left_anti")
-        .withColumn("error", F.lit("no valid channel or no complete epoch"))
-    )
-    return out.unionByName(empty, allowMissingColumns=True)
-
-
-def grid_cells(spark, bands, n_channels: int) -> DataFrame:
-    """Grid cells as a table: 7 x 28 rows with band centre, ends and label."""
-    count = str(n_channels) if n_channels else "all"
-    rows = [
-        (b, (lo + hi) / 2, f"{int(hi - lo)}Hz width {count} channels", int(lo), int(hi))
-        for b, lo, hi in bands
-    ]
-    return spark.createDataFrame(
-        rows,
-        "band_id int, frequency double, configuration string, frequency_start int, frequency_end int",
-    )
-
+    return out.unionByName(without_channels(annotations, blocks, cells), allowMissingColumns=True)
+
+
+def without_channels(annotations: DataFrame, blocks: DataFrame, cells: DataFrame) -> DataFrame:
+    """(recording_id, configuration, error) where a configuration has no channel or a recording no epoch."""
+    lists = cells.select("configuration", "names").distinct()
+    have = blocks.groupBy("recording_id").agg(F.first("channels").alias("have"))
+    asked = annotations.select("recording_id").distinct().join(have, "recording_id", "left").crossJoin(F.broadcast(lists))
+    nothing = F.col("have").isNull() | ((F.size("names") > 0) & (F.size(F.array_intersect("have", "names")) == 0))
+    return asked.filter(nothing).select("recording_id", "configuration", F.lit("no valid channel or no complete epoch").alias("error"))
+
+
+def grid_cells(spark, bands: list[tuple], n_channels: int | None = None) -> DataFrame:
+    """Grid cells as a table: band centre, ends, channels and label; ``n_channels`` where bands name none."""
+    rows = []
+    for b, lo, hi, *names in bands:
+        names = list(names[0]) if names else []
+        rows.append((b, (lo + hi) / 2, int(hi - lo), names or [""] * (n_channels or 0), names, int(lo), int(hi)))
+    schema = "band_id int, frequency double, width int, counted array<string>, names array<string>, frequency_start int, frequency_end int"
+    table = spark.createDataFrame(rows, schema)
+    return table.withColumn("configuration", configuration_label(F.col("width"), F.col("counted"))).drop("width", "counted")
