@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.brute import jaccard_components
 from tests.llm.test_text_operators import ODD, near_copies
-from wavemill.llm import minhash
+from wavemill.llm import minhash, stars
 
 
 def groups_of(df):
@@ -44,7 +44,7 @@ def crowd():
 @pytest.mark.parametrize("rounds", [1, 3])
 def test_crowded_lists(docs_of, monkeypatch, rounds):
     monkeypatch.setattr(minhash, "ROUNDS", rounds)
-    monkeypatch.setattr(minhash, "BLOCK", 7)  # many blocks
+    monkeypatch.setattr(stars, "BLOCK", 7)  # many blocks
     rows = crowd()
     assert groups_of(minhash.near_duplicates(docs_of(rows))) == jaccard_components(rows, n=4)
 

@@ -19,6 +19,8 @@ that shares the most lists, is compared with all others of the list, which joins
 many comparisons as it has members.  Then only pairs of a list that are still in different
 components are compared, leaving out those that the triangle inequality of the Jaccard distance
 rules out, and those in which shingles that nobody else posted leave too little to share.  A pair that is left out so is either in one component already or not linked.
+Pairs of short lists become rows; those of lists with over ``LISTED`` sets are found and verified inside bounded blocks (``stars.in_blocks``),
+so that a crowd of near copies makes no row for each of its pairs.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 
 from wavemill.llm import words
 from wavemill.llm.shared import components, kept, one_by_one
+from wavemill.llm.stars import in_blocks
 
 #: Largest set size for which subsets are considered.
 LIGHT_LIMIT = 64
@@ -39,6 +42,8 @@ COMMON_SHARE = 1 / 2000
 MEETINGS = 8
 #: Documents of one task that must hold a shingle before the task reports it.
 COMMON_LEAST = 8
+#: Sets of a list whose pairs may become rows.
+LISTED = 48
 
 SKETCH = "kind int, doc_id long, n long, h long, g long"
 
@@ -307,9 +312,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8
     near = first.select(F.col("a").alias("pivot"), F.col("b").alias("set"), (1 - F.col("common") / F.col("either")).alias("far"))
     apart = placed.join(open_.select("key", F.col("most.component").alias("major")), "key").join(near, ["pivot", "set"], "left")
     apart = apart.withColumn("far", F.when(F.col("set") == F.col("pivot"), 0.0).otherwise(F.col("far"))).distinct()
+    many = apart.groupBy("key").agg((F.count("*") > LISTED).alias("many"))
+    apart = kept(apart.join(many, "key"), "apart")
     named = ["set", "size", "alone", "all", "component", "far"]
-    left = apart.select("key", "pair", "major", *(F.col(c).alias(f"{c}_a") for c in named)).where("component_a <> major")
-    right = apart.select("key", *(F.col(c).alias(f"{c}_b") for c in named))
+    short = apart.where("NOT many")
+    left = short.select("key", "pair", "major", *(F.col(c).alias(f"{c}_a") for c in named)).where("component_a <> major")
+    right = short.select("key", *(F.col(c).alias(f"{c}_b") for c in named))
     gap = (bottom - top) / bottom + 1e-9
     small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
     # The largest component of a list meets the others, never itself; the others meet once.
@@ -325,7 +333,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8
     rest = candidates(rest).join(done, ["a", "b"], "left_anti")
     second = kept(overlaps(rest, texts, n), "rest")
     links = first.where(linked).select("a", "b").union(second.where(linked).select("a", "b"))
-    reached = components(links)
+    every = apart.groupBy("set").agg(F.collect_set("key").alias("every"))  # as many as a set posted
+    crowds = apart.where("many").select("key", "pair", *named).join(every, "set")
+    third = in_blocks(crowds, texts, n, threshold, narrowing(meetings(light, threshold), threshold))
+    reached = components(links.union(kept(third, "crowds")))
 
     named = members.where("n > 0").join(reached.withColumnRenamed("node", "set"), "set", "left")
     named = named.select("doc_id", "n", F.coalesce("component", "set").alias("component"))
@@ -335,6 +346,27 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8
     return out.union(empty)
 
 
+def narrowing(least: int, threshold: tuple[int, int]):
+    """Pairs of a block that may be linked, by the same rules as those of short lists."""
+    top, bottom = threshold
+    gap = (bottom - top) / bottom + 1e-9
+
+    def narrow(batch: pa.RecordBatch, k: int, others: np.ndarray) -> np.ndarray:
+        size, alone, component = (batch.column(c).to_numpy() for c in ("size", "alone", "component"))
+        whole = batch.column("all").to_numpy(zero_copy_only=False)
+        far = batch.column("far").to_numpy(zero_copy_only=False)  # NaN: not compared with the leader
+        y = others[component[others] != component[k]]
+        most = np.minimum(size[k] - np.where(whole[y], alone[k], 0), size[y] - (alone[y] if whole[k] else 0))
+        y = y[(most * bottom >= (size[k] + size[y] - most) * top) & ~(np.abs(far[y] - far[k]) > gap)]
+        if batch.column("pair")[0].as_py():
+            return y
+        own = batch.column("every")[k].values.to_numpy()
+        shared = [len(np.intersect1d(own, batch.column("every")[int(m)].values.to_numpy(), assume_unique=True)) for m in y]
+        return y[np.array(shared, np.int64) >= least]
+
+    return narrow
+
+
 def set_texts(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """(set, text) for the given sets, looked up by doc_id and confirmed by the set's hash."""
     found = ids.join(rows, ids["doc_id"].eqNullSafe(rows["doc_id"])).select("set", "text")

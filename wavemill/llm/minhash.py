@@ -25,17 +25,15 @@ from pyspark.sql import functions as F
 
 from wavemill.llm import words
 from wavemill.llm.shared import kept, lists, one_by_one
-from wavemill.llm.stars import joined, members_of, named_by_smallest, overlaps, star_rounds, texts_of
+from wavemill.llm.stars import in_blocks, joined, members_of, named_by_smallest, overlaps, star_rounds, texts_of
 
 #: Signature rows of a band.
 ROWS = 5
 #: Signature rows that are compared, and how many at once.
 CHECKS = 192
 BATCH = 32
-#: Star rounds before the rest is compared in blocks, and the members and shingles of a block.
+#: Star rounds before the rest is compared in blocks.
 ROUNDS = 3
-BLOCK = 1024
-BLOCK_SHINGLES = 1 << 19
 
 
 def bands_for(threshold: float, miss: float, rows: int = ROWS) -> int:
@@ -162,76 +160,19 @@ def alone(sets: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return once.groupBy("set").agg(F.count("*").alias("alone"))
 
 
-def in_blocks(left: DataFrame, sets: DataFrame, texts: DataFrame, n: int, need: np.ndarray, threshold: tuple[int, int]) -> DataFrame:
-    """Links (a, b) between members of open lists that are in different components.  ``sets`` has (set, checks, alone).
+def narrowing(need: np.ndarray, threshold: tuple[int, int]):
+    """Pairs of a block that sizes, shingles of one's own and signature rows leave."""
+    top, bottom = threshold
 
-    A list's members are dealt by their hash to blocks of bounded number and size, and each two blocks meet in one
-    group.  A first pass finds the members that have a surviving pair there; only their texts come to the second one, which
-    compares sets.  A pair that shares several lists is compared in the lowest one.
-    """
-    parts = left.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    member_of = left.groupBy("set").agg(F.collect_set("key").alias("lists"))  # as many as there are bands
-    own = F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")
-    dealt = left.join(parts, "key").join(sets, "set").join(member_of, "set").withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    place = ["key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
-    dealt = kept(dealt.select(*place, "own", "set", "size", "component", "alone", "lists", "checks"), "blocks")
-
-    def pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the pairs that sizes, bounds and signatures leave."""
-        top, bottom = threshold
-        name, size, component, block, own = (batch.column(c).to_numpy() for c in ("set", "size", "component", "own", "alone"))
+    def narrow(batch: pa.RecordBatch, k: int, others: np.ndarray) -> np.ndarray:
+        size, component, own = (batch.column(c).to_numpy() for c in ("size", "component", "alone"))
         rows = matrix(batch.column("checks"))
-        same = bool((block == block[0]).all())
-        left, right = [], []
-        for k in range(len(name)):
-            most = np.minimum(size[k] - own[k], size - own)  # the overlap that the two can have
-            meet = (component != component[k]) & (most * bottom >= (size[k] + size - most) * top)
-            meet &= (name > name[k]) if same else (block > block[k])
-            at = np.flatnonzero(meet)
-            if len(at):
-                good = at[plausible(np.broadcast_to(rows[k], (len(at), rows.shape[1])), rows[at], need)]
-                left.append(np.full(len(good), k))
-                right.append(good)
-        return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    def find(table: pa.Table) -> pa.Table:
-        batch = table.combine_chunks().to_batches()[0]
-        some = np.unique(np.concatenate(pairs(batch)))
-        return pa.table(batch.select(["key", "i", "j", "set"]).take(pa.array(some)).to_pydict(), pa.schema([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("set", pa.int64())]))
-
-    def verify(table: pa.Table) -> pa.Table:
-        top, bottom = threshold
-        batch = table.combine_chunks().to_batches()[0]
-        x, y = pairs(batch)
-        runs = [batch.column("lists")[k].values.to_numpy() for k in range(batch.num_rows)]
-        shared = np.zeros((len(runs), max(map(len, runs))), np.int64)
-        for k, run in enumerate(runs):
-            shared[k] = run[0]
-            shared[k, : len(run)] = run
-        key = batch.column("key")[0].as_py()
-        lowest = np.zeros(len(x), bool)
-        for at in range(0, len(x), 4096):
-            p, q = shared[x[at : at + 4096]], shared[y[at : at + 4096]]
-            met = (p[:, :, None] == q[:, None, :]).any(axis=2)
-            lowest[at : at + 4096] = np.where(met, p, np.iinfo(np.int64).max).min(axis=1) == key
-        held = []
-        for part in words.pieces(batch, "text"):
-            values, _, begin = words.distinct(*words.shingles(*words.words(part.column("text")), n))
-            held += [values[a:b] for a, b in zip(begin[:-1], begin[1:])]
-        name = batch.column("set").to_numpy()
-        out = []
-        for k, m in zip(x[lowest].tolist(), y[lowest].tolist()):
-            common = len(np.intersect1d(held[k], held[m], assume_unique=True))
-            if common * bottom >= (len(held[k]) + len(held[m]) - common) * top:
-                out.append((int(name[k]), int(name[m])))
-        a, b = zip(*out) if out else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    place = ["key", "i", "j"]
-    some = dealt.groupBy(*place).applyInArrow(find, "key long, i int, j int, set long")
-    whole = dealt.join(some, [*place, "set"]).join(texts, "set").select(*place, "own", "set", "size", "component", "alone", "lists", "checks", "text")
-    return whole.groupBy(*place).applyInArrow(verify, "a long, b long")
+        most = np.minimum(size[k] - own[k], size[others] - own[others])  # the overlap that the two can have
+        meet = (component[others] != component[k]) & (most * bottom >= (size[k] + size[others] - most) * top)
+        at = others[meet]
+        return at[plausible(np.broadcast_to(rows[k], (len(at), rows.shape[1])), rows[at], need)]
+
+    return narrow
 
 
 def near_duplicates(docs: DataFrame, n: int = 4, threshold: tuple[int, int] = (80, 100), miss: float = 1e-7) -> DataFrame:
@@ -267,6 +208,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, threshold: tuple[int, int] = (8
     if not left.isEmpty():
         single = alone(left.select("set").distinct(), texts, n)
         open_sets = sets.select("set", "checks").join(single, "set", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
-        reached = joined(reached, kept(in_blocks(left, open_sets, texts, n, need, threshold), "links-rest"))
+        found = in_blocks(left.drop("weight").join(open_sets, "set"), texts, n, threshold, narrowing(need, threshold))
+        reached = joined(reached, kept(found, "links-rest"))
     out = named_by_smallest(members, reached)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,9 @@ from wavemill.llm.shared import components, kept, one_by_one
 
 #: Members that are compared with one copy of their leader's text.
 PER_LEADER = 256
+#: Members and shingles of a block.
+BLOCK = 1024
+BLOCK_SHINGLES = 1 << 19
 
 
 def star_rounds(listed: DataFrame, compare: Callable[[DataFrame], DataFrame], rounds: int) -> tuple[DataFrame, DataFrame]:
@@ -72,8 +76,6 @@ def overlaps(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     dealt = members.union(leads).repartition(shuffles, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches):
-        import numpy as np
-
         led, own = None, None
         for batch in batches:
             for rows in words.pieces(batch, "text"):
@@ -95,6 +97,71 @@ def overlaps(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, common long, either long")
 
 
+def in_blocks(left: DataFrame, texts: DataFrame, n: int, threshold: tuple[int, int], narrow: Callable) -> DataFrame:
+    """Links (a, b) between members of lists, without a row for each pair.  ``left`` has (key, set, size, ...).
+
+    A list's members are dealt by their hash to blocks of bounded number and size, and each two blocks meet in one
+    group.  ``narrow(batch, k, others)`` says which of the rows ``others`` row k is to be compared with.  A first pass finds the members
+    that have such a partner there; only their texts come to the second one, which compares whole sets.
+    A pair that shares several lists is compared in the lowest one.
+    """
+    top, bottom = threshold
+    extra = [c for c in left.columns if c not in ("key", "set")]
+    parts = left.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    member_of = left.groupBy("set").agg(F.collect_set("key").alias("lists"))  # as many as a set has keys
+    dealt = left.join(parts, "key").join(member_of, "set").withColumn("own", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low, high = F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    dealt = kept(dealt.select("key", low, high, "own", "set", "lists", *extra), "blocks")
+    place = ["key", "i", "j"]
+
+    def pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        name, block = batch.column("set").to_numpy(), batch.column("own").to_numpy()
+        same = bool((block == block[0]).all())
+        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(len(name)):
+            found = narrow(batch, k, np.flatnonzero(name > name[k] if same else block > block[k]))
+            x.append(np.full(len(found), k))
+            y.append(found)
+        return np.concatenate(x), np.concatenate(y)
+
+    def whole(table: pa.Table) -> pa.RecordBatch:
+        return table.combine_chunks().to_batches()[0]
+
+    def find(table: pa.Table) -> pa.Table:
+        batch = whole(table)
+        some = pa.array(np.unique(np.concatenate(pairs(batch))), pa.int64())
+        return pa.Table.from_arrays([batch.column(c).take(some) for c in (*place, "set")], names=[*place, "set"])
+
+    def verify(table: pa.Table) -> pa.Table:
+        batch = whole(table)
+        x, y = pairs(batch)
+        lists = [np.sort(batch.column("lists")[k].values.to_numpy()) for k in range(batch.num_rows)]
+        shared = np.stack([np.append(v, np.full(max(map(len, lists)) - len(v), v[0])) for v in lists])
+        key = batch.column("key")[0].as_py()
+        held = []
+        for part in words.pieces(batch, "text"):
+            values, _, begin = words.distinct(*words.shingles(*words.words(part.column("text")), n))
+            held += [values[a:b] for a, b in zip(begin[:-1], begin[1:])]
+        name = batch.column("set").to_numpy()
+        out = []
+        step = max(1, (1 << 24) // shared.shape[1] ** 2)
+        for at in range(0, len(x), step):
+            p, q = shared[x[at : at + step]], shared[y[at : at + step]]
+            met = (p[:, :, None] == q[:, None, :]).any(axis=2)
+            lowest = np.where(met, p, np.iinfo(np.int64).max).min(axis=1) == key
+            for k, m in zip(x[at : at + step][lowest].tolist(), y[at : at + step][lowest].tolist()):
+                common = len(np.intersect1d(held[k], held[m], assume_unique=True))
+                if common * bottom >= (len(held[k]) + len(held[m]) - common) * top:
+                    out.append((int(name[k]), int(name[m])))
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    some = dealt.groupBy(*place).applyInArrow(find, "key long, i int, j int, set long")
+    both = dealt.join(some, [*place, "set"]).join(texts, "set").select(*place, "own", "set", "lists", *extra, "text")
+    return both.groupBy(*place).applyInArrow(verify, "a long, b long")
+
+
 def members_of(rows: DataFrame, n: int, sketch: Callable, schema: str) -> DataFrame:
     """(doc_id, tag, ...) of every row by ``sketch(part, values, begin)``; ``tag`` is a hash of the text."""
     tagged = rows.select("doc_id", F.xxhash64("text").alias("tag"), "text")
