@@ -294,3 +294,16 @@ def test_pipeline_without_rows(spark, sample):
         assert docs.count() == 0
         if "text" not in docs.columns:
             break
+
+
+def test_near_duplicates_go_row_by_row(spark, docs_of):
+    """Two texts under one doc_id, texts without doc_id, repeated rows, empties and clashing names."""
+    a, near, other = (" ".join(f"{c}{k}" for k in range(40)) for c in "wvu")
+    near = a + " more"
+    rows = [(1, a), (2, near), (2, other), (3, None), (3, None), (4, ""), (5, a), (None, near), (None, "x " + other), (None, "lone text of its own"), (6, "twice the same row here"), (6, "twice the same row here")]
+    docs = docs_of(rows).withColumn("worse", F.lit(1)).withColumn("component", F.lit("c")).withColumn("tag", F.lit(2))
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    want = [(1, a), (2, other), (3, None), (3, None), (4, ""), (None, "lone text of its own"), (6, "twice the same row here")]
+    assert got == sorted(want, key=str)

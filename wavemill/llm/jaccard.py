@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from wavemill.llm import words
 from wavemill.llm.shared import components, kept, one_by_one
-from wavemill.llm.stars import in_blocks
+from wavemill.llm.stars import in_blocks, texts_of
 
 #: Largest set size for which subsets are considered.
 LIGHT_LIMIT = 64
@@ -56,15 +56,12 @@ def _sets(batch: pa.RecordBatch, n: int):
         yield part, values, begin
 
 
-def _identity(values: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each set."""
-    total = np.zeros((2, len(values) + 1), np.uint64)
+def _identity(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each set."""
+    total = np.zeros(len(values) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(2):
-            np.cumsum(words.mix(values, 11 + k), out=total[k, 1:])
-        sums = total[:, begin[1:]] - total[:, begin[:-1]]
-    h, g = words.mix(sums[0]), words.mix(sums[1])
-    return h.view(np.int64), g.view(np.int64)
+        np.cumsum(words.mix(values, 11), out=total[1:])
+        return words.mix(total[begin[1:]] - total[begin[:-1]]).view(np.int64)
 
 
 def prefix_sizes(sizes: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
@@ -83,7 +80,7 @@ def meetings(light: int, threshold: tuple[int, int]) -> int:
 def sketch(docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
     """One narrow pass over all texts; rows of three kinds.
 
-    0: doc_id, set size, and two hashes that identify the set; 1: a shingle (h) that n documents of
+    0: doc_id, set size, and the hashes of the set (h) and the text (g); 1: a shingle (h) that n documents of
     one task hold, if they are many; 2: a first shingle (h) of a small set of size n.
     """
 
@@ -99,9 +96,9 @@ def sketch(docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
         for batch in batches:
             for part, values, begin in _sets(batch, n):
                 sizes = np.diff(begin)
-                h, g = _identity(values, begin)
+                h = _identity(values, begin)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(len(h), np.int32)), part.column("doc_id"), pa.array(sizes), pa.array(h), pa.array(g)],
+                    [pa.array(np.zeros(len(h), np.int32)), part.column("doc_id"), pa.array(sizes), pa.array(h), part.column("tag")],
                     ["kind", "doc_id", "n", "h", "g"],
                 )
                 docs_seen += part.num_rows
@@ -122,7 +119,7 @@ def sketch(docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
             v = np.array(list(common), np.uint64).view(np.int64)
             yield row(1, None, np.array(list(common.values()), np.int64), v, None)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tag")).mapInArrow(run, SKETCH)
 
 
 def boundary(sketched: DataFrame, threshold: tuple[int, int]) -> int:
@@ -165,7 +162,7 @@ def postings(docs: DataFrame, n: int, threshold: tuple[int, int], light: int, co
 
     def build(batch):
         for part, values, begin in _sets(batch, n):
-            h, _ = _identity(values, begin)
+            h = _identity(values, begin)
             _order(values, begin, names, level)
             sizes = np.diff(begin)
             hot_value = np.isin(values, names) if len(names) else np.zeros(len(values), bool)
@@ -238,7 +235,29 @@ def _values(column: pa.Array, n: int):
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row.
+    """doc_id, n_shingles, component_id for every row, from ``groups``."""
+    members = groups(docs, n, threshold)
+    some = members.where("component IS NOT NULL")
+    smallest = some.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = some.join(smallest, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    empty = members.where("component IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return out.union(empty)
+
+
+def rejects(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """(doc_id, tag, rows, goes) of the texts that go, all but one of a component, and of those that occur in several rows.
+
+    The smallest (doc_id, hash of the text) stays, a row without doc_id only if all of its component are.
+    """
+    some = groups(docs, n, threshold).where("component IS NOT NULL").groupBy("component", "doc_id", "tag").agg(F.count("*").alias("rows"))
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
+    best = some.groupBy("component").agg(F.min(name).alias("best"))
+    told = some.join(best, "component").withColumn("goes", ~name.eqNullSafe(F.col("best")))
+    return told.where("goes OR rows > 1").select("doc_id", "tag", "rows", "goes")
+
+
+def groups(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """(doc_id, tag, n, component) of every row: a hash of its text, its set size, and its component or null without words.
 
     Two rows are linked if intersection / union of their shingle sets reaches ``threshold``, and a
     component is what links reach; its id is its smallest doc_id.  The threshold is above one half.  A text with fewer than ``n``
@@ -251,7 +270,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8
         raise ValueError("thresholds of one half or less need other filters")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = kept(sketch(rows, n, threshold), "sketch")
-    members = sketched.where("kind = 0").select("doc_id", "n", F.col("h").alias("set"))
+    members = sketched.where("kind = 0").select("doc_id", F.col("g").alias("tag"), "n", F.col("h").alias("set"))
     total = members.count()
     least = max(COMMON_LEAST, total * COMMON_SHARE)
     often = sketched.where("kind = 1").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
@@ -281,9 +300,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8
 
     # One text for each set that is left.
     wanted = listed.select("set").distinct()
-    ids = members.join(wanted, "set").groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("id"))
-    ids = ids.select("set", F.col("id.doc_id").alias("doc_id"))
-    texts = kept(set_texts(rows, ids, n), "texts")
+    texts = kept(texts_of(rows, members, wanted), "texts")
 
     def close(small, large):
         return small * bottom >= large * top
@@ -338,12 +355,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8
     third = in_blocks(crowds, texts, n, threshold, narrowing(meetings(light, threshold), threshold))
     reached = components(links.union(kept(third, "crowds")))
 
-    named = members.where("n > 0").join(reached.withColumnRenamed("node", "set"), "set", "left")
-    named = named.select("doc_id", "n", F.coalesce("component", "set").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(smallest, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.union(empty)
+    named = members.join(reached.withColumnRenamed("node", "set"), "set", "left")
+    return named.select("doc_id", "tag", "n", F.when(F.col("n") > 0, F.coalesce("component", "set")).alias("component"))
 
 
 def narrowing(least: int, threshold: tuple[int, int]):
@@ -365,19 +378,3 @@ def narrowing(least: int, threshold: tuple[int, int]):
         return y[np.array(shared, np.int64) >= least]
 
     return narrow
-
-
-def set_texts(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(set, text) for the given sets, looked up by doc_id and confirmed by the set's hash."""
-    found = ids.join(rows, ids["doc_id"].eqNullSafe(rows["doc_id"])).select("set", "text")
-
-    def build(batch):
-        for part in words.pieces(batch, "text"):
-            values, begin, _ = _values(part.column("text"), n)
-            h, _ = _identity(values, begin)
-            good = h == part.column("set").to_numpy(zero_copy_only=False)
-            first = np.zeros(len(h), bool)
-            first[np.unique(h, return_index=True)[1]] = True  # repeated rows lie side by side here
-            yield part.filter(pa.array(good & first))
-
-    return one_by_one(found, build, "set long, text string")
