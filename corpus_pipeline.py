@@ -7,7 +7,7 @@ lost executor costs no more than its own tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wavemill.llm import decontaminate, jaccard, lines, packing, toxicity
@@ -28,11 +28,18 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group stays; documents without an id all stay."""
-    groups = jaccard.near_duplicates(docs)
-    worse = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("worse")).distinct()
-    left = docs.join(worse, F.col("doc_id").cast("long") == F.col("worse"), "left_anti")
-    return left.dropDuplicates(["doc_id", "text"])
+    """One document of each group stays: the smallest doc_id, and of repeated rows one.
+
+    Rows are told by doc_id and a hash of the text, so that two texts under one doc_id, and texts without, are judged
+    each.  Texts without words all stay.
+    """
+    name, order = ["__none", "__id", "__tag"], "__row"
+    none, id_ = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    told = jaccard.rejects(docs).select(none.alias(name[0]), id_.alias(name[1]), F.col("tag").alias(name[2]), F.col("rows").alias("__rows"), F.col("goes").alias("__goes"))
+    keyed = docs.withColumns({name[0]: none, name[1]: id_, name[2]: F.xxhash64("text")})
+    left = keyed.join(told, name, "left").where("__goes IS NULL OR NOT __goes")
+    one = F.row_number().over(Window.partitionBy(*name).orderBy(F.lit(0)))
+    return left.withColumn(order, one).where(f"__rows IS NULL OR {order} = 1").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
