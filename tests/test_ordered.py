@@ -35,6 +35,18 @@ def test_number_rows(rows, kind):
     assert collect(got, "k", "t", "id", "n") == collect(want, "k", "t", "id", "n")
 
 
+@pytest.mark.parametrize("kind", ["decimal(12,2)", "double", "float"])
+def test_number_rows_of_decimals_and_odd_numbers(spark, kind):
+    values = ["-3", "9.5", "10.5", "20", "100", "-0.25", "1000000.5"]
+    if "decimal" not in kind:
+        values += ["NaN", "Infinity", "-Infinity", "1e18"]
+    df = spark.createDataFrame([("k", v) for v in [*values, None]], "k string, v string").withColumn("v", F.col("v").cast(kind))
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("v")).cast("long") - 1)
+    assert list(map(str, collect(ordered.number_rows(df, ["k"], ["v"], "n"), "v", "n"))) == list(map(str, collect(want, "v", "n")))
+    with pytest.raises(TypeError):
+        ordered.number_rows(df.withColumn("b", F.lit(True)), ["k"], ["b"])
+
+
 @pytest.mark.parametrize("block", [1, 7, 10**6])
 def test_previous_and_total(rows, block):
     w = Window.partitionBy("k").orderBy("n")
@@ -59,8 +71,9 @@ def play_in_order(pdf):
 
 
 @pytest.mark.parametrize("block", [1, 13, 100, 10**6])
-def test_throttle(spark, block):
-    """Blocks played at the same time equal one pass; times tie and some commands take none."""
+def test_throttle(spark, monkeypatch, block):
+    """Blocks played at the same time equal one pass, one hot key with many of them; times tie and some commands take none."""
+    monkeypatch.setattr(throttle, "FAN", 4)
     rng = np.random.RandomState(7)
     n = 900
     pdf = pd.DataFrame(

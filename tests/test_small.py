@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from wavemill.functions import solve
 from wavemill.operators.blocks import mirror_pad
-from wavemill.operators.throttle import Chain
+from wavemill.operators.throttle import Chain, compose, leave
 from wavemill.session import shared_dir
 from wavemill.sources import edf
 
@@ -35,13 +35,23 @@ def test_block_table_tells_how_a_block_ends(rows, busy, last):
             want.append(i)
             b, c = t + length, command
     assert chain.played(busy, last) == want
-    runs = chain.table()
-    at = 0 if busy is None else int(np.searchsorted([r[0] for r in runs], busy, side="left"))
-    end = -1
-    if at < len(runs):
-        _, command, free, repeat = runs[at]
-        end = repeat if command is not None and command == last else free
-    assert end == (want[-1] if want else -1)
+    assert leave(chain.table(), busy, last) == (b, c)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(ROW, min_size=2, max_size=30), st.data(), st.one_of(st.none(), st.integers(0, 40)), st.sampled_from("abc"))
+def test_tables_in_a_row_are_one_table(rows, data, busy, last):
+    last = None if busy is None else last
+    pdf = frame(rows)
+    cuts = sorted(data.draw(st.sets(st.integers(1, len(rows) - 1), max_size=4)))
+    parts = [Chain(pdf.iloc[a:b]).table() for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = compose(whole, part)
+    right = parts[-1]
+    for part in reversed(parts[:-1]):
+        right = compose(part, right)
+    assert leave(whole, busy, last) == leave(right, busy, last) == leave(Chain(pdf).table(), busy, last)
 
 
 @settings(max_examples=100, deadline=None)

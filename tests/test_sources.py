@@ -38,8 +38,8 @@ def values(decoded, name, channel):
 
 
 def test_listing(spark, folder):
-    names = [r.path.rsplit("/", 1)[1] for r in edf.list_recordings(spark, folder).collect()]
-    assert sorted(names) == ["one.edf", "two.edf"]
+    assert [p.rsplit("/", 1)[1] for p in edf.list_files(folder)] == ["one.edf", "two.edf"]
+    assert edf.list_files("file:" + folder) == {"file:" + p: n for p, n in edf.list_files(folder).items()}
 
 
 @pytest.mark.parametrize("split_bytes", [1 << 20, 500])
@@ -77,3 +77,46 @@ def test_ingest(spark, folder, tmp_path):
     back = spark.read.parquet(out)
     assert back.filter("kind = 'annotation'").count() == 4
     assert back.filter("kind = 'samples'").select(F.sum(F.size("values"))).first()[0] == 4 * RATE * SECONDS
+
+
+def test_options_reach_the_reader(spark, folder):
+    rows = edf.read_recordings(spark, folder, chunk=64)
+    some = edf.read_recordings(spark, folder, chunk=64, channels='["C4"]', first=100, last=299)
+    assert sorted({(r.channel, r.start_idx) for r in some.collect()}) == [("C4", 128), ("C4", 192), ("C4", 256)]
+    assert some.count() == 6
+    notes = edf.read_recordings(spark, folder, kind="annotation")
+    assert notes.count() == 4 and notes.filter("kind = 'samples'").isEmpty()
+    both = rows.filter("kind = 'annotation'").unionByName(rows.filter("kind = 'samples' AND channel = 'C3'"))
+    assert {r["kind"]: r["count"] for r in both.groupBy("kind").count().collect()} == {"annotation": 4, "samples": 12}
+
+
+def test_ranges_share_and_split(folder):
+    lengths = edf.list_files(folder)
+    for split in (300, 1000, 1 << 20):
+        ranges = [r for p in edf.EdfReader({"path": folder, "splitbytes": str(split)}).partitions() for r in p.ranges]
+        for path, length in lengths.items():
+            own = [(a, b) for p, a, b, _ in ranges if p == path]
+            assert own[0][0] == 0 and own[-1][1] == length and all(x[1] == y[0] for x, y in zip(own, own[1:]))
+
+
+def test_growing_recordings_arrive_once(spark, tmp_path):
+    """Records that are appended while the stream is down arrive after a restart, each one once; half a record waits."""
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    content = edf.encode(wave(), NOTES, RATE, -10, 10)
+    head = edf.header_bytes(content[:256])
+    record = (len(content) - head) // SECONDS
+    for n in (head + 2 * record + 7, head + 5 * record, len(content)):
+        folder.joinpath("a.edf").write_bytes(content[:n])
+        if n == len(content):
+            folder.joinpath("b.edf").write_bytes(content)
+        run = edf.stream_recordings(spark, str(folder), 64).writeStream.format("parquet").option("checkpointLocation", f"{out}/_state")
+        run = run.start(f"{out}/data")
+        run.processAllAvailable()
+        run.stop()
+    back = spark.read.schema(edf.SCHEMA).parquet(f"{out}/data")
+    for name in ("a.edf", "b.edf"):
+        got = back.filter((F.col("kind") == "samples") & (F.col("channel") == "C3") & F.col("path").endswith(name))
+        values = np.concatenate([r["values"] for r in got.orderBy("start_idx").collect()])
+        assert np.allclose(values, wave()["C3"], atol=20 / 65535)
+    assert back.filter("kind = 'annotation'").count() == 4

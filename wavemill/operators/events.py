@@ -11,7 +11,7 @@ from wavemill import constants as C
 from wavemill.operators.ordered import number_rows, previous_value, total_before
 
 
-def encode_labels(annotations: DataFrame, rate: int = C.SAMPLING_RATE) -> DataFrame:
+def encode_labels(annotations: DataFrame, rate: float = C.SAMPLING_RATE) -> DataFrame:
     """Onset as a sample index, and class ids counted from 1 in label order per recording.
 
     The rank runs over the distinct labels only; they come back by an equi join.
@@ -30,16 +30,16 @@ def encode_labels(annotations: DataFrame, rate: int = C.SAMPLING_RATE) -> DataFr
 
 
 def sub_event_offsets(
-    rate: int,
+    rate: float,
     offset_s: int = C.EVENT_OFFSET_S,
     length_s: int = C.EVENT_LENGTH_S,
     trial_s: int = C.TRIAL_LENGTH_S,
 ) -> list[int]:
     """Sample offsets of the events inside one trial; empty if none fits."""
-    return [s * rate for s in range(offset_s, trial_s - length_s + 1, length_s)]
+    return [round(s * rate) for s in range(offset_s, trial_s - length_s + 1, length_s)]
 
 
-def sub_events(annotations: DataFrame, rate: int = C.SAMPLING_RATE, **trial) -> DataFrame:
+def sub_events(annotations: DataFrame, rate: float = C.SAMPLING_RATE, **trial) -> DataFrame:
     """Several events per annotated trial, at fixed offsets from its onset."""
     offsets = F.array(*[F.lit(o).cast("long") for o in sub_event_offsets(rate, **trial)])
     return annotations.select("*", F.posexplode(offsets).alias("sub_id", "_offset")).select(
@@ -226,3 +226,23 @@ def block_envelope(samples: DataFrame, size: int, group: Column, margin: float =
         .withColumn("axis_low", F.col("low") - margin * (F.col("high") - F.col("low")))
         .withColumn("axis_high", F.col("high") + margin * (F.col("high") - F.col("low")))
     )
+
+
+def envelope_pyramid(samples: DataFrame, size: int, group: Column, levels: int, margin: float = 0.05) -> DataFrame:
+    """Envelopes of blocks of ``size``, 2 ``size``, 4 ``size`` ... samples, for views at several resolutions.
+
+    Samples are read for the finest level only; each level is put together from the one below, two blocks
+    at a time, so the work above the first level is a geometric series.
+    """
+    keys = ["recording_id", "channel_group"]
+    finest = block_envelope(samples, size, group).select(*keys, "block_id", "low", "high")
+    stack = [finest]
+    for _ in range(1, levels):
+        below = stack[-1].groupBy(*keys, F.floor(F.col("block_id") / 2).alias("block_id"))
+        stack.append(below.agg(F.min("low").alias("low"), F.max("high").alias("high")))
+    out = None
+    for level, rows in enumerate(stack):
+        named = rows.select(F.lit(level).alias("level"), "*")
+        out = named if out is None else out.unionByName(named)
+    span = margin * (F.col("high") - F.col("low"))
+    return out.withColumn("axis_low", F.col("low") - span).withColumn("axis_high", F.col("high") + span)

@@ -29,15 +29,23 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
 
 
 def coarse(df: DataFrame, column: str) -> Column:
-    """A bucket that keeps the order of a column: an hour, a run of numbers, the first two letters."""
+    """A bucket that keeps the order of a column: an hour, a run of numbers, the first two letters.
+
+    NaN comes last, as it does in Spark's order.  Types without a bucket are an error.
+    """
     kind = df.schema[column].dataType.simpleString()
     if kind in ("timestamp", "timestamp_ntz", "date"):
         return F.date_trunc("hour", F.col(column))
     if kind in ("tinyint", "smallint", "int", "bigint"):
         return F.floor(F.col(column) / NUMBERS)
     if kind in ("float", "double"):
-        return F.floor(F.col(column))
-    return F.substring(F.col(column).cast("string"), 1, 2)
+        whole = F.floor(F.greatest(F.least(F.col(column), F.lit(9e18)), F.lit(-9e18)))
+        return F.when(F.isnan(column), F.lit(2**63 - 1)).when(F.col(column).isNotNull(), whole)
+    if kind.startswith("decimal"):
+        return F.floor(F.col(column)).cast("decimal(38,0)")
+    if kind == "string":
+        return F.substring(column, 1, 2)
+    raise TypeError(f"rows cannot be numbered by {column}, which is {kind}")
 
 
 def number_rows(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wavemill import constants as C
 from wavemill.functions import scalars
-from wavemill.operators import channels, events, grid, report, throttle
+from wavemill.operators import aggregate, channels, events, grid, report, throttle
 from wavemill.plans.sqltext import half_even, with_ctes
 from wavemill.registry import query
 from wavemill.sources import tabular, views
@@ -64,6 +64,13 @@ query(
 
 query("topk_mean", REPORT_CTES + "SELECT * FROM best")(best)
 
+# The same report by an aggregate of the caller's own.
+query("user_aggregate", REPORT_CTES + "SELECT * FROM best")(
+    lambda spark, sf: aggregate.aggregate(
+        report.mean_over_splits(kept(spark, sf)), report.GROUP, aggregate.mean_of_largest("accuracy", report.TOP, "accuracy")
+    ).withColumn("accuracy", scalars.round_half_even(F.col("accuracy")))
+)
+
 query(
     "method_difference",
     REPORT_CTES

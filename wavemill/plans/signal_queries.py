@@ -185,6 +185,26 @@ FROM samples GROUP BY ALL""",
     .withColumn("axis_high", F.round("axis_high", 6))
 )
 
+LEVELS = 3
+query(
+    "envelope_pyramid",
+    with_ctes(views.SAMPLES_SQL)
+    + f"""SELECT CAST(level AS INTEGER) AS level, recording_id, CASE WHEN channel = 'error' THEN 1 ELSE 0 END AS channel_group,
+  sample_idx // ({BLOCK} * CAST(2 ** level AS BIGINT)) AS block_id, min(value) AS low, max(value) AS high,
+  round(min(value) - 0.05 * (max(value) - min(value)), 6) AS axis_low,
+  round(max(value) + 0.05 * (max(value) - min(value)), 6) AS axis_high
+FROM samples, range(0, {LEVELS}) r(level) GROUP BY ALL""",
+)(
+    lambda spark, sf: events.envelope_pyramid(
+        views.samples(spark, sf),
+        BLOCK,
+        F.when(F.col("channel") == "error", 1).otherwise(0),
+        LEVELS,
+    )
+    .withColumn("axis_low", F.round("axis_low", 6))
+    .withColumn("axis_high", F.round("axis_high", 6))
+)
+
 query(
     "scan_to_long",
     """SELECT vec_id AS scan_idx, 'ch' || (p - 1) AS channel, CAST(embedding[p] AS DOUBLE) AS value

@@ -83,12 +83,58 @@ def stream_envelope(spark, sf):
 
 query("stream_envelope", SQL["block_envelope"])(stream_envelope)
 
+
+
+#: Files of one slice of a stream, written by as many tasks.
+FILES = 4
+
+
+def stream_until_limit(spark, sf):
+    """Blocks of a stream that its consumer ends as soon as the last wanted block has passed."""
+    folder = sinks.new_folder(spark, "ordered")
+    slot = F.floor(F.col("sample_idx") / (BLOCK * C.LIVE_BLOCK_LIMIT))
+    # Files of the first blocks first.
+    rows = views.samples(spark, sf).withColumn("slot", slot)
+    for part in (rows.filter("slot = 0"), rows.filter("slot > 0")):
+        part.drop("slot").repartition(FILES).write.mode("append").parquet(folder)
+    stream = scans.read_files(spark, folder, scans.SAMPLE_SCHEMA, files_per_trigger=1)
+    stream = stream.observe("seen", F.max(F.floor(F.col("sample_idx") / BLOCK)).alias("block"))
+    wanted = F.col("sample_idx") < BLOCK * C.LIVE_BLOCK_LIMIT
+    blocks = scans.stream_blocks(stream.filter(wanted), BLOCK, [F.max("value").alias("peak")])
+    out = sinks.new_folder(spark, "until")
+
+    def enough(progress):
+        seen = progress.observedMetrics.get("seen")
+        return seen is not None and seen["block"] is not None and seen["block"] >= C.LIVE_BLOCK_LIMIT
+
+    sinks.run_until(blocks, out, enough, mode="update", until_idle=True)
+    schema = "recording_id string, channel string, block_id bigint, peak double, scans bigint"
+    return sinks.result(spark, out, schema)
+
+
+query("stream_until_limit", SQL["first_n_blocks"])(stream_until_limit)
+
 # --- commands --------------------------------------------------------------
 
 
+SLICES = 3
+
+
+def command_files(spark, sf):
+    """The events in time order, a slice of files for each micro-batch."""
+    folder = sinks.new_folder(spark, "events")
+    events_ = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events_.agg(F.min(at), F.max(at)).first()
+    step = ((high or 0) - (low or 0)) // SLICES + 1
+    for k in range(SLICES):  # one write after the other, so that the files are in order
+        part = events_.filter(F.floor((at - F.lit(low)) / step) == k)
+        part.repartition(FILES).write.mode("append").parquet(folder)
+    return scans.read_files(spark, folder, events_.schema, files_per_trigger=FILES)
+
+
 def command_stream(spark, sf, name, rule):
-    schema = table(spark, sf, "events").schema
-    raw = scans.read_files(spark, sf, schema, name="events.parquet").select(
+    raw = command_files(spark, sf).select(
         F.col("user_id").alias("key"),
         F.col("ts").cast("timestamp").alias("ts"),
         "event_id",
@@ -202,34 +248,39 @@ query(
 LOW, HIGH, PER_FILE = -1000.0, 1000.0, 500
 
 
-def edf_files(spark, sf):
-    """EDF bytes of every 500 samples of a channel, with a note on each value over 100."""
+def edf_folder(spark, sf):
+    """Recording files of every 500 samples of a channel, with a note on each value over 100, written by tasks."""
+    folder = sinks.new_folder(spark, "recordings")
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sample_idx")
-        channel, part = pdf["channel"].iloc[0], int(pdf["part"].iloc[0])
+        rec, channel, part = (pdf[c].iloc[0] for c in ("recording_id", "channel", "part"))
         notes = [
             (float(i % PER_FILE), 0.5, f"{channel}-{i}")
             for i, v in zip(pdf["sample_idx"], pdf["value"])
             if v > 100
         ]
-        content = edf.encode({channel: pdf["value"].to_numpy()}, notes, 1, LOW, HIGH)
-        return pd.DataFrame([{"path": f"{pdf['recording_id'].iloc[0]}/{part}", "content": content}])
+        path = f"{folder}/{rec}_{channel}_{int(part)}.edf"
+        edf.write_file(path, edf.encode({channel: pdf["value"].to_numpy()}, notes, 1, LOW, HIGH))
+        return pd.DataFrame({"path": [path]})
 
-    return (
+    files = (
         views.samples(spark, sf)
         .withColumn("part", F.floor(F.col("sample_idx") / PER_FILE))
         .groupBy("recording_id", "channel", "part")
-        .applyInPandas(pack, "path string, content binary")
+        .applyInPandas(write, "path string")
     )
+    files.write.parquet(f"{folder}/written")  # a sub-folder, which the source leaves out
+    return folder
 
 
 def ingest_recordings(spark, sf):
-    decoded = edf.decode_contents(edf_files(spark, sf))
-    part = F.split_part("path", F.lit("/"), F.lit(2)).cast("long") * PER_FILE
-    rec = F.split_part("path", F.lit("/"), F.lit(1)).alias("recording_id")
+    """Files to rows through the data source of the bulk job."""
+    decoded = edf.read_recordings(spark, edf_folder(spark, sf))
+    name = F.regexp_extract("path", r"([^/]+)_([^/_]+)_(\d+)\.edf$", 1).alias("recording_id")
+    part = F.regexp_extract("path", r"_(\d+)\.edf$", 1).cast("long") * PER_FILE
     chunks = decoded.filter(F.col("kind") == "samples").select(
-        rec,
+        name,
         F.lit("samples").alias("kind"),
         "channel",
         part.alias("_part"),
@@ -244,7 +295,7 @@ def ingest_recordings(spark, sf):
         (F.round("_v", 6) + 0.0).alias("value"),
     )
     notes = decoded.filter(F.col("kind") == "annotation").select(
-        rec,
+        name,
         "kind",
         F.split_part("label", F.lit("-"), F.lit(1)).alias("channel"),
         (part + F.col("onset_s").cast("long")).alias("sample_idx"),

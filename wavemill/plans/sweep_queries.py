@@ -58,9 +58,9 @@ def sweep_ctes(times: int, lists: list[tuple[int, int]], cells: list[tuple[int,
         + ")",
         f"cell AS (SELECT * FROM (VALUES {where}) v(band_id, l))",
         f"""y AS (
-  SELECT epoch_id, band_id, o.t, sum(h * x0) AS y0, sum(h * x1) AS y1
-  FROM e JOIN cell USING (l), range(0, {times}) o(t) JOIN taps USING (band_id)
-  WHERE k = o.t - e.t GROUP BY ALL)""",
+  SELECT epoch_id, taps.band_id, o.t, sum(h * x0) AS y0, sum(h * x1) AS y1
+  FROM e CROSS JOIN range(0, {times}) o(t) JOIN taps ON k = o.t - e.t JOIN cell ON cell.band_id = taps.band_id AND cell.l = e.l
+  GROUP BY ALL)""",
         """gram AS (
   SELECT epoch_id, band_id, sum(y0 * y0) AS g00, sum(y0 * y1) AS g01, sum(y1 * y1) AS g11
   FROM y GROUP BY ALL)""",

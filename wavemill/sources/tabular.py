@@ -11,6 +11,8 @@ RESULTS_SCHEMA = (
     "participant string, task string, date string, classifier string, accuracy double, "
     "frequency double, configuration string, frequency_start int, frequency_end int"
 )
+# Result rows as the bulk job keeps them.
+STORED_SCHEMA = f"{RESULTS_SCHEMA}, recording_id string, split_id int, error string"
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, with_index: bool = True) -> DataFrame:
@@ -29,5 +31,5 @@ def write_csv(df: DataFrame, path: str, index_order: list[str] | None = None) ->
 
 
 def write_results(df: DataFrame, path: str) -> None:
-    """Result rows as Parquet, one folder per participant."""
-    df.write.mode("append").partitionBy("participant").parquet(path)
+    """Result rows as Parquet, one folder per participant; folders of participants that occur are replaced."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("participant").parquet(path)
