@@ -44,6 +44,8 @@ MEETINGS = 8
 COMMON_LEAST = 8
 #: Sets of a list whose pairs may become rows.
 LISTED = 48
+#: Words of 64 bits that tell which lists a set is in.
+BITS = 8
 
 SKETCH = "kind int, doc_id long, n long, h long, g long"
 
@@ -350,8 +352,7 @@ def groups(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100))
     rest = candidates(rest).join(done, ["a", "b"], "left_anti")
     second = kept(overlaps(rest, texts, n), "rest")
     links = first.where(linked).select("a", "b").union(second.where(linked).select("a", "b"))
-    every = apart.groupBy("set").agg(F.collect_set("key").alias("every"))  # as many as a set posted
-    crowds = apart.where("many").select("key", "pair", *named).join(every, "set")
+    crowds = apart.where("many").select("key", "pair", *named).join(list_bits(apart), "set")
     third = in_blocks(crowds, texts, n, threshold, narrowing(meetings(light, threshold), threshold))
     reached = components(links.union(kept(third, "crowds")))
 
@@ -359,6 +360,14 @@ def groups(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100))
     return named.select("doc_id", "tag", "n", F.when(F.col("n") > 0, F.coalesce("component", "set")).alias("component"))
 
 
+def list_bits(listed: DataFrame) -> DataFrame:
+    """(set, bits): a set's lists as bits of 64 * BITS, a list the same one in every set."""
+    bit = F.expr("shiftleft(1L, CAST(pmod(key, 64) AS INT))")
+    slot = F.pmod(F.shiftright("key", 6), F.lit(BITS))
+    words_ = [F.bit_or(F.when(slot == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(BITS)]
+    return listed.groupBy("set").agg(*words_).select("set", F.array(*(f"b{k}" for k in range(BITS))).alias("bits"))
+
+
 def narrowing(least: int, threshold: tuple[int, int]):
     """Pairs of a block that may be linked, by the same rules as those of short lists."""
     top, bottom = threshold
@@ -373,8 +382,8 @@ def narrowing(least: int, threshold: tuple[int, int]):
         y = y[(most * bottom >= (size[k] + size[y] - most) * top) & ~(np.abs(far[y] - far[k]) > gap)]
         if batch.column("pair")[0].as_py():
             return y
-        own = batch.column("every")[k].values.to_numpy()
-        shared = [len(np.intersect1d(own, batch.column("every")[int(m)].values.to_numpy(), assume_unique=True)) for m in y]
-        return y[np.array(shared, np.int64) >= least]
+        # Eight shared lists set fewer than two common bits with a chance of 1e-18.
+        bits = batch.column("bits").flatten().to_numpy().view(np.uint64).reshape(-1, BITS)
+        return y[np.bitwise_count(bits[y] & bits[k]).sum(axis=1) >= max(1, least // 4)]
 
     return narrow

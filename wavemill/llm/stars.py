@@ -24,6 +24,8 @@ PER_LEADER = 256
 #: Members and shingles of a block.
 BLOCK = 1024
 BLOCK_SHINGLES = 1 << 19
+#: Lists of a set that tell where a pair is compared.
+LOWEST = 16
 
 
 def star_rounds(listed: DataFrame, compare: Callable[[DataFrame], DataFrame], rounds: int) -> tuple[DataFrame, DataFrame]:
@@ -103,12 +105,12 @@ def in_blocks(left: DataFrame, texts: DataFrame, n: int, threshold: tuple[int, i
     A list's members are dealt by their hash to blocks of bounded number and size, and each two blocks meet in one
     group.  ``narrow(batch, k, others)`` says which of the rows ``others`` row k is to be compared with.  A first pass finds the members
     that have such a partner there; only their texts come to the second one, which compares whole sets.
-    A pair that shares several lists is compared in the lowest one.
+    A pair that shares several lists is compared in the lowest one, as far as the ``LOWEST`` lists of both tell.
     """
     top, bottom = threshold
     extra = [c for c in left.columns if c not in ("key", "set")]
     parts = left.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    member_of = left.groupBy("set").agg(F.collect_set("key").alias("lists"))  # as many as a set has keys
+    member_of = left.groupBy("set").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LOWEST).alias("lists"))
     dealt = left.join(parts, "key").join(member_of, "set").withColumn("own", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     low, high = F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
@@ -116,11 +118,19 @@ def in_blocks(left: DataFrame, texts: DataFrame, n: int, threshold: tuple[int, i
     place = ["key", "i", "j"]
 
     def pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        name, block = batch.column("set").to_numpy(), batch.column("own").to_numpy()
+        """Positions of the pairs to compare in this list."""
+        name, block, key = batch.column("set").to_numpy(), batch.column("own").to_numpy(), batch.column("key")[0].as_py()
         same = bool((block == block[0]).all())
+        lists = batch.column("lists")
+        first, count = np.asarray(lists.offsets)[:-1], np.diff(np.asarray(lists.offsets))
+        at = np.minimum(np.arange(LOWEST), count[:, None] - 1)  # short ones are filled up with their last
+        low = lists.values.to_numpy()[first[:, None] + at]
         x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in range(len(name)):
             found = narrow(batch, k, np.flatnonzero(name > name[k] if same else block > block[k]))
+            if len(found):
+                met = (low[found][:, :, None] == low[k]).any(axis=2)
+                found = found[np.where(met, low[found], np.iinfo(np.int64).max).min(axis=1) >= key]
             x.append(np.full(len(found), k))
             y.append(found)
         return np.concatenate(x), np.concatenate(y)
@@ -135,25 +145,16 @@ def in_blocks(left: DataFrame, texts: DataFrame, n: int, threshold: tuple[int, i
 
     def verify(table: pa.Table) -> pa.Table:
         batch = whole(table)
-        x, y = pairs(batch)
-        lists = [np.sort(batch.column("lists")[k].values.to_numpy()) for k in range(batch.num_rows)]
-        shared = np.stack([np.append(v, np.full(max(map(len, lists)) - len(v), v[0])) for v in lists])
-        key = batch.column("key")[0].as_py()
         held = []
         for part in words.pieces(batch, "text"):
             values, _, begin = words.distinct(*words.shingles(*words.words(part.column("text")), n))
             held += [values[a:b] for a, b in zip(begin[:-1], begin[1:])]
         name = batch.column("set").to_numpy()
         out = []
-        step = max(1, (1 << 24) // shared.shape[1] ** 2)
-        for at in range(0, len(x), step):
-            p, q = shared[x[at : at + step]], shared[y[at : at + step]]
-            met = (p[:, :, None] == q[:, None, :]).any(axis=2)
-            lowest = np.where(met, p, np.iinfo(np.int64).max).min(axis=1) == key
-            for k, m in zip(x[at : at + step][lowest].tolist(), y[at : at + step][lowest].tolist()):
-                common = len(np.intersect1d(held[k], held[m], assume_unique=True))
-                if common * bottom >= (len(held[k]) + len(held[m]) - common) * top:
-                    out.append((int(name[k]), int(name[m])))
+        for k, m in zip(*(p.tolist() for p in pairs(batch))):
+            common = len(np.intersect1d(held[k], held[m], assume_unique=True))
+            if common * bottom >= (len(held[k]) + len(held[m]) - common) * top:
+                out.append((int(name[k]), int(name[m])))
         a, b = zip(*out) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
