@@ -192,3 +192,53 @@ def test_mirrored_block_is_filtered_alone():
     y = np.array([np.convolve(row, kernel, "valid") for row in padded])
     power = np.log((y[:2] ** 2).mean(axis=1))
     assert MODEL.label(block[:0], block) == 1 + int(np.argmax(power))
+
+
+def test_missing_and_late_scans_score_as_in_batch(spark, scan_frame, tmp_path):
+    """A lost scan costs its own block only, and a gap in front of a block cuts its lead; the state of full blocks ends."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    frame = scan_frame.filter("NOT (recording_id = 'a' AND scan_idx IN (250, 251, 777))")
+    cuts = [0, 170, 420, 421, 890, 2000]
+    write_files(spark, [frame.filter(F.col("scan_idx").between(a, b - 1)).orderBy(F.rand(1)) for a, b in zip(cuts, cuts[1:])], src)
+    stream = scans.read_files(spark, src, scans.SCAN_SCHEMA, files_per_trigger=1)
+    sinks.append_parquet(live.stream_score(stream, MODEL, 100, 150), out)
+    got = sorted(map(tuple, sinks.result(spark, out, live.OUTPUT).collect()))
+    assert got == sorted(map(tuple, live.score_blocks(frame, MODEL, 100, 150).collect()))
+    whole = {(r[0], r[1]): r[2] for r in map(tuple, live.score_blocks(scan_frame, MODEL, 100, 0).collect())}
+    cut = {(r[0], r[1]): r[2] for r in map(tuple, live.score_blocks(frame, MODEL, 100, 0).collect())}
+    assert set(whole) - set(cut) == {("a", 2), ("a", 7)} and all(whole[k] == v for k, v in cut.items())
+
+
+def test_lead_ends_at_a_gap():
+    idx = np.array([7, 3, 5, 6, 9, 8, 8])
+    x = np.arange(7.0)[:, None]
+    lead, own = live.lead_and_block(idx, x, 4, 2)
+    assert lead[:, 0].tolist() == [2, 3, 0] and own[:, 0].tolist() == [6, 4]
+    assert live.lead_and_block(idx, x, 5, 2) is None
+
+
+def test_blocks_wait_for_their_lead_with_a_clock(spark, scan_frame, tmp_path):
+    """Scans that come late over micro-batches give batch's answers when recordings have a clock."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    late = F.col("scan_idx").between(150, 180)
+    parts = [scan_frame.filter((F.col("scan_idx") < 600) & ~late), scan_frame.filter(late), scan_frame.filter("scan_idx >= 600")]
+    write_files(spark, parts, src)
+    stream = scans.read_files(spark, src, scans.SCAN_SCHEMA, files_per_trigger=1)
+    started = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    sinks.append_parquet(live.stream_score(stream, MODEL, 100, 150, started, 250, "1 minute"), out)
+    got = {tuple(r) for r in sinks.result(spark, out, live.OUTPUT).collect()}
+    want = {tuple(r) for r in live.score_blocks(scan_frame, MODEL, 100, 150).collect()}
+    assert got <= want and {r for r in want if r[0] == "a"} <= got
+
+
+def test_run_until_progress_says_so(spark, tmp_path):
+    """The consumer ends a stream that has more; without more to come an idle stream ends too."""
+    src = str(tmp_path / "in")
+    rows = spark.range(50).select(F.lit("r").alias("recording_id"), F.lit("c").alias("channel"), F.col("id").alias("sample_idx"), F.col("id").cast("double").alias("value"))
+    write_files(spark, [rows.filter(F.floor(F.col("sample_idx") / 10) == k) for k in range(5)], src)
+    stream = scans.read_files(spark, src, scans.SAMPLE_SCHEMA, 1)
+    sinks.run_until(stream, str(tmp_path / "some"), lambda p: p.batchId >= 1)
+    seen = sinks.result(spark, str(tmp_path / "some"), scans.SAMPLE_SCHEMA).count()
+    assert 20 <= seen <= 50
+    sinks.run_until(stream, str(tmp_path / "all"), lambda p: False, until_idle=True)
+    assert sinks.result(spark, str(tmp_path / "all"), scans.SAMPLE_SCHEMA).count() == 50

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -15,9 +15,10 @@ from wavemill.functions import taps
 from wavemill.functions.scalars import to_sorted_json
 from wavemill.operators import blocks as bk
 from wavemill.operators import linear, spatial, splits
+from wavemill.streaming.scans import event_time
 
 OUTPUT = "recording_id string, block_id bigint, label int"
-STATE = "block bigint, first bigint, width int, scans array<double>"
+STATE = "width int, idx array<bigint>, scans array<double>"
 
 
 @dataclass(frozen=True)
@@ -77,13 +78,33 @@ def load_model(
     )
 
 
-def score_blocks(scans: DataFrame, model: BlockModel, size: int, carry: int = 0) -> DataFrame:
-    """Label of every complete block; ``carry`` scans before it lead into the filter."""
+def dealt(scans: DataFrame, size: int, carry: int) -> DataFrame:
+    """Each scan with every block that it belongs to or leads into."""
     idx = F.col("scan_idx")
-    home = F.floor(idx / size)
-    ahead = F.floor((idx + carry) / size)
+    return scans.withColumn("block_id", F.explode(F.sequence(F.floor(idx / size), F.floor((idx + carry) / size))))
+
+
+def lead_and_block(idx: np.ndarray, x: np.ndarray, block: int, size: int):
+    """(scans right before a block without a gap, its own scans); None if the block is not complete.
+
+    Of scans with one index the last one counts.
+    """
+    idx, last = np.unique(idx[::-1], return_index=True)
+    x = x[::-1][last]
+    begin = int(np.searchsorted(idx, block * size))
+    if len(idx) - begin != size:
+        return None
+    gaps = np.flatnonzero(np.diff(idx[: begin + 1]) != 1)
+    return x[gaps[-1] + 1 if len(gaps) else 0 : begin], x[begin:]
+
+
+def score_blocks(scans: DataFrame, model: BlockModel, size: int, carry: int = 0) -> DataFrame:
+    """Label of every complete block; up to ``carry`` scans right before it lead into the filter.
+
+    A block that lacks a scan has no label, and a gap before a block cuts its lead.
+    """
     grouped = (
-        scans.withColumn("block_id", F.explode(F.sequence(home, ahead)))
+        dealt(scans, size, carry)
         .groupBy("recording_id", "block_id")
         .agg(F.sort_array(F.collect_list(F.struct("scan_idx", "ch"))).alias("_s"))
         .select(
@@ -98,43 +119,57 @@ def score_blocks(scans: DataFrame, model: BlockModel, size: int, carry: int = 0)
         for pdf in frames:
             rows = []
             for rec, block, idx, flat in pdf.itertuples(index=False):
-                x = np.reshape(flat, (len(idx), -1))
-                inside = np.asarray(idx) >= block * size
-                if inside.sum() == size:
-                    rows.append((rec, block, model.label(x[~inside], x[inside])))
+                parts = lead_and_block(np.asarray(idx), np.reshape(flat, (len(idx), -1)), block, size)
+                if parts is not None:
+                    rows.append((rec, block, model.label(*parts)))
             yield pd.DataFrame(rows, columns=["recording_id", "block_id", "label"])
 
     return grouped.mapInPandas(run, OUTPUT)
 
 
-def stream_score(scans: DataFrame, model: BlockModel, size: int, carry: int = 0) -> DataFrame:
-    """Streaming form of :func:`score_blocks`.
+def stream_score(
+    scans: DataFrame, model: BlockModel, size: int, carry: int = 0, started: Column | None = None,
+    rate: float = C.SAMPLING_RATE, lateness: str = "10 seconds",
+) -> DataFrame:
+    """Streaming form of :func:`score_blocks`, by the index of the scans.
 
-    State per recording: the scans that lead into the next block and those of the block
-    begun, so at most ``carry + size`` scans.  Scans must arrive in order.
+    State per (recording, block): the scans seen so far, at most ``carry + size``.  It ends when the block is full.
+    Scans may come in any order inside a micro-batch and in order over them.  With ``started``, the time at which a row's recording began,
+    a block also waits for its whole lead, and what is not complete when all streams are ``lateness`` past its end is rated
+    with what there is or dropped.
     """
+    rows = dealt(scans, size, carry)
+    timeout, clock = GroupStateTimeout.NoTimeout, started is not None
+    if clock:
+        rows = rows.withColumn("ts", event_time(started, F.col("scan_idx"), rate)).withWatermark("ts", lateness)
+        timeout = GroupStateTimeout.EventTimeTimeout
 
     def step(key, frames, state: GroupState):
-        pdf = pd.concat(frames).sort_values("scan_idx")
-        new = np.stack([np.asarray(c, dtype=float) for c in pdf["ch"]])
-        first = int(pdf["scan_idx"].iloc[0])
-        block = -(-first // size)
+        rec, block = key
+        idx, x = np.zeros(0, np.int64), None
         if state.exists:
-            block, first, width, held = state.get
-            new = np.concatenate([np.reshape(held, (-1, width)), new])
-        start = block * size - first
-        rows = []
-        while start + size <= len(new):
-            before = new[max(0, start - carry) : start]
-            rows.append((key[0], block, model.label(before, new[start : start + size])))
-            block, start = block + 1, start + size
-        keep = min(max(0, start - carry), len(new))
-        state.update((block, first + keep, new.shape[1], new[keep:].reshape(-1).tolist()))
-        yield pd.DataFrame(rows, columns=["recording_id", "block_id", "label"])
-
-    return scans.groupBy("recording_id").applyInPandasWithState(
-        step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
-    )
+            width, held, flat = state.get
+            idx, x = np.asarray(held, np.int64), np.reshape(flat, (-1, width))
+        late = clock and state.hasTimedOut
+        if not late:
+            pdf = pd.concat(frames)
+            new = np.stack([np.asarray(c, dtype=float) for c in pdf["ch"]])
+            idx = np.concatenate([idx, pdf["scan_idx"].to_numpy()])
+            x = new if x is None else np.concatenate([x, new])
+        parts = lead_and_block(idx, x, block, size)
+        if parts is not None and clock and not late and len(parts[0]) < min(carry, block * size):
+            parts = None
+        if parts is not None or late:
+            state.remove()
+        else:
+            state.update((x.shape[1], idx.tolist(), x.reshape(-1).tolist()))
+            if clock:
+                end = pdf["ts"].iloc[0].timestamp() + (int((block + 1) * size) - int(pdf["scan_idx"].iloc[0])) / rate
+                state.setTimeoutTimestamp(max(int(end * 1000), state.getCurrentWatermarkMs() + 1))
+        done = [] if parts is None else [(rec, block, model.label(*parts))]
+        yield pd.DataFrame(done, columns=["recording_id", "block_id", "label"])
+
+    return rows.groupBy("recording_id", "block_id").applyInPandasWithState(step, OUTPUT, STATE, "append", timeout)
 
 
 def feedback(labels: DataFrame, movement_class: int = 1) -> DataFrame:

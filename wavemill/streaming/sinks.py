@@ -6,6 +6,7 @@ import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQueryListener
 
 from wavemill.session import shared_dir
 
@@ -43,22 +44,66 @@ def each_batch(stream: DataFrame, out: str, mode: str = "update") -> None:
     )
 
 
-def run_while(stream: DataFrame, more, out: str) -> None:
-    """Hand each micro-batch to ``more(batch, batch_id)`` and stop once it returns False."""
-    done = threading.Event()
+class Watch(StreamingQueryListener):
+    """Tells when a query has gone far enough by its progress, or has ended."""
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        if not done.is_set() and not more(batch, batch_id):
-            done.set()
+    def __init__(self, enough, until_idle: bool):
+        self.enough, self.until_idle, self.done, self.run_id = enough, until_idle, threading.Event(), None
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        if str(event.progress.runId) == self.run_id and self.enough(event.progress):
+            self.done.set()
+
+    def onQueryIdle(self, event):
+        if self.until_idle and str(event.runId) == self.run_id:
+            self.done.set()
 
-    run = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{out}/_state").start()
+    def onQueryTerminated(self, event):
+        if str(event.runId) == self.run_id:
+            self.done.set()
+
+
+def run_until(stream: DataFrame, out: str, enough, write=None, mode: str = "append", until_idle: bool = False) -> None:
+    """Run a stream until ``enough(progress)`` says so, or with ``until_idle`` nothing more has come, and then stop it.
+
+    Progress comes by micro-batch, so what follows in the batches begun is written too: leave it out in the plan
+    if it must not be.  ``write(batch, batch_id)`` takes the batches, as Parquet by batch without it.
+    """
+
+    def to_parquet(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
+
+    spark = stream.sparkSession
+    watch = Watch(enough, until_idle)
+    spark.streams.addListener(watch)
     try:
-        while run.isActive and not done.wait(0.2):
-            pass
+        writer = stream.writeStream.foreachBatch(write or to_parquet).outputMode(mode)
+        run = writer.option("checkpointLocation", f"{out}/_state").start()
+        watch.run_id = str(run.runId)
+        if run.recentProgress and any(map(enough, run.recentProgress)):  # before the id was known
+            watch.done.set()
+        if not run.isActive:
+            watch.done.set()
+        watch.done.wait()
+        run.stop()
         if run.exception():
             raise run.exception()
     finally:
-        run.stop()
+        spark.streams.removeListener(watch)
+
+
+def run_while(stream: DataFrame, more, out: str) -> None:
+    """Hand each micro-batch to ``more(batch, batch_id)`` and stop once it returns False."""
+    over = threading.Event()
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        if not over.is_set() and not more(batch, batch_id):
+            over.set()
+
+    run_until(stream, out, lambda progress: over.is_set(), step)
 
 
 def result(spark: SparkSession, out: str, schema) -> DataFrame:
