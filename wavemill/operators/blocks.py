@@ -136,8 +136,6 @@ def band_epochs(
     if "lead" not in blocks.columns:
         blocks = blocks.withColumn("lead", F.lit(0))
     by_name = any(len(x) > 3 and x[3] for x in bands)
-    if not by_name:
-        blocks = blocks.drop("channels")
 
     def places(part: pa.RecordBatch, targets: list) -> list:
         """(band_id, positions of its channels or None for all) of the bands that have a channel here."""

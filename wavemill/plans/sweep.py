@@ -333,6 +333,9 @@ def score_blocks(
     split_rows = splits.shuffle_split(blocks, n_splits) if split_rows is None else split_rows
     ready = dealt(blocks, split_rows)
 
+    if not any(len(b) > 3 and b[3] for b in bands):
+        ready = ready.drop("channels")
+
     def filtered(part: DataFrame) -> DataFrame:
         return bk.band_epochs(part, bands, how.kept, **filtering)
 
