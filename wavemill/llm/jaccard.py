@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from wavemill.llm import words
 from wavemill.llm.shared import components, kept, one_by_one
+from wavemill.llm.stars import alone as own_shingles
 from wavemill.llm.stars import in_blocks, texts_of
 
 #: Largest set size for which subsets are considered.
@@ -352,7 +353,11 @@ def groups(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100))
     rest = candidates(rest).join(done, ["a", "b"], "left_anti")
     second = kept(overlaps(rest, texts, n), "rest")
     links = first.where(linked).select("a", "b").union(second.where(linked).select("a", "b"))
-    crowds = apart.where("many").select("key", "pair", *named).join(list_bits(apart), "set")
+    crowds = apart.where("many").select("key", "pair", *named)
+    # Of whole sets: what no other set of the crowds has. Documents that have but a passage in common go here.
+    single = own_shingles(crowds.select("set").distinct(), texts, n).withColumnRenamed("alone", "single")
+    crowds = crowds.join(single, "set", "left").withColumn("single", F.coalesce("single", F.lit(0)))
+    crowds = crowds.where((F.col("size") - F.col("single")) * bottom >= F.col("size") * top).join(list_bits(apart), "set")
     third = in_blocks(crowds, texts, n, threshold, narrowing(meetings(light, threshold), threshold))
     reached = components(links.union(kept(third, "crowds")))
 
@@ -379,6 +384,8 @@ def narrowing(least: int, threshold: tuple[int, int]):
         far = batch.column("far").to_numpy(zero_copy_only=False)  # NaN: not compared with the leader
         y = others[component[others] != component[k]]
         most = np.minimum(size[k] - np.where(whole[y], alone[k], 0), size[y] - (alone[y] if whole[k] else 0))
+        single = batch.column("single").to_numpy()
+        most = np.minimum(most, np.minimum(size[k] - single[k], size[y] - single[y]))
         y = y[(most * bottom >= (size[k] + size[y] - most) * top) & ~(np.abs(far[y] - far[k]) > gap)]
         if batch.column("pair")[0].as_py():
             return y

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from wavemill.llm import words
 from wavemill.llm.shared import kept, lists, one_by_one
-from wavemill.llm.stars import in_blocks, joined, members_of, named_by_smallest, overlaps, star_rounds, texts_of
+from wavemill.llm.stars import alone, in_blocks, joined, members_of, named_by_smallest, overlaps, star_rounds, texts_of
 
 #: Signature rows of a band.
 ROWS = 5
@@ -146,20 +146,6 @@ def survivors(pairs: DataFrame, sets: DataFrame, need: np.ndarray) -> DataFrame:
     return one_by_one(both, build, "a long, b long")
 
 
-def alone(sets: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """(set, alone): how many shingles of a set none of the other sets has, where there are any."""
-
-    def build(batch):
-        for part in words.pieces(batch, "text"):
-            values, _, begin = words.distinct(*words.shingles(*words.words(part.column("text")), n))
-            owner = np.repeat(part.column("set").to_numpy(), np.diff(begin))
-            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(values.view(np.int64))], ["set", "shingle"])
-
-    held = one_by_one(texts.join(sets, "set").select("set", "text"), build, "set long, shingle long")
-    once = held.groupBy("shingle").agg(F.count("*").alias("of"), F.min("set").alias("set")).where("of = 1")
-    return once.groupBy("set").agg(F.count("*").alias("alone"))
-
-
 def narrowing(need: np.ndarray, threshold: tuple[int, int]):
     """Pairs of a block that sizes, shingles of one's own and signature rows leave."""
     top, bottom = threshold
