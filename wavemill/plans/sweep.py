@@ -223,7 +223,7 @@ def fitted(rows: DataFrame, how: Method, n_splits: int) -> DataFrame:
         rows = [(*key, s, None, m) if isinstance(m, str) else (*key, s, m, None) for s, m in zip(own, found)]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), target.types)], schema=target)
 
-    return rows.groupBy(*CELL, "part").applyInArrow(run, MODEL)
+    return spread(rows, *CELL, "part").groupBy(*CELL, "part").applyInArrow(run, MODEL)
 
 
 def packed(rows: DataFrame, models: DataFrame, sizes: DataFrame, sets: dict[int, list[int]], how: Method) -> DataFrame:
@@ -274,7 +274,7 @@ def packed(rows: DataFrame, models: DataFrame, sizes: DataFrame, sets: dict[int,
                 out.append((*name, split, c, len(a), a.sum(0), (a.T @ a).reshape(-1), len(b), b.reshape(-1), None))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), target.types)], schema=target) if out else target.empty_table()
 
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, PACKED)
+    return spread(left, *key).groupBy(*key).cogroup(spread(right, *key).groupBy(*key)).applyInArrow(run, PACKED)
 
 
 def scored(rows: DataFrame) -> DataFrame:
@@ -305,7 +305,7 @@ def scored(rows: DataFrame) -> DataFrame:
         row = [*(table.column(c)[0].as_py() for c in SPLIT), hits, cases, hits / cases if cases else None, error]
         return pa.table([pa.array([v], t) for v, t in zip(row, target.types)], schema=target)
 
-    return rows.groupBy(*SPLIT).applyInArrow(run, SCORES)
+    return spread(rows, *SPLIT).groupBy(*SPLIT).applyInArrow(run, SCORES)
 
 
 # --- the job ---------------------------------------------------------------
