@@ -240,7 +240,7 @@ def packed(rows: DataFrame, models: DataFrame, sizes: DataFrame, sets: dict[int,
 
     size = max(1, GROUP // max(len(b) for b in sets.values()))
     buckets = F.ceil(F.col("of") / size).cast("int")
-    spot = F.pmod(F.xxhash64("epoch_id"), buckets).alias("_bucket")
+    spot = F.pmod(F.xxhash64("epoch_id"), buckets).cast("int").alias("_bucket")  # the type of the other side
     key = ["recording_id", "set_id", "_bucket"]
     left = placed(rows).select("recording_id", "set_id", spot, "place", "epoch_id", "class_id", "tests", "n_channels", "n_times", "data")
     every = F.explode(F.sequence(F.lit(0), buckets - 1)).alias("_bucket")
