@@ -350,3 +350,24 @@ def test_channel_lists_and_band_sets(spark):
     alone = accuracies(sweep.score_blocks(df, [(1, 8.0, 12.0)], "csp", 2))
     assert [got["r", 1, s] for s in range(2)] == [alone["r", 1, s] for s in range(2)]
     assert all(got["r", 0, s][1] is None and got["r", 2, s][1] == "a band of the set has no channel" for s in range(2))
+
+
+def test_folds_of_a_long_recording_do_not_grow_with_its_epochs(spark, monkeypatch):
+    """A bucket passes on one row for each band, split, class and side, and no row for each epoch, band and split."""
+    monkeypatch.setattr(sweep, "SHARED", 5)
+    df = epochs_frame(spark, 200, 3, 60, 2.5).withColumn("lead", F.lit(0))
+    tests = sweep.tested(df, splits.shuffle_split(df, 3))
+    ready = sweep.dealt(df, tests, sweep.bucket_counts(df))
+    rows = sweep.folds(ready, [(0, 8.0, 12.0), (1, 20.0, 24.0)], sweep.METHODS["csp"], 3, {})
+    assert rows.count() == 2 * 3 * 2 * 2
+
+
+@pytest.mark.parametrize("output", ["samples", "gram", "spectrum"])
+def test_filter_by_matrix_equals_filter_by_transform(spark, monkeypatch, output):
+    df = epochs_frame(spark, 6, 3, 60, 2.5)
+    found = []
+    for short in (0, 10**6):
+        monkeypatch.setattr(blocks, "SHORT", short)
+        rows = blocks.band_epochs(df, [(0, 8.0, 12.0), (1, 20.0, 24.0)], output, rate=80).orderBy("band_id", "epoch_id").collect()
+        found.append(np.array([r.data for r in rows]))
+    assert np.allclose(*found, rtol=1e-9, atol=1e-9)

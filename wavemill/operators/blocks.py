@@ -19,6 +19,8 @@ from wavemill.operators.spatial import replaced, schema_with
 CHUNK = 4096
 # Doubles of filter input worked on at a time inside a task.
 CELLS = 1_000_000
+# Cells of a filter matrix for each point of a transform up to which the matrix is the cheaper way.
+SHORT = 16
 
 
 def to_chunks(samples: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -126,6 +128,33 @@ def band_epochs(
     A band may name channels, (band_id, low, high, names); then ``channels`` lists those of a block, and of the
     one filtered epoch each band keeps its own, an empty list all.  A block without any of them has no row.
     """
+    if "lead" not in blocks.columns:
+        blocks = blocks.withColumn("lead", F.lit(0))
+    by_name = names_channels(bands)
+    run = band_filter(bands, output, n_times, halo, rate, transition, bins, by_name)
+    types = dict(blocks.dtypes)
+    if types["n_channels"] != "int":
+        blocks = blocks.withColumn("n_channels", F.col("n_channels").cast("int"))
+    return blocks.mapInArrow(
+        run, schema_with(blocks, "n_times int", "band_id int", without=("lead", *(["channels"] if by_name else [])))
+    )
+
+
+def names_channels(bands: list[tuple]) -> bool:
+    return any(len(x) > 3 and x[3] for x in bands)
+
+
+def band_filter(
+    bands: list[tuple],
+    output: str,
+    n_times: int | None = None,
+    halo: int | None = None,
+    rate: float = C.SAMPLING_RATE,
+    transition: float = 2.0,
+    bins: int = 50,
+    by_name: bool = False,
+):
+    """The step of :func:`band_epochs` inside a task: batches of blocks to batches of one band each."""
     ends = dict.fromkeys((lo, hi) for _, lo, hi, *_ in bands)
     kernels = [
         (taps.bandpass(lo, hi, rate, transition, transition), [(b, *(names or [()])) for b, *end, names in ((*x[:3], x[3:]) for x in bands) if tuple(end) == (lo, hi)])
@@ -133,9 +162,6 @@ def band_epochs(
     ]
     reach = max(len(k) // 2 for k, _ in kernels)
     have = 0 if halo is None else halo
-    if "lead" not in blocks.columns:
-        blocks = blocks.withColumn("lead", F.lit(0))
-    by_name = any(len(x) > 3 and x[3] for x in bands)
 
     def places(part: pa.RecordBatch, targets: list) -> list:
         """(band_id, positions of its channels or None for all) of the bands that have a channel here."""
@@ -145,29 +171,41 @@ def band_epochs(
 
     def run(batches):
         responses: dict[int, list] = {}
+        matrices: dict[tuple, list] = {}
         for batch in batches:
             for lead_batch, lead in by_value(batch, "lead"):
                 for part, x in same_shape(lead_batch, by="channels" if by_name else None):
                     times = n_times or x.shape[2] - 2 * have
                     total = times + 2 * reach
                     front = lead + reach - have
-                    x = mirror_pad(x, max(front, 0), max(total - front - x.shape[2], 0))
-                    x = x[..., max(-front, 0) :][..., :total]
                     size = 1 << (total - 1).bit_length()
                     if size not in responses:
                         responses[size] = [np.fft.rfft(k, size) for k, _ in kernels]
+
+                    def padded(x):
+                        x = mirror_pad(x, max(front, 0), max(total - front - x.shape[2], 0))
+                        return x[..., max(-front, 0) :][..., :total]
+
+                    def through(spectrum, kernel, response):
+                        begin = reach + len(kernel) // 2
+                        return np.fft.irfft(spectrum * response, size, axis=2)[:, :, begin : begin + times]
+
+                    wide, short = x.shape[2], x.shape[2] * times <= SHORT * size
+                    if short and (wide, times, lead) not in matrices:  # the padded filter as a matrix, by its effect on unit pulses
+                        pulses = np.fft.rfft(padded(np.eye(wide)[:, None]), size, axis=2)
+                        matrices[wide, times, lead] = [through(pulses, k, r)[:, 0] for (k, _), r in zip(kernels, responses[size])]
                     step = max(1, CELLS // (x.shape[1] * size))
-                    kept = [(k, r, places(part, targets)) for (k, targets), r in zip(kernels, responses[size])]
+                    own = matrices[wide, times, lead] if short else [None] * len(kernels)
+                    kept = [(k, r, m, places(part, targets)) for (k, targets), r, m in zip(kernels, responses[size], own)]
                     part = part.drop_columns(["lead", "channels"] if by_name else ["lead"])
                     for at in range(0, len(x), step):
                         rows = part.slice(at, step)
-                        spectrum = np.fft.rfft(x[at : at + step], size, axis=2)
-                        for kernel, response, targets in kept:
+                        z0 = x[at : at + step]
+                        spectrum = None if short else np.fft.rfft(padded(z0), size, axis=2)
+                        for kernel, response, effect, targets in kept:
                             if not targets:
                                 continue
-                            full = np.fft.irfft(spectrum * response, size, axis=2)
-                            begin = reach + len(kernel) // 2
-                            y = full[:, :, begin : begin + times]
+                            y = through(spectrum, kernel, response) if effect is None else (z0.reshape(-1, wide) @ effect).reshape(*z0.shape[:2], times)
                             if output == "gram":
                                 y = y @ y.transpose(0, 2, 1)
                             elif output == "spectrum":
@@ -185,12 +223,7 @@ def band_epochs(
                                     band_id=pa.array(np.full(n, band), pa.int32()),
                                 )
 
-    types = dict(blocks.dtypes)
-    if types["n_channels"] != "int":
-        blocks = blocks.withColumn("n_channels", F.col("n_channels").cast("int"))
-    return blocks.mapInArrow(
-        run, schema_with(blocks, "n_times int", "band_id int", without=("lead", *(["channels"] if by_name else [])))
-    )
+    return run
 
 
 def by_value(batch: pa.RecordBatch, column: str):

@@ -1,12 +1,13 @@
 """The sweep: every recording x grid cell x split x method in one job.
 
-Epochs are filtered under every band, and only sums or small factors of them travel.  The splits that test an epoch are
-a bit pattern, and epochs of one pattern always act together, so they form a fold: the train part of a split is the sum of
-the folds that do not have its bit.  One small group per (recording, cell) solves all splits; then rows meet the models
-of their cell in bounded buckets, and each bucket passes on class sums and the features of its test epochs.
-
-A recording with more than ``SHARED`` epochs gets a group of its own for each split, and its folds are combined ``FAN`` slots at a time,
-``LEVELS`` times, on the way there; combining is the same function that a group uses anyway.
+Only raw epochs, sums or small factors of them, and models travel.  Epochs of a recording are hashed into bounded buckets, which the
+steps filter under every band inside the task: once to fold them, once for the class sums of their features, once to rate them.  The
+splits that test an epoch are a bit pattern, and epochs of one pattern always act together, so they form a fold: the train part of a
+split is the sum of the folds that do not have its bit.  One small group per (recording, cell) solves all splits.
+
+A recording with more than ``SHARED`` epochs gets a group of its own for each split, and its buckets pass on one fold for each class, split and
+side.  Above ``FAN`` buckets, those are combined ``FAN`` at a time on the way; combining is the same function that a bucket uses anyway.
+A recording of few buckets is dealt once for each of several shares of the bands, so that all cores have work.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ from wavemill.functions import solve, taps
 from wavemill.functions.scalars import configuration_label
 from wavemill.operators import blocks as bk
 from wavemill.operators import channels, grid, signal, splits, tensor
-from wavemill.operators.apply import GROUP, arrow_schema, matrix
+from wavemill.operators.apply import arrow_schema, matrix
 from wavemill.operators.events import sub_event_offsets, sub_events
 from wavemill.operators.signal import fixed_lists
 from wavemill.session import materialize, spread
@@ -34,19 +36,20 @@ CELL = ["recording_id", "band_id"]
 SPLIT = [*CELL, "split_id"]
 #: Epochs of one recording whose folds one group takes for all splits.
 SHARED = 2_048
-FAN, LEVELS = 8, 3
-#: Epochs, and folders of them, that are filtered by one task.
-TOGETHER, APART = 64, 32
+FAN = 64
+#: Epochs and raw values of one bucket at most, and the tasks a recording is dealt to at least.
+GROUP, HELD = 8_192, 2_000_000
+APART = 32
+#: Bands filtered before their results are passed on.
+BANDS = 8
 N_COMPONENTS = 32
 N_SVD = 10
 
 FOLD = "recording_id string, band_id int, part int, slot bigint, class_id int, pattern bigint, n_channels int, n_times bigint, bad bigint, data array<double>"
 MODEL = "recording_id string, band_id int, split_id int, model array<double>, error string"
-PACKED = (
-    "recording_id string, band_id int, split_id int, class_id int, n bigint, sums array<double>, squares array<double>, "
-    "n_test bigint, test array<double>, error string"
-)
-SCORES = "recording_id string, band_id int, split_id int, hits bigint, cases bigint, accuracy double, error string"
+SUMS = "recording_id string, band_id int, split_id int, class_id int, n bigint, sums array<double>, squares array<double>, error string"
+LINES = "recording_id string, band_id int, split_id int, classes array<int>, coef array<double>, intercept array<double>, error string"
+HITS = "recording_id string, band_id int, split_id int, hits bigint, cases bigint"
 
 
 # --- feature methods -------------------------------------------------------
@@ -55,13 +58,15 @@ SCORES = "recording_id string, band_id int, split_id int, hits bigint, cases big
 @dataclass(frozen=True)
 class Method:
     """``kept``: what is kept of a filtered epoch.  ``combine``: rows of a fold -> fewer rows with the same meaning.
-    ``fit``: folds, for each split which of them train -> model or error for each split.  ``apply``: (rows, times, channels, model) -> train and test features.
+    ``fit``: folds, for each split which of them train -> model or error for each split.  ``apply``: (rows, times, channels, model, test) -> train
+    or test features.  ``by_class`` is false if a fit does not tell classes apart.
     """
 
     kept: str
     combine: Callable
     fit: Callable
     apply: Callable
+    by_class: bool = True
 
 
 def add_up(rows: np.ndarray) -> np.ndarray:
@@ -86,12 +91,11 @@ def csp_fit(rows, classes, times, width, train, components=N_COMPONENTS):
     return [attempt(one, own) for own in train]
 
 
-def csp_apply(rows, times, width, model):
-    """Log mean power of each filtered component; the same for train and test epochs."""
-    w, gram = model.reshape(-1, width), rows.reshape(-1, width, width)
-    power = ((w @ gram) * w).sum(axis=2)
-    x = np.log(np.maximum(power, np.finfo(float).tiny) / times[:, None])
-    return x, x
+def csp_apply(rows, times, width, model, test):
+    """Log mean power w'Gw / T of each filtered component, one product for all epochs; the same for train and test epochs."""
+    w = model.reshape(-1, width)
+    power = rows @ (w[:, :, None] * w[:, None, :]).reshape(len(w), -1).T
+    return np.log(np.maximum(power, np.finfo(float).tiny) / times[:, None])
 
 
 def parafac_fit(rows, classes, times, width, train):
@@ -124,9 +128,8 @@ def parafac_fit(rows, classes, times, width, train):
     return out
 
 
-def parafac_apply(rows, times, width, model):
-    train, test = model.reshape(2, rows.shape[1], -1)
-    return rows @ train, rows @ test
+def parafac_apply(rows, times, width, model, test):
+    return rows @ model.reshape(2, rows.shape[1], -1)[int(test)]
 
 
 def attempt(fit, *args):
@@ -139,71 +142,119 @@ def attempt(fit, *args):
 
 METHODS = {
     "csp": Method("gram", add_up, csp_fit, csp_apply),
-    "parafac": Method("spectrum", triangle, parafac_fit, parafac_apply),
+    "parafac": Method("spectrum", triangle, parafac_fit, parafac_apply, by_class=False),
 }
 
 
 # --- steps -----------------------------------------------------------------
 
 
-def dealt(blocks: DataFrame, split_rows: DataFrame) -> DataFrame:
-    """Blocks with the bit pattern of the splits that test them, and with the number of their recording's epochs (``of``).
-
-    Epochs are spread in folders of about ``TOGETHER``, and those of a long recording over ``APART`` tasks at most.
-    """
+def tested(blocks: DataFrame, split_rows: DataFrame) -> DataFrame:
+    """For each epoch the bit pattern of the splits that test it."""
     bit = F.expr("shiftleft(1L, split_id)")
-    tests = split_rows.filter(F.col("role") == "test").groupBy("recording_id", "epoch_id").agg(F.bit_or(bit).alias("tests"))
-    sizes = blocks.groupBy("recording_id").agg(F.count(F.lit(1)).alias("of"))
-    ready = (
-        blocks.join(sizes, "recording_id")
-        .join(tests, ["recording_id", "epoch_id"], "left")
-        .withColumn("tests", F.coalesce("tests", F.lit(0)))
-        .withColumn("_folder", F.pmod(F.xxhash64("epoch_id"), F.least(F.lit(APART), F.ceil(F.col("of") / TOGETHER))))
+    return split_rows.filter(F.col("role") == "test").groupBy("recording_id", "epoch_id").agg(F.bit_or(bit).alias("tests"))
+
+
+def bucket_counts(blocks: DataFrame) -> DataFrame:
+    """Epochs (``of``), buckets and shares of the bands of each recording."""
+    sizes = blocks.groupBy("recording_id").agg(F.count(F.lit(1)).alias("of"), F.max(F.size("data")).alias("_cells"))
+    held = F.greatest(F.lit(1), F.least(F.lit(GROUP), F.floor(F.lit(HELD) / F.greatest(F.col("_cells"), F.lit(1)))))
+    counted = sizes.withColumn("_buckets", F.ceil(F.col("of") / held).cast("int")).drop("_cells")
+    return counted.withColumn("_shares", F.ceil(F.lit(APART) / F.col("_buckets")).cast("int"))
+
+
+def dealt(blocks: DataFrame, tests: DataFrame, counts: DataFrame) -> DataFrame:
+    """Raw blocks with their bit pattern, by bucket and share of the bands."""
+    ready = blocks.join(counts, "recording_id").join(tests, ["recording_id", "epoch_id"], "left")
+    return (
+        ready.withColumn("tests", F.coalesce("tests", F.lit(0)))
+        .withColumn("_bucket", F.pmod(F.xxhash64("epoch_id"), F.col("_buckets")).cast("int"))
+        .withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)))
     )
-    return spread(ready, "recording_id", "_folder").drop("_folder")
 
 
-def folds(rows: DataFrame, how: Method, n_splits: int) -> DataFrame:
-    """Filtered epochs as folds of one row; a value that is not finite makes a fold bad and takes no part in it.
+BUCKET = ["recording_id", "_bucket", "_share"]
+
+
+def own_sets(table: pa.Table, sets: dict[int, list[int]]) -> list[int]:
+    """The sets in the share of a bucket."""
+    share, shares = (table.column(c)[0].as_py() for c in ("_share", "_shares"))
+    return [k for at, k in enumerate(sorted(sets)) if at % shares == share]
+
+
+def filtered(table: pa.Table, bands: list[tuple], how: Method, filtering: dict, by_name: bool):
+    """Epochs of a bucket under some bands: {band: (table in the order of epochs, rows)}."""
+    run = bk.band_filter(bands, how.kept, by_name=by_name, **filtering)
+    found: dict[int, list] = {}
+    for batch in run(table.combine_chunks().to_batches()):
+        found.setdefault(batch.column("band_id")[0].as_py(), []).append(batch)
+    tables = {b: pa.Table.from_batches(own).sort_by("epoch_id") for b, own in found.items()}
+    return {b: (t, matrix(t, "data")) for b, t in tables.items()}
+
+
+def merged(x, label, pattern, times, bad, combine):
+    """Folds of one class and pattern: (class, pattern, rows, times of the rows, bad ones).
+
+    A value that is not finite makes a fold bad and takes no part in it.
+    """
+    for c, p in np.unique(np.stack([label, pattern]), axis=1).T.tolist():
+        own = (label == c) & (pattern == p)
+        good = own & (bad == 0)
+        data = combine(x[good]) if good.any() else x[own][:1]
+        counts = np.zeros((2, len(data)), np.int64)
+        counts[0, 0], counts[1, 0] = times[good].sum(), bad[own].sum()
+        yield c, p, data, *counts
+
+
+def fold_table(rows: list, target: pa.Schema) -> pa.Table:
+    """(recording, band, part, slot, channels, folds) as a table."""
+    out = []
+    for recording, band, part, slot, width, (c, p, data, times, bad) in rows:
+        n = len(data)
+        columns = [[v] * n for v in (recording, band, part, slot, c, p, width)]
+        out.append(pa.table([*(pa.array(v, t) for v, t in zip(columns, target.types)), pa.array(times), pa.array(bad), fixed_lists(data)], schema=target))
+    return pa.concat_tables(out) if out else target.empty_table()
+
+
+def folds(ready: DataFrame, bands: list[tuple], how: Method, n_splits: int, filtering: dict) -> DataFrame:
+    """Epochs of each bucket filtered and put together by class and pattern.
 
     Recordings of up to ``SHARED`` epochs have one part (-1) with the whole bit pattern; others a part for each split, whose
     pattern is 1 for its test epochs.
     """
-    large = F.col("of") > SHARED
-    part = F.explode(F.when(large, F.sequence(F.lit(0), F.lit(n_splits - 1))).otherwise(F.array(F.lit(-1)))).alias("part")
-    slots = F.pow(F.lit(FAN), F.ceil(F.log(float(FAN), F.col("of") / SHARED))).cast("bigint")
-    finite = F.forall("data", lambda v: ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    base = rows.select(
-        *CELL, part, F.when(large, F.pmod(F.xxhash64("epoch_id"), slots)).otherwise(0).cast("bigint").alias("slot"),
-        F.col("class_id").cast("int").alias("class_id"), "tests", "n_channels", F.col("n_times").cast("bigint").alias("n_times"),
-        F.when(finite, 0).otherwise(1).cast("bigint").alias("bad"), "data",
-    )
-    pattern = F.when(F.col("part") < 0, F.col("tests")).otherwise(F.expr("shiftright(tests, part) & 1"))
-    return base.select(*CELL, "part", "slot", "class_id", pattern.alias("pattern"), "n_channels", "n_times", "bad", "data")
+    target, by_name, shared, step = arrow_schema(FOLD), bk.names_channels(bands), SHARED, BANDS
+
+    def run(table: pa.Table) -> pa.Table:
+        own = set(own_sets(table, {b: [b] for b, *_ in bands}))
+        mine = [x for x in bands if x[0] in own]
+        recording, slot, of = (table.column(c)[0].as_py() for c in ("recording_id", "_bucket", "of"))
+        out = []
+        for at in range(0, len(mine), step):
+            for band, (t, x) in filtered(table, mine[at : at + step], how, filtering, by_name).items():
+                label, tests, times = (t.column(c).to_numpy().astype(np.int64) for c in ("class_id", "tests", "n_times"))
+                label = label if how.by_class else np.zeros_like(label)
+                bad = (~np.isfinite(x).all(axis=1)).astype(np.int64)
+                width = t.column("n_channels")[0].as_py()
+                for part in [-1] if of <= shared else range(n_splits):
+                    pattern = tests if part < 0 else tests >> part & 1
+                    out.extend((recording, band, part, slot, width, fold) for fold in merged(x, label, pattern, times, bad, how.combine))
+        return fold_table(out, target)
+
+    return spread(ready, *BUCKET).groupBy(*BUCKET).applyInArrow(run, FOLD)
 
 
 def combined(rows: DataFrame, how: Method) -> DataFrame:
-    """Folds of a (cell, part, slot) group put together by class and pattern, and passed on to the next wider slot."""
-    target = arrow_schema(FOLD)
+    """Folds of ``FAN`` buckets put together by class and pattern."""
+    target, fan = arrow_schema(FOLD), FAN
 
     def run(table: pa.Table) -> pa.Table:
-        x = matrix(table, "data")
-        label, pattern, times, bad = (table.column(c).to_numpy() for c in ("class_id", "pattern", "n_times", "bad"))
-        out = []
-        for key in np.unique(np.stack([label, pattern]), axis=1).T.tolist():
-            own = (label == key[0]) & (pattern == key[1])
-            good = own & (bad == 0)
-            data = how.combine(x[good]) if good.any() else x[own][:1]
-            counts = np.zeros((2, len(data)), np.int64)
-            counts[0, 0], counts[1, :] = times[good].sum(), 0 if good.any() else 1
-            counts[1, 0] = bad[own].sum()
-            first = [table.column(c)[0].as_py() for c in (*CELL, "part", "slot", "n_channels")]
-            n = len(data)
-            columns = [[v] * n for v in (*first[:3], first[3] // FAN, *key, first[4])]
-            out.append(pa.table([*(pa.array(c, t) for c, t in zip(columns, target.types)), pa.array(counts[0]), pa.array(counts[1]), fixed_lists(data)], schema=target))
-        return pa.concat_tables(out)
-
-    return rows.groupBy(*CELL, "part", "slot").applyInArrow(run, FOLD)
+        columns = (table.column(c).to_numpy() for c in ("class_id", "pattern", "n_times", "bad"))
+        recording, band, part, slot, width = (table.column(c)[0].as_py() for c in (*CELL, "part", "slot", "n_channels"))
+        return fold_table([(recording, band, part, slot // fan, width, fold) for fold in merged(matrix(table, "data"), *columns, how.combine)], target)
+
+    group = [*CELL, "part", "_wide"]
+    wide = rows.withColumn("_wide", F.floor(F.col("slot") / fan))
+    return spread(wide, *group).groupBy(*group).applyInArrow(lambda t: run(t.drop_columns(["_wide"])), FOLD)
 
 
 def fitted(rows: DataFrame, how: Method, n_splits: int) -> DataFrame:
@@ -226,86 +277,117 @@ def fitted(rows: DataFrame, how: Method, n_splits: int) -> DataFrame:
     return spread(rows, *CELL, "part").groupBy(*CELL, "part").applyInArrow(run, MODEL)
 
 
-def packed(rows: DataFrame, models: DataFrame, sizes: DataFrame, sets: dict[int, list[int]], how: Method) -> DataFrame:
-    """Class sums of the train features and the test features of each bucket of epochs, for every band set and split.
+def placed(df: DataFrame, counts: DataFrame, sets: dict[int, list[int]]) -> DataFrame:
+    """Models of each bucket and share: one row for each place that a band has in a set."""
+    listed = [(k, b, at, n) for n, k in enumerate(sorted(sets)) for at, b in enumerate(sets[k])]
+    table = df.sparkSession.createDataFrame(listed, "set_id int, band_id int, place int, _at int")
+    every = F.explode(F.sequence(F.lit(0), F.col("_buckets") - 1)).alias("_bucket")
+    return (
+        df.join(F.broadcast(table), "band_id")
+        .join(counts, "recording_id")
+        .select("*", every, F.pmod("_at", "_shares").alias("_share"))
+        .drop("band_id", "of", "_buckets", "_shares", "_at")
+    )
+
+
+def bucketed(ready: DataFrame, models: DataFrame, bands: list[tuple], sets: dict[int, list[int]], how: Method, filtering: dict, each, schema: str) -> DataFrame:
+    """``each(key, known, held, error)`` -> rows for every band set and split of a bucket of epochs.
 
-    The features of a set are those of its bands, each by its own model, side by side in the order of the list.
+    ``known`` has the models of the set's bands by place, and ``held`` for each band (table, rows).  The features of a set are those of its
+    bands, each by its own model, side by side in the order of the list.
     """
-    target = arrow_schema(PACKED)
-    listed = [(k, b, at) for k, bands in sets.items() for at, b in enumerate(bands)]
-
-    def placed(df: DataFrame) -> DataFrame:
-        """Rows with the sets of their band; a table of as many rows as the sets have bands."""
-        return df.join(F.broadcast(df.sparkSession.createDataFrame(listed, "set_id int, band_id int, place int")), "band_id")
-
-    size = max(1, GROUP // max(len(b) for b in sets.values()))
-    buckets = F.ceil(F.col("of") / size).cast("int")
-    spot = F.pmod(F.xxhash64("epoch_id"), buckets).cast("int").alias("_bucket")  # the type of the other side
-    key = ["recording_id", "set_id", "_bucket"]
-    left = placed(rows).select("recording_id", "set_id", spot, "place", "epoch_id", "class_id", "tests", "n_channels", "n_times", "data")
-    every = F.explode(F.sequence(F.lit(0), buckets - 1)).alias("_bucket")
-    right = placed(models).join(sizes, "recording_id").select("recording_id", "set_id", every, "place", "split_id", "model", "error")
-
-    def run(table: pa.Table, known: pa.Table) -> pa.Table:
-        if not table.num_rows:
+    target, by_name, together = arrow_schema(schema), bk.names_channels(bands), max(1, BANDS // max(len(b) for b in sets.values()))
+
+    def run(table: pa.Table, models: pa.Table) -> pa.Table:
+        if not table.num_rows or not models.num_rows:
             return target.empty_table()
-        name = [table.column(c)[0].as_py() for c in key[:2]]
-        table = table.sort_by([("place", "ascending"), ("epoch_id", "ascending")])
-        places = table.column("place").to_numpy()
-        bands = [table.slice(int(np.searchsorted(places, p)), int((places == p).sum())) for p in range(len(sets[name[1]]))]
-        held = [(matrix(t, "data"), t.column("n_times").to_numpy(), t.column("n_channels")[0].as_py()) if t.num_rows else None for t in bands]
-        label, tests = (bands[places[0]].column(c).to_numpy() for c in ("class_id", "tests"))
-        fits: dict[int, dict] = {}
-        for k, (split, place) in enumerate(zip(known.column("split_id").to_pylist(), known.column("place").to_pylist())):
-            fits.setdefault(split, {})[place] = k
+        recording = table.column("recording_id")[0].as_py()
+        at: dict[int, dict] = {}
+        for k, (name, split, place) in enumerate(zip(*(models.column(c).to_pylist() for c in ("set_id", "split_id", "place")))):
+            at.setdefault(name, {}).setdefault(split, {})[place] = k
+        own = [k for k in own_sets(table, sets) if k in at]
         out = []
-        for split, at in sorted(fits.items()):
-            errors = [e for k in at.values() if (e := known.column("error")[k].as_py()) is not None]
-            if None in held or len(at) < len(held):
-                errors.append("a band of the set has no channel")
-            if errors:
-                out.append((*name, split, None, 0, None, None, 0, None, errors[0]))
-                continue
-            sides = [how.apply(*held[p], known.column("model")[at[p]].values.to_numpy()) for p in range(len(held))]
-            train_x, test_x = (np.concatenate(x, axis=1) for x in zip(*sides))
-            test = tests >> split & 1 == 1
-            for c in np.unique(label).tolist():
-                a, b = train_x[~test & (label == c)], test_x[test & (label == c)]
-                out.append((*name, split, c, len(a), a.sum(0), (a.T @ a).reshape(-1), len(b), b.reshape(-1), None))
+        for begin in range(0, len(own), together):
+            some = own[begin : begin + together]
+            used = {b for k in some for b in sets[k]}
+            have = filtered(table, [x for x in bands if x[0] in used], how, filtering, by_name)
+            for name in some:
+                held = [have.get(b) for b in sets[name]]
+                for split, places in sorted(at[name].items()):
+                    known = {p: {c: models.column(c)[k] for c in models.column_names} for p, k in places.items()}
+                    errors = [e for v in known.values() if (e := v["error"].as_py()) is not None]
+                    if None in held or len(known) < len(held):
+                        errors.append("a band of the set has no channel")
+                    out.extend(each((recording, name, split), known, held, errors[0] if errors else None))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), target.types)], schema=target) if out else target.empty_table()
 
-    return spread(left, *key).groupBy(*key).cogroup(spread(right, *key).groupBy(*key)).applyInArrow(run, PACKED)
+    return spread(ready, *BUCKET).groupBy(*BUCKET).cogroup(spread(models, *BUCKET).groupBy(*BUCKET)).applyInArrow(run, schema)
+
+
+def features(known: dict, held: list, how: Method, test: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the train or the test epochs of a split, and their classes."""
+    split = known[0]["split_id"].as_py()
+    label, tests = (held[0][0].column(c).to_numpy() for c in ("class_id", "tests"))
+    own = (tests >> split & 1 == 1) == test
+    sides = [
+        how.apply(x[own], t.column("n_times").to_numpy()[own], t.column("n_channels")[0].as_py(), known[p]["model"].values.to_numpy(), test)
+        for p, (t, x) in enumerate(held)
+    ]
+    return np.concatenate(sides, axis=1), label[own]
+
+
+def summed(how: Method):
+    """Class sums of the train features."""
+
+    def each(key, known, held, error):
+        if error is not None:
+            return [(*key, None, 0, None, None, error)]
+        x, label = features(known, held, how, False)
+        parts = ((c, x[label == c]) for c in np.unique(label).tolist())
+        rows = [(*key, c, len(a), a.sum(0), (a.T @ a).reshape(-1), None) for c, a in parts]
+        return rows or [(*key, None, 0, None, None, None)]
 
+    return each
 
-def scored(rows: DataFrame) -> DataFrame:
-    """One row for each (cell, split): a discriminant from the class sums rates the test features."""
-    target = arrow_schema(SCORES)
 
-    def rate(table: pa.Table) -> tuple[int, int]:
-        label, n, n_test = (table.column(c).to_numpy() for c in ("class_id", "n", "n_test"))
+def lines(rows: DataFrame) -> DataFrame:
+    """The discriminant of each (set, split) from its class sums, or the reason why there is none."""
+    target = arrow_schema(LINES)
+
+    def solved(table: pa.Table):
+        table = table.filter(pc.is_valid(table.column("class_id")))
+        if not table.num_rows:
+            raise ValueError("no train epochs")
+        label, n = (table.column(c).to_numpy() for c in ("class_id", "n"))
         width = len(table.column("sums")[0])
         sums, squares = matrix(table, "sums"), matrix(table, "squares")
-        classes = np.unique(label[n > 0])
-        if not len(classes):
-            raise ValueError("no train epochs")
+        classes = np.unique(label)
         own = [label == c for c in classes]
         coef, intercept = solve.discriminant(
             np.array([n[m].sum() for m in own], float), np.stack([sums[m].sum(0) for m in own]), squares.sum(0).reshape(width, width)
         )
-        x = table.column("test").combine_chunks().flatten().to_numpy().reshape(-1, width)
-        predicted = classes[np.argmax(x @ coef.T + intercept, axis=1)]
-        return int((predicted == np.repeat(label, n_test)).sum()), len(x)
+        return classes, coef.reshape(-1), intercept
 
     def run(table: pa.Table) -> pa.Table:
         errors = [e for e in table.column("error").to_pylist() if e is not None]
-        got = errors[0] if errors else attempt(rate, table)
-        if not isinstance(got, str) and not got[1]:
-            got = "no test epochs"
-        hits, cases, error = (None, None, got) if isinstance(got, str) else (*got, None)
-        row = [*(table.column(c)[0].as_py() for c in SPLIT), hits, cases, hits / cases if cases else None, error]
+        got = errors[0] if errors else attempt(solved, table)
+        key = [table.column(c)[0].as_py() for c in SPLIT]
+        row = [*key, None, None, None, got] if isinstance(got, str) else [*key, *got, None]
         return pa.table([pa.array([v], t) for v, t in zip(row, target.types)], schema=target)
 
-    return spread(rows, *SPLIT).groupBy(*SPLIT).applyInArrow(run, SCORES)
+    return spread(rows, *SPLIT).groupBy(*SPLIT).applyInArrow(run, LINES)
+
+
+def rated(how: Method):
+    """Test epochs whose class the discriminant names."""
+
+    def each(key, known, held, error):
+        x, label = features(known, held, how, True)
+        classes, coef, intercept = (known[0][c].values.to_numpy() for c in ("classes", "coef", "intercept"))
+        predicted = classes[np.argmax(x @ coef.reshape(len(classes), -1).T + intercept, axis=1)]
+        return [(*key, int((predicted == label).sum()), len(label))] if len(label) else []
+
+    return each
 
 
 # --- the job ---------------------------------------------------------------
@@ -331,21 +413,29 @@ def score_blocks(
         how = replace(how, fit=partial(csp_fit, components=n_components))
     sets = sets or {b: [b] for b, *_ in bands}
     split_rows = splits.shuffle_split(blocks, n_splits) if split_rows is None else split_rows
-    ready = dealt(blocks, split_rows)
-
-    if not any(len(b) > 3 and b[3] for b in bands):
-        ready = ready.drop("channels")
-
-    def filtered(part: DataFrame) -> DataFrame:
-        return bk.band_epochs(part, bands, how.kept, **filtering)
-
-    small = folds(filtered(ready.filter(F.col("of") <= SHARED)), how, n_splits)
-    large = folds(filtered(ready.filter(F.col("of") > SHARED)), how, n_splits)
-    for _ in range(LEVELS):
-        large = combined(large, how)
-    models = fitted(small.unionByName(large), how, n_splits)
-    sizes = blocks.groupBy("recording_id").agg(F.count(F.lit(1)).alias("of"))
-    return scored(packed(filtered(ready), models, sizes, sets, how))
+    if not bk.names_channels(bands):
+        blocks = blocks.drop("channels")
+    if "lead" not in blocks.columns:
+        blocks = blocks.withColumn("lead", F.lit(0))
+    blocks = blocks.withColumn("n_channels", F.col("n_channels").cast("int")).withColumn("class_id", F.col("class_id").cast("int"))
+    counts = materialize(bucket_counts(blocks))
+    ready = dealt(blocks, materialize(tested(blocks, split_rows)), counts)
+
+    def folded(some) -> DataFrame:
+        return folds(ready.filter(some), bands, how, n_splits, filtering)
+
+    far = F.col("_buckets") > FAN
+    models = materialize(fitted(folded(~far).unionByName(combined(folded(far), how)), how, n_splits))
+    right = placed(models, counts, sets)
+    found = materialize(lines(bucketed(ready, right, bands, sets, how, filtering, summed(how), SUMS)))
+    good = found.filter(F.col("error").isNull()).select("recording_id", F.col("band_id").alias("set_id"), "split_id", "classes", "coef", "intercept")
+    right = right.join(good, ["recording_id", "set_id", "split_id"])
+    hits = bucketed(ready, right, bands, sets, how, filtering, rated(how), HITS)
+    hits = hits.groupBy(*SPLIT).agg(F.sum("hits").alias("hits"), F.sum("cases").alias("cases"))
+    error = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("cases").isNull(), F.lit("no test epochs"))
+    return found.select(*SPLIT, "error").join(hits, SPLIT, "left").select(
+        *SPLIT, "hits", "cases", (F.col("hits") / F.col("cases")).alias("accuracy"), error.alias("error")
+    )
 
 
 def result_rows(scores: DataFrame, cells: DataFrame, method: str) -> DataFrame:
