@@ -242,3 +242,34 @@ def test_run_until_progress_says_so(spark, tmp_path):
     assert 20 <= seen <= 50
     sinks.run_until(stream, str(tmp_path / "all"), lambda p: False, until_idle=True)
     assert sinks.result(spark, str(tmp_path / "all"), scans.SAMPLE_SCHEMA).count() == 50
+
+
+def test_commands_of_many_keys_take_few_calls(spark, monkeypatch):
+    """Keys share a group: state lists the keys, and a key's state outlives the batch."""
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    class Rows:
+        def withColumn(self, *_):
+            return self
+
+        def groupBy(self, name):
+            self.by = name
+            return self
+
+        def applyInPandasWithState(self, step, *_):
+            self.step = step
+            return self
+
+    monkeypatch.setattr(commands, "plain_rows", lambda rows: rows)
+    rows = commands.stateful(Rows(), commands.pass_changes)
+    state = State()
+    frame = lambda *r: pd.DataFrame(r, columns=commands.COLUMNS)
+    first = pd.concat(rows.step((0,), iter([frame((2, 5, 1, "a", 0), (1, 3, 2, "b", 0)), frame((2, 4, 0, "a", 0), (1, 9, 3, None, 0))]), state))
+    assert sorted(first["event_id"]) == [0, 2, 3]
+    second = pd.concat(rows.step((0,), iter([frame((2, 8, 4, "a", 0), (1, 10, 5, None, 0), (3, 1, 6, None, 0))]), state))
+    assert rows.by == "bucket" and list(second["event_id"]) == [6] and state.get[0] == [1, 2, 3]
