@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -265,6 +266,31 @@ def test_few_and_many_terms_score_alike(docs_of, sample, monkeypatch):
     assert found[0] and found[0] == found[1] == found[2]
 
 
+def test_shards_take_little_memory_beside_their_postings():
+    rng = np.random.default_rng(1)
+    words_ = [f"word{k}" for k in range(20_000)]
+    column = pa.array([" ".join(words_[k] for k in rng.zipf(1.3, 300) % 20_000) for _ in range(8_000)])
+    tracemalloc.start()
+    values, counts, begin, length = search.counted(column)
+    assert tracemalloc.get_traced_memory()[1] < 8 * column.nbytes
+    doc = np.repeat(np.arange(8_000, dtype=np.int32), np.diff(begin))
+    order = np.argsort(values, kind="stable")
+    term, first = np.unique(values[order], return_index=True)
+    first = np.append(first, len(values)).astype(np.int32)
+    impact = counts[order].astype(np.float32)
+    shard = search.Shard(np.arange(8_000), term, first, doc[order], impact, np.maximum.reduceat(impact, search.block_starts(first)))
+    some = slice(0, begin[400])
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    found = list(shard.search(doc[some].astype(np.int64), values[some], counts[some].astype(float), 3))
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert len(found) == 1_200 and peak < 80 << 20
+    whole = search.words.distinct(*search.words.words(column))
+    assert (values == whole[0].view(np.int64)).all() and (counts == whole[1]).all() and (begin == whole[2]).all()
+    assert length.tolist() == [300] * 8_000
+
+
 def test_wand_like_full_scores():
     rng = random.Random(7)
     for _ in range(60):
