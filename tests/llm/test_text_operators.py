@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.brute import best_window, jaccard_components, template_drops, words_of
-from wavemill.llm import decontaminate, jaccard, lines, search, toxicity, words
+from wavemill.llm import decontaminate, jaccard, lines, search, stars, toxicity, words
 from wavemill.llm.queries import benchmark_leaks, bm25_search
 
 ODD = [(1, None), (2, ""), (3, " \n \n"), (4, "word"), (5, "word"), (6, "a b c d"), (7, "a b c d e"), (8, "A b c d e"), (None, "a b c d e f")]
@@ -52,6 +52,47 @@ def test_near_duplicates_with_a_common_passage_and_a_chain(docs_of):
     assert groups_of(jaccard.near_duplicates(docs_of(rows))) == jaccard_components(rows)
 
 
+def test_crowds_send_one_row_for_each_set(docs_of, monkeypatch):
+    """Sets of a long list are told apart by a mark each; their shingles don't travel."""
+    rng = random.Random(4)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(k, passage + " " + " ".join(f"x{k}_{j}" for j in range(rng.choice([5, 12, 30, 90])))) for k in range(150)]
+    rows += [(200 + k, " ".join(f"y{j}" for j in range(3000)) + f" z{k}" * (k % 5)) for k in range(70)]
+    schemas = []
+
+    def watched(df, fn, schema):
+        schemas.append(schema)
+        return stars_one_by_one(df, fn, schema)
+
+    stars_one_by_one = stars.one_by_one
+    monkeypatch.setattr(stars, "one_by_one", watched)
+    monkeypatch.setattr(jaccard, "LISTED", 8)
+    assert groups_of(jaccard.near_duplicates(docs_of(rows))) == jaccard_components(rows)
+    assert schemas == ["set long, mark array<long>"]
+
+
+def test_marks_differ_no_more_than_sets():
+    rng = np.random.default_rng(6)
+    words_ = np.array([f"w{k}" for k in range(40_000)])
+    texts = []
+    for size in (1, 3, 40, 300, 520, 700, 1500, 9000):
+        base = rng.choice(words_, size)
+        for change in (0, 0, 0.02, 0.3):
+            own = base.copy()
+            at = rng.random(size) < change
+            own[at] = rng.choice(words_, at.sum())
+            texts.append(" ".join(own))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["set", "text"])
+    got = pa.Table.from_batches(stars.marked(batch, 5)).combine_chunks()
+    sets = [set(v.tolist()) for v in (jaccard._values(pa.array([t]), 5)[0] for t in texts)]
+    sizes = np.array([len(s) for s in sets])
+    close = stars.may_link(sizes, got.column("mark").chunk(0), np.arange(len(texts)), (80, 100))
+    for x, a in enumerate(sets):
+        for y, b in enumerate(sets):
+            linked = 100 * len(a & b) >= 80 * len(a | b)
+            assert close[x, y] if linked else not close[x, y] or len(a & b) > 0.4 * len(a | b)
+
+
 def test_near_duplicates_whatever_the_boundary(docs_of, monkeypatch):
     rows = near_copies(random.Random(9), 8)
     want = jaccard_components(rows)

@@ -19,8 +19,8 @@ that shares the most lists, is compared with all others of the list, which joins
 many comparisons as it has members.  Then only pairs of a list that are still in different
 components are compared, leaving out those that the triangle inequality of the Jaccard distance
 rules out, and those in which shingles that nobody else posted leave too little to share.  A pair that is left out so is either in one component already or not linked.
-Pairs of short lists become rows; those of lists with over ``LISTED`` sets are found and verified inside bounded blocks (``stars.in_blocks``),
-so that a crowd of near copies makes no row for each of its pairs.
+Pairs of short lists become rows; those of lists with over ``LISTED`` sets are found and verified inside bounded blocks (``stars.in_blocks``), after
+``stars.partnered`` has taken out by short marks those without any possible partner, so that a crowd of near copies makes no row for each of its pairs.
 """
 
 from __future__ import annotations
@@ -32,8 +32,7 @@ from pyspark.sql import functions as F
 
 from wavemill.llm import words
 from wavemill.llm.shared import components, kept, one_by_one
-from wavemill.llm.stars import alone as own_shingles
-from wavemill.llm.stars import in_blocks, texts_of
+from wavemill.llm.stars import in_blocks, marks, partnered, texts_of
 
 #: Largest set size for which subsets are considered.
 LIGHT_LIMIT = 64
@@ -354,10 +353,10 @@ def groups(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100))
     second = kept(overlaps(rest, texts, n), "rest")
     links = first.where(linked).select("a", "b").union(second.where(linked).select("a", "b"))
     crowds = apart.where("many").select("key", "pair", *named)
-    # Of whole sets: what no other set of the crowds has. Documents that have but a passage in common go here.
-    single = own_shingles(crowds.select("set").distinct(), texts, n).withColumnRenamed("alone", "single")
-    crowds = crowds.join(single, "set", "left").withColumn("single", F.coalesce("single", F.lit(0)))
-    crowds = crowds.where((F.col("size") - F.col("single")) * bottom >= F.col("size") * top).join(list_bits(apart), "set")
+    # Documents that have but a passage in common go here, by a short mark of each set.
+    marked = marks(crowds.select("set").distinct(), texts, n)
+    some = partnered(crowds.select("key", "set", "size", "component", "far").join(marked, "set"), threshold)
+    crowds = crowds.join(kept(some, "partnered"), ["key", "set"]).join(list_bits(apart), "set")
     third = in_blocks(crowds, texts, n, threshold, narrowing(meetings(light, threshold), threshold))
     reached = components(links.union(kept(third, "crowds")))
 
@@ -384,8 +383,6 @@ def narrowing(least: int, threshold: tuple[int, int]):
         far = batch.column("far").to_numpy(zero_copy_only=False)  # NaN: not compared with the leader
         y = others[component[others] != component[k]]
         most = np.minimum(size[k] - np.where(whole[y], alone[k], 0), size[y] - (alone[y] if whole[k] else 0))
-        single = batch.column("single").to_numpy()
-        most = np.minimum(most, np.minimum(size[k] - single[k], size[y] - single[y]))
         y = y[(most * bottom >= (size[k] + size[y] - most) * top) & ~(np.abs(far[y] - far[k]) > gap)]
         if batch.column("pair")[0].as_py():
             return y

@@ -10,6 +10,7 @@ from the smallest component of the list, so that few outsiders are compared with
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.llm import words
-from wavemill.llm.shared import components, kept, one_by_one
+from wavemill.llm.shared import components, kept, lists, one_by_one
 
 #: Members that are compared with one copy of their leader's text.
 PER_LEADER = 256
 #: Members and shingles of a block.
 BLOCK = 1024
 BLOCK_SHINGLES = 1 << 19
+#: Bits of a set's mark, and members of a block and cells of a table that are compared by their marks.
+LEAST_MARK, MOST_MARK = 256, 4096
+MARKED, CELLS = 4096, 1 << 18
 #: Lists of a set that tell where a pair is compared.
 LOWEST = 16
 
@@ -113,6 +117,74 @@ def alone(sets: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return once.groupBy("set").agg(F.count("*").alias("alone"))
 
 
+def marked(batch: pa.RecordBatch, n: int):
+    """(set, mark) of a batch (set, text); see ``marks``."""
+    for part in words.pieces(batch, "text"):
+        values, _, begin = words.distinct(*words.shingles(*words.words(part.column("text")), n))
+        sizes = np.diff(begin)
+        width = np.clip(1 << np.ceil(np.log2(np.maximum(sizes, 2) / 2)).astype(np.int64), LEAST_MARK, MOST_MARK)
+        first = np.concatenate([[0], np.cumsum(width)])
+        at = words.mix(values, 17) & np.repeat((width - 1).astype(np.uint64), sizes)
+        flips = np.bincount(at.astype(np.int64) + np.repeat(first[:-1], sizes), minlength=first[-1]) & 1
+        bits = np.packbits(flips.astype(bool), bitorder="little").view(np.int64)
+        yield pa.RecordBatch.from_arrays([part.column("set"), lists(bits, first // 64, pa.int64())], ["set", "mark"])
+
+
+def marks(sets: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(set, mark): a row of bits for each set, in which every shingle flips one.
+
+    Two marks differ in at most as many bits as the sets differ in shingles.  A mark has one bit for up to two shingles,
+    from LEAST_MARK to MOST_MARK; halves of a longer one, put together, are the shorter one.
+    """
+    return one_by_one(texts.join(sets, "set").select("set", "text"), partial(marked, n=n), "set long, mark array<long>")
+
+
+def may_link(size: np.ndarray, marked: pa.Array, x: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+    """(rows x, all rows): whether the marks of two rows differ in no more bits than linked sets do in shingles."""
+    top, bottom = threshold
+    first = np.asarray(marked.offsets)
+    width, bits = np.diff(first), marked.values.to_numpy().view(np.uint64)
+    differ = np.zeros((len(x), len(size)), np.int64)
+    for w in np.unique(width).tolist():
+        rows = np.flatnonzero(width >= w)
+        flat = np.zeros((len(size), w), np.uint64)
+        for k in np.unique(width[rows]).tolist():
+            own = np.flatnonzero(width == k)
+            flat[own] = np.bitwise_xor.reduce(bits[first[own][:, None] + np.arange(k)].reshape(len(own), k // w, w), axis=1)
+        here = np.minimum(width[x][:, None], width) == w
+        apart = np.zeros(differ.shape, np.int64)
+        for c in range(w):
+            apart += np.bitwise_count(flat[x, c][:, None] ^ flat[:, c])
+        differ = np.where(here, apart, differ)
+    differ = np.maximum(differ, np.abs(size[x][:, None] - size))
+    return differ * (bottom + top) <= (size[x][:, None] + size) * (bottom - top)
+
+
+def partnered(left: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(key, set) of the members of lists (key, set, size, component, far, mark) that may be linked with one of another component."""
+    top, bottom = threshold
+    gap = (bottom - top) / bottom + 1e-9
+    parts = left.groupBy("key").agg(F.ceil(F.count("*") / MARKED).cast("int").alias("parts"))
+    spread = left.join(parts, "key").withColumn("own", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    place = ["key", "i", "j"]
+    spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set", "size", "component", "far", "mark")
+
+    def find(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        size, component, far = (table.column(c).to_numpy() for c in ("size", "component", "far"))
+        marked, found = table.column("mark").chunk(0), np.zeros(len(size), bool)
+        step = max(1, CELLS // len(size))
+        if component.min() < component.max():
+            for a in range(0, len(size), step):
+                x = np.arange(a, min(len(size), a + step))
+                met = may_link(size, marked, x, threshold) & (component[x][:, None] != component)
+                found[x] = (met & ~(np.abs(far[x][:, None] - far) > gap)).any(axis=1)
+        return table.select(["key", "set"]).filter(pa.array(found))
+
+    return spread.groupBy(*place).applyInArrow(find, "key long, set long").distinct()
+
+
 def in_blocks(left: DataFrame, texts: DataFrame, n: int, threshold: tuple[int, int], narrow: Callable) -> DataFrame:
     """Links (a, b) between members of lists, without a row for each pair.  ``left`` has (key, set, size, ...).
 
