@@ -22,6 +22,19 @@ def whole_ids(text, end):
     return np.array(library.encode(text or "", add_special_tokens=False).ids + [end], "<u4")
 
 
+def test_page_texts_travel_compressed():
+    import pyarrow as pa
+
+    blocks = [f"Block {k} of an article, with some words that recur: été, {k % 7}." for k in range(60)]
+    html = "<html><body><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article></body></html>"
+    batch = pa.RecordBatch.from_pydict({"page_id": pa.array([1, 2, None]), "url": ["u"] * 3, "row": [1, 2, 3], "html": [html, "", None]})
+    (sent,) = pages.packed(batch)
+    assert sent.column("packed").nbytes < len("\n\n".join(blocks)) / 2
+    sent = sent.append_column("drop", pa.array([[0, 59, 7], None, []], pa.list_(pa.int32())))
+    (got,) = pages.unpacked(sent)
+    assert got.column("text").to_pylist() == ["\n\n".join(b for k, b in enumerate(blocks) if k not in (0, 7, 59)), "", ""]
+
+
 def test_components_of_chains_and_hubs(spark):
     rng = random.Random(1)
     edges = [(k, k + 1) for k in range(40)] + [(100, 101 + k) for k in range(30)] + [(500, 500), (7, 3)]

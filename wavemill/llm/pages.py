@@ -22,6 +22,7 @@ from urllib.parse import urlsplit
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,6 +116,27 @@ def heading(path: str) -> bool:
     return path.rpartition("/")[2][:2] in dom.HEADING
 
 
+def packed(batch: pa.RecordBatch):
+    """The text of a page's candidate blocks, compressed by itself, as it is shuffled."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for part in pieces(batch, "html", 1 << 20):
+        texts = ["\n\n".join(b[1] for b in candidates(dom.blocks(h))) for h in part.column("html").to_pylist()]
+        data = pa.array([pack(t.encode()) for t in texts], pa.binary())
+        yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), part.column("row"), data], ["page_id", "url", "row", "packed"])
+
+
+def unpacked(batch: pa.RecordBatch):
+    """The texts without the blocks to drop.  White space inside a block is one space, so blocks can be told apart again."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for part in pieces(batch, "packed", 1 << 20):
+        texts = [unpack(t).decode() for t in part.column("packed").to_pylist()]
+        for k, drop in enumerate(part.column("drop").to_pylist()):
+            if drop is not None:
+                drop = set(drop)
+                texts[k] = "\n\n".join(b for at, b in enumerate(texts[k].split("\n\n")) if at not in drop)
+        yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
@@ -125,15 +147,6 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = kept(one_by_one(pages.select("row", "url", "html"), sketch, BLOCKS), "page-blocks")
     drops = constants(rows)
 
-    def text(batch):
-        for part in pieces(batch, "html", 1 << 20):
-            texts = ["\n\n".join(b[1] for b in candidates(dom.blocks(h))) for h in part.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("page_id"), part.column("url"), part.column("row"), pa.array(texts, pa.string())], ["page_id", "url", "row", "text"]
-            )
-
-    # White space inside a block is one space, so blocks can be told apart again.
-    own = one_by_one(pages, text, "page_id long, url string, row long, text string").join(drops, "row", "left")
-    left = F.array_join(F.filter(F.split("text", "\n\n"), lambda b, k: ~F.array_contains("drop", k)), "\n\n")
-    own = own.select("page_id", "url", F.when(F.col("drop").isNull(), F.col("text")).otherwise(left).alias("text"))
+    own = one_by_one(pages, packed, "page_id long, url string, row long, packed binary").join(drops, "row", "left")
+    own = one_by_one(own.select("page_id", "url", "packed", "drop"), unpacked, "page_id long, url string, text string")
     return own.withColumn("n_chars", F.length("text").cast("long"))
