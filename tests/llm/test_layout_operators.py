@@ -44,6 +44,27 @@ def test_components_of_chains_and_hubs(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_links_take_two_tables(spark, monkeypatch):
+    """Links that one task can hold need no rounds of shuffles; more of them give the same result."""
+    from wavemill.llm import shared
+
+    rng = random.Random(2)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 - k, 999 - k) for k in range(60)]
+    links, names = spark.createDataFrame(edges, "a long, b long"), []
+    write = shared.kept
+    monkeypatch.setattr(shared, "kept", lambda df, name: names.append(name) or write(df, name))
+    few = {(r["node"], r["component"]) for r in components(links).collect()}
+    assert names == ["links", "components"]
+    monkeypatch.setattr(shared, "LINKS", 20)
+    assert {(r["node"], r["component"]) for r in components(links).collect()} == few
+    least = {x: min(x, y) for a, b in edges if a != b for x, y in ((a, b), (b, a))}
+    for _ in edges:
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    assert few == set(least.items())
+
+
 def test_encoding_by_pieces_is_exact(sample):
     coder = tokens.Encoder(tokenizer())
     assert coder.by_piece

@@ -195,6 +195,6 @@ def near_duplicates(docs: DataFrame, n: int = 4, threshold: tuple[int, int] = (8
         single = alone(left.select("set").distinct(), texts, n)
         open_sets = sets.select("set", "checks").join(single, "set", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
         found = in_blocks(left.drop("weight").join(open_sets, "set"), texts, n, threshold, narrowing(need, threshold))
-        reached = joined(reached, kept(found, "links-rest"))
+        reached = joined(reached, found)
     out = named_by_smallest(members, reached)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -48,7 +48,7 @@ def star_rounds(listed: DataFrame, compare: Callable[[DataFrame], DataFrame], ro
         )
         stars = listed.join(leads, "key")
         pairs = stars.where("component <> component_a").select("a", "size_a", F.col("set").alias("b"), F.col("size").alias("size_b")).distinct()
-        reached = joined(reached, kept(compare(pairs), f"links-{turn}"))
+        reached = joined(reached, compare(pairs))
         rest = stars.where("set <> a").select("key", "set", "size", "weight")
         rest = rest.join(reached.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
         open_ = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
@@ -59,9 +59,7 @@ def star_rounds(listed: DataFrame, compare: Callable[[DataFrame], DataFrame], ro
 
 
 def joined(reached: DataFrame, links: DataFrame) -> DataFrame:
-    """Components (node, component) after further links (a, b), a written table."""
-    if links.isEmpty():
-        return reached
+    """Components (node, component) after further links (a, b)."""
     known = reached.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     return components(known.union(links))
 
