@@ -371,3 +371,24 @@ def test_filter_by_matrix_equals_filter_by_transform(spark, monkeypatch, output)
         rows = blocks.band_epochs(df, [(0, 8.0, 12.0), (1, 20.0, 24.0)], output, rate=80).orderBy("band_id", "epoch_id").collect()
         found.append(np.array([r.data for r in rows]))
     assert np.allclose(*found, rtol=1e-9, atol=1e-9)
+
+
+def test_folds_sort_classes_and_patterns_by_themselves(monkeypatch):
+    """Pairs of class and pattern come in order and whole, without a sort of pairs."""
+    rng = np.random.default_rng(3)
+    label, pattern, bad = rng.integers(-1, 2, 500), rng.integers(0, 1 << 62, 9)[rng.integers(0, 9, 500)], rng.integers(0, 2, 500)
+    x, times = rng.normal(size=(500, 3)), rng.integers(1, 9, 500)
+    unique = np.unique
+
+    def of_one_row(values, *args, axis=None, **more):
+        assert axis is None
+        return unique(values, *args, **more)
+
+    monkeypatch.setattr(np, "unique", of_one_row)
+    got = list(sweep.merged(x, label, pattern, times, bad, sweep.add_up))
+    assert [g[:2] for g in got] == sorted(set(zip(label.tolist(), pattern.tolist())))
+    for c, p, data, n, wrong in got:
+        own = (label == c) & (pattern == p)
+        good = own & (bad == 0)
+        assert np.allclose(data, x[good].sum(0) if good.any() else x[own][:1])
+        assert (n[0], wrong[0]) == (times[good].sum(), bad[own].sum())

@@ -195,15 +195,17 @@ def filtered(table: pa.Table, bands: list[tuple], how: Method, filtering: dict,
 def merged(x, label, pattern, times, bad, combine):
     """Folds of one class and pattern: (class, pattern, rows, times of the rows, bad ones).
 
-    A value that is not finite makes a fold bad and takes no part in it.
+    A value that is not finite makes a fold bad and takes no part in it.  Classes and patterns are sorted one after the other, as
+    sorting pairs of them costs more than filtering the epochs.
     """
-    for c, p in np.unique(np.stack([label, pattern]), axis=1).T.tolist():
-        own = (label == c) & (pattern == p)
-        good = own & (bad == 0)
-        data = combine(x[good]) if good.any() else x[own][:1]
-        counts = np.zeros((2, len(data)), np.int64)
-        counts[0, 0], counts[1, 0] = times[good].sum(), bad[own].sum()
-        yield c, p, data, *counts
+    for c in np.unique(label).tolist():
+        for p in np.unique(pattern[label == c]).tolist():
+            own = (label == c) & (pattern == p)
+            good = own & (bad == 0)
+            data = combine(x[good]) if good.any() else x[own][:1]
+            counts = np.zeros((2, len(data)), np.int64)
+            counts[0, 0], counts[1, 0] = times[good].sum(), bad[own].sum()
+            yield c, p, data, *counts
 
 
 def fold_table(rows: list, target: pa.Schema) -> pa.Table:
