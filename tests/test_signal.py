@@ -167,6 +167,20 @@ def test_window_sums(spark):
     assert np.allclose([r.s for r in got], [values[25 * w : 25 * w + 250].sum() for w in range(11)])
 
 
+def test_windows_need_no_table_of_their_own(spark, monkeypatch):
+    """Gaps, nulls and times outside: as with a row for each pane, from one aggregate of the keys."""
+    rows = [(e, t, None if (e + t) % 5 == 0 else float(e * t)) for e in range(6) for t in range(-2, 14) if (e * t) % 7 != 3 and not (e == 1 and t < 9)]
+    df = spark.createDataFrame(rows, "e int, t int, value double")
+    sums = {"s": F.col("value"), "q": F.col("value") * 2}
+    got = events.sliding_sums(df, ["e"], 9, 4, 2, sums)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("HashAggregate") == 2 and "window_id" not in plan.split("HashAggregate", 1)[1]
+    got = sorted(map(tuple, got.select("e", "window_id", "s", "q", "n").collect()), key=str)
+    monkeypatch.setattr(events, "PANES", 0)
+    want = events.sliding_sums(df, ["e"], 9, 4, 2, sums).select("e", "window_id", "s", "q", "n").collect()
+    assert got and got == sorted(map(tuple, want), key=str)
+
+
 def test_label_intervals(spark):
     labels = ["pause", "pause", "rest", "rest", "rest", "pause", "movement", "movement"]
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(labels)], "key int, t int, label string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,6 +103,10 @@ def epoch_arrays(epochs: DataFrame, keys: list[str], order: str = "t") -> DataFr
     )
 
 
+# Panes that are columns of one row.
+PANES = 64
+
+
 def window_starts(n_times: int, length: int, step: int) -> list[int]:
     """Starts of the running windows; the last possible start is excluded."""
     return list(range(0, n_times - length, step))
@@ -118,18 +123,45 @@ def sliding_sums(
 ) -> DataFrame:
     """Sums over running windows, through panes of gcd(length, step) rows.
 
-    Each row is aggregated once into its pane; a window adds up its panes.
+    Each row is aggregated once into its pane; a window adds up its panes.  Up to ``PANES`` panes are columns of one row
+    for each key, so that a task holds one table of its keys and windows need no table of their own.
     """
     pane = math.gcd(length, step)
-    panes = rows.groupBy(*keys, F.floor(F.col(order) / pane).cast("int").alias("_pane")).agg(
-        *[F.sum(c).alias(n) for n, c in sums.items()], F.count(F.lit(1)).alias("n")
-    )
     starts = window_starts(n_times, length, step)
     per = length // pane
     hop = step // pane
+    if not starts or (len(starts) - 1) * hop + per > PANES:
+        return grouped_sums(rows, keys, pane, per, hop, len(starts), sums, order)
+    at = F.floor(F.col(order) / pane)
+    columns = {**{n: F.sum for n in sums}, "n": F.count}
+    taken = {**sums, "n": F.lit(1)}
+    held = [
+        [fn(F.when(at == p, taken[n])).alias(f"_{i}_{p}") for i, (n, fn) in enumerate(columns.items())]
+        for p in range((len(starts) - 1) * hop + per)
+    ]
+    wide = rows.groupBy(*keys).agg(*[c for of_pane in held for c in of_pane])
+
+    def total(i: int, w: int) -> Column:
+        """The sum of a window's panes; those without a value count nothing."""
+        parts = [F.col(f"_{i}_{p}") for p in range(w * hop, w * hop + per)]
+        return reduce(lambda a, b: F.coalesce(a + b, a, b), parts)
+
+    windows = [
+        F.struct(F.lit(w).alias("window_id"), *[total(i, w).alias(n) for i, n in enumerate(columns)]) for w in range(len(starts))
+    ]
+    return wide.select(*keys, F.inline(F.array(*windows))).filter(F.col("n") > 0)
+
+
+def grouped_sums(
+    rows: DataFrame, keys: list[str], pane: int, per: int, hop: int, windows: int, sums: dict[str, Column], order: str
+) -> DataFrame:
+    """:func:`sliding_sums` with a row for each pane, for any number of them."""
+    panes = rows.groupBy(*keys, F.floor(F.col(order) / pane).cast("int").alias("_pane")).agg(
+        *[F.sum(c).alias(n) for n, c in sums.items()], F.count(F.lit(1)).alias("n")
+    )
     # Windows that contain pane p start at hop * w with w*hop <= p < w*hop + per.
     low = F.greatest(F.lit(0), F.ceil((F.col("_pane") - per + 1) / hop)).cast("int")
-    high = F.least(F.lit(len(starts) - 1), F.floor(F.col("_pane") / hop)).cast("int")
+    high = F.least(F.lit(windows - 1), F.floor(F.col("_pane") / hop)).cast("int")
     member = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
     return (
         panes.withColumn("window_id", F.explode(member))
