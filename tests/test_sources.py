@@ -1,5 +1,7 @@
 """Recording files: decoding, ranges, listing, ingest."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -99,6 +101,13 @@ def test_ranges_share_and_split(folder):
             assert own[0][0] == 0 and own[-1][1] == length and all(x[1] == y[0] for x, y in zip(own, own[1:]))
 
 
+def test_short_files_spread_over_tasks():
+    """Opening a file costs time too, so many short ones are not left to one task."""
+    files = json.dumps({f"/in/{i}.edf": 2000 for i in range(1000)})
+    parts = edf.EdfReader({"path": "/in", "files": files}).partitions()
+    assert len(parts) > 10 and sum(len(p.ranges) for p in parts) == 1000
+
+
 def test_growing_recordings_arrive_once(spark, tmp_path):
     """Records that are appended while the stream is down arrive after a restart, each one once; half a record waits."""
     folder, out = tmp_path / "in", str(tmp_path / "out")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from wavemill import constants as C
@@ -252,23 +252,20 @@ def edf_folder(spark, sf):
     """Recording files of every 500 samples of a channel, with a note on each value over 100, written by tasks."""
     folder = sinks.new_folder(spark, "recordings")
 
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_idx")
-        rec, channel, part = (pdf[c].iloc[0] for c in ("recording_id", "channel", "part"))
-        notes = [
-            (float(i % PER_FILE), 0.5, f"{channel}-{i}")
-            for i, v in zip(pdf["sample_idx"], pdf["value"])
-            if v > 100
-        ]
-        path = f"{folder}/{rec}_{channel}_{int(part)}.edf"
-        edf.write_file(path, edf.encode({channel: pdf["value"].to_numpy()}, notes, 1, LOW, HIGH))
-        return pd.DataFrame({"path": [path]})
+    def write(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("sample_idx")
+        rec, channel, part = (rows.column(c)[0].as_py() for c in ("recording_id", "channel", "part"))
+        at, values = rows.column("sample_idx").to_numpy(), rows.column("value").to_numpy()
+        notes = [(float(i % PER_FILE), 0.5, f"{channel}-{i}") for i in at[values > 100].tolist()]
+        path = f"{folder}/{rec}_{channel}_{part}.edf"
+        edf.write_file(path, edf.encode({channel: values}, notes, 1, LOW, HIGH))
+        return pa.table({"path": [path]})
 
     files = (
         views.samples(spark, sf)
         .withColumn("part", F.floor(F.col("sample_idx") / PER_FILE))
         .groupBy("recording_id", "channel", "part")
-        .applyInPandas(write, "path string")
+        .applyInArrow(write, "path string")
     )
     files.write.parquet(f"{folder}/written")  # a sub-folder, which the source leaves out
     return folder

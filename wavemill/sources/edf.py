@@ -41,6 +41,8 @@ ANNOTATIONS = "EDF Annotations"
 
 CHUNK = 4096
 SPLIT_BYTES = 64 << 20
+# Opening a file costs as much as reading so many bytes, so that many short files make many ranges.
+OPEN_BYTES = 1 << 20
 # Bytes of records that a task reads at a time.
 READ_BYTES = 8 << 20
 
@@ -84,6 +86,12 @@ def parse_annotations(raw: bytes):
                 yield float(onset), float(duration or 0), text.decode("utf-8")
 
 
+def with_text(part: np.ndarray) -> np.ndarray:
+    """The records whose annotation lists have a text, which most do not: 0x14 and then neither 0x14 nor 0."""
+    raw = np.ascontiguousarray(part).view(np.uint8)
+    return part[((raw[:, :-1] == 0x14) & (raw[:, 1:] != 0x14) & (raw[:, 1:] != 0)).any(axis=1)]
+
+
 @dataclass(frozen=True)
 class Wanted:
     """What is asked for: a kind, channels (None: all), and the first and last start_idx."""
@@ -113,7 +121,7 @@ def decode_records(path: str, head: dict, body: bytes, first_record: int, chunk:
     for i, channel in enumerate(head["s_label"]):
         part = records[:, offsets[i] : offsets[i + 1]]
         if channel == ANNOTATIONS:
-            for row in part if ask.annotations() else ():
+            for row in with_text(part) if ask.annotations() else ():
                 for onset, duration, text in parse_annotations(row.tobytes()):
                     yield (path, "annotation", None, None, None, None, None, onset, duration, text)
             continue
@@ -227,26 +235,30 @@ class Options:
         return self.files if self.files is not None else list_files(self.folder)
 
 
+def read_ranges(partition: Range, options: Options):
+    """Record batches of all ranges of a task; short files share a batch."""
+    return batches(row for part in partition.ranges for row in read_range(*part, options.chunk, options.ask))
+
+
 class EdfReader(DataSourceReader):
     def __init__(self, options):
         self.options = Options(options)
 
     def partitions(self) -> list[Range]:
-        """Ranges of about ``splitBytes`` bytes: parts of a long file, or several short files."""
+        """Ranges of about ``splitBytes`` bytes: parts of a long file, or several short files, which count ``OPEN_BYTES`` more each."""
         out, held, size = [], [], 0
         for path, length in self.options.lengths().items():
             for at in range(0, length, self.options.split):
                 end = min(length, at + self.options.split)
                 held.append((path, at, end, end == length))
-                size += end - at
+                size += end - at + OPEN_BYTES
                 if size >= self.options.split:
                     out.append(Range(held))
                     held, size = [], 0
         return [*out, Range(held)] if held or not out else out
 
     def read(self, partition: Range):
-        for part in partition.ranges:
-            yield from batches(read_range(*part, self.options.chunk, self.options.ask))
+        yield from read_ranges(partition, self.options)
 
 
 class EdfStreamReader(DataSourceStreamReader):
@@ -276,8 +288,7 @@ class EdfStreamReader(DataSourceStreamReader):
         ]
 
     def read(self, partition: Range):
-        for part in partition.ranges:
-            yield from batches(read_range(*part, self.options.chunk, self.options.ask))
+        yield from read_ranges(partition, self.options)
 
 
 class EdfSource(DataSource):
@@ -383,7 +394,6 @@ def encode(signals: dict[str, np.ndarray], notes, rate: int, low: float, high: f
         c: np.rint((np.pad(v, (0, seconds * rate - len(v))) - low) * (65535 / (high - low)) - 32768)
         for c, v in signals.items()
     }
-    for s in range(seconds):
-        out += [d[s * rate : (s + 1) * rate].astype("<i2").tobytes() for d in digits.values()]
-        out.append(tals[s].ljust(2 * width, b"\x00"))
-    return b"".join(out)
+    marks = np.array(tals, f"S{2 * width}").view("<i2").reshape(seconds, width)
+    records = [d.astype("<i2").reshape(seconds, rate) for d in digits.values()]
+    return b"".join(out) + np.hstack([*records, marks]).tobytes()
