@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.brute import best_window, jaccard_components, template_drops, words_of
-from wavemill.llm import decontaminate, jaccard, lines, search, stars, toxicity, words
+from wavemill.llm import decontaminate, jaccard, lines, search, shared, stars, toxicity, words
 from wavemill.llm.queries import benchmark_leaks, bm25_search
 
 ODD = [(1, None), (2, ""), (3, " \n \n"), (4, "word"), (5, "word"), (6, "a b c d"), (7, "a b c d e"), (8, "A b c d e"), (None, "a b c d e f")]
@@ -345,3 +345,16 @@ def test_wand_like_full_scores():
         want = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:10]
         got = search.wand(cursors, 10)
         assert [round(s, 9) for s, _ in got] == [round(s, 9) for _, s in want]
+
+
+def test_shuffles_of_kept_tables_go_at_once(spark):
+    """The files of a written table's shuffles are not left to the garbage collector; the session's setting stays."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(blocks.getAllFiles()) if f.getName().startswith("shuffle_")}
+
+    before, setting = shuffled(), spark.conf.get(shared.CLEANUP)
+    table = shared.kept(spark.range(5000).groupBy((F.col("id") % 70).alias("k")).count(), "cleaned")
+    assert not shuffled() - before and spark.conf.get(shared.CLEANUP) == setting
+    assert table.count() == 70
