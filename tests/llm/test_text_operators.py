@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -332,6 +333,58 @@ def test_shards_take_little_memory_beside_their_postings():
     assert length.tolist() == [300] * 8_000
 
 
+def test_best_of_many_shards_like_scoring_everything():
+    """Shards in any order, ties between them, few and many terms, documents that come twice."""
+    rng = np.random.default_rng(3)
+    tf = np.where(rng.random((400, 60)) < rng.choice([0.05, 0.3], 60), rng.integers(1, 4, (400, 60)), 0)
+    tf[100:160] = tf[0]
+    ids = np.append(np.arange(398), [7, 7]) * 3
+    asked = np.where(rng.random((30, 60)) < rng.choice([0.03, 0.5], 30)[:, None], rng.integers(1, 9, (30, 60)) / 4, 0)
+    query, term = np.nonzero(asked)
+    best = search.Best(query, term, asked[query, term], 6)
+    for part in np.array_split(rng.permutation(400), 23):
+        t, d = np.nonzero(tf[part].T)
+        terms, first = np.unique(t, return_index=True)
+        first = np.append(first, len(t)).astype(np.int32)
+        impact = tf[part][d, t].astype(np.float32)
+        best.add(search.Shard(ids[part], terms, first, d.astype(np.int32), impact, np.maximum.reduceat(impact, search.block_starts(first))))
+        assert len(best.held[0]) <= 6 * 30
+    got = defaultdict(list)
+    for q, d, s in zip(*best.rows()):
+        got[q].append((-s, d))
+    scores = asked @ tf.T
+    want = {q: sorted((-s, d) for s, d in zip(scores[q], ids) if s)[:6] for q in range(30) if scores[q].any()}
+    assert got == want
+
+
+def test_shards_are_small_and_read_one_by_one(docs_of):
+    """Neither a task's Python nor Spark's reader holds more than one small shard of a partition."""
+    rng = np.random.default_rng(2)
+    names = np.array([f"word{k}" for k in range(5_000)])
+    docs = docs_of([(k, " ".join(names[rng.zipf(1.3, 500) % 5_000])) for k in range(5_000)]).repartition(1)
+    index = search.build_index(docs, 500.0)
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    rows = [m.row_group(g).num_rows for m in groups for g in range(m.num_row_groups)]
+    assert len(rows) >= 3 and set(rows) == {1}
+
+    def seen(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["rows", "bytes"])
+
+    got = shared.kept(index.mapInArrow(seen, "rows long, bytes long"), "seen", batch=search.BATCH_BYTES).collect()
+    assert sum(r["rows"] for r in got) == len(rows) and max(r["bytes"] for r in got) < 3 * search.BATCH_BYTES
+
+
+def test_search_is_the_same_in_any_shards(docs_of, sample, monkeypatch):
+    docs = docs_of([(r["doc_id"], r["text"]) for r in sample.collect()] * 2 + [(-20, "the of and"), (-40, "a")])
+    asked, found = docs.where("doc_id < 0 or doc_id % 100 = 0"), []
+    for size, queries in ((4 << 20, 1 << 15), (10_000, 3)):
+        monkeypatch.setattr(search, "SHARD_BYTES", size)
+        monkeypatch.setattr(search, "SENT_QUERIES", queries)
+        found.append({(r["query"], r["rank"]): (r["doc_id"], round(r["score"], 7)) for r in search.top_k(docs.repartition(2, "doc_id"), asked, by_frequency=True).collect()})
+    assert found[0] and found[0] == found[1]
+
+
 def test_wand_like_full_scores():
     rng = random.Random(7)
     for _ in range(60):
