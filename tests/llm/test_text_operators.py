@@ -1,6 +1,7 @@
 """Line dedup, decontamination, toxicity, near duplicates, search."""
 
 import math
+import pickle
 import random
 import tracemalloc
 from collections import Counter, defaultdict
@@ -357,6 +358,13 @@ def test_best_of_many_shards_like_scoring_everything():
     assert got == want
 
 
+def test_sent_queries_have_plain_dtypes():
+    """``np.add.at`` is quick only for arrays with numpy's own dtype objects, which pickled arrays don't have."""
+    sent = pickle.loads(pickle.dumps((np.array([4, 4, 9]), np.array([1, 2, 1]), np.array([0.5, 1.0, 2.0]))))
+    best = search.Best(*sent, 3)
+    assert best.weight.dtype is np.dtype(np.float64) and best.own.dtype is np.dtype(np.int64) and best.query.dtype is np.dtype(np.int64)
+
+
 def test_shards_are_small_and_read_one_by_one(docs_of):
     """Neither a task's Python nor Spark's reader holds more than one small shard of a partition."""
     rng = np.random.default_rng(2)
